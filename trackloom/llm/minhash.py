@@ -188,6 +188,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     with the centre first, and only the centre's set is held.
     """
     degree = pairs.groupBy("centre_set").agg(F.count("*").alias("n"))
+    degree = durable(degree)
     salted = attach(pairs, degree, ["centre_set"], "n", pairs.count()).withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int"))
     members = salted.select(
         F.col("member").alias("doc_id"), F.col("member_set").alias("set_id"), "centre_set",
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     spread = sets.select("id", "set_id", "size", F.posexplode("bands").alias("band", "key"))
     first = F.min(F.struct(F.xxhash64("set_id").alias("p"), "id", "set_id")).alias("c")
     full = spread.groupBy("band", "key").agg(F.count("*").alias("n"), first).where("n > 1")
-    full = full.select("band", "key", "n", F.col("c.id").alias("centre"), F.col("c.set_id").alias("centre_set"))
+    full = durable(full.select("band", "key", "n", F.col("c.id").alias("centre"), F.col("c.set_id").alias("centre_set")))
     members = durable(attach(spread, full, ["band", "key"], "n", total))
     pairs = durable(
         members.where("set_id <> centre_set")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import minhash
+from trackloom.llm import exact_dedup, minhash, mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,47 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), k=3, percent=85)
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-
-ORACLES: dict[str, str] = {}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir), [5, 2, 1], 3)
+
+
+QUERIES = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+}
+
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+        select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
+               doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
+        from t window w as (partition by t)
+    """,
+    "op7_mixing": r"""
+        with docs as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                   coalesce(case when length(text) > 0 then 0.1::double + 0.9::double * length(translate(text, '0123456789#*$%&|<>{}[]=_\/@', '')) / length(text) end, 0.1::double) as q,
+                   (('0x' || substr(sha256(coalesce(doc_id::varchar, 'null') || chr(31) || 'mix'), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double as u
+            from documents),
+        keyed as (select *, -ln(u) / q as k from docs),
+        s as (select source, sum(size)::bigint as source_size, list_value(5.0, 2.0, 1.0)[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w
+              from docs group by source),
+        lv as (select *, 3.0::double * source_size as cap,
+                      ((sum(source_size) over ())::double - coalesce(sum(3.0::double * source_size) over (order by 3.0::double * source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0))
+                      / sum(w) over (order by 3.0::double * source_size / w, source nulls last rows between current row and unbounded following) as level
+               from s),
+        t as (select source, source_size, least(cap, coalesce((select arg_min(level, cap / w) from lv where cap >= level * w) * w, cap)) as target from lv),
+        plan as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t),
+        b as (select *, round(target - epochs * source_size)::bigint as budget from plan),
+        r as (select d.*, b.source_size, b.target, b.epochs, b.budget,
+                     coalesce(sum(d.size) over (partition by d.source order by k, doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as start
+              from keyed d join b on d.source is not distinct from b.source),
+        p as (select *, greatest(0, least(size, budget - start))::bigint as part from r)
+        select doc_id, size, source_size, target, (epochs * size + part)::bigint as taken, epochs + (part > 0)::bigint as copies from p
+    """,
+}
