@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +65,25 @@ class Words:
     def n_docs(self) -> int:
         return len(self.offsets) - 1
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same in every block and process."""
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
+    @cached_property
+    def _sums(self) -> np.ndarray:
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum(BYTE_VALUE[self.data] * powers(BASE, len(self.data)), out=sums[1:])
-        inner = (sums[self.end] - sums[self.start]) * powers(INVERSE, len(self.data) + 1)[self.start]
-        return mix(inner + (self.end - self.start).astype(np.uint64))
+        return sums
+
+    def hashes(self, prefix: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, the same in every block and process.
+
+        With ``prefix``, of its first bytes only; 0 for words that aren't longer than that.
+        """
+        if not len(self.start):
+            return np.zeros(0, dtype=np.uint64)
+        length = (self.end - self.start).astype(np.uint64)
+        end = np.minimum(self.end, self.start + prefix) if prefix else self.end
+        inner = (self._sums[end] - self._sums[self.start]) * powers(INVERSE, len(self.data) + 1)[self.start]
+        if prefix:
+            return np.where(length > prefix, mix(inner + np.uint64(prefix << 32)), np.uint64(0))
+        return mix(inner + length)
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
