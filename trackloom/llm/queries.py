@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, token_counts, toxicity
+from trackloom.llm import bpe, exact_dedup, minhash, mixing, pii, quality, sharding, token_counts, toxicity
 
 #: Where the rank file of the byte-level vocabulary lies, and the pattern that splits texts for it.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -42,6 +42,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), [5, 2, 1], 3)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_documents(spark, sf_dir))
+    base = pii.listed({k: F.col(f"base_{k}") for k in pii.KINDS})
+    every = pii.listed({k: F.concat(f"base_{k}", f"added_{k}") for k in pii.KINDS})
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), RANKS, PATTERN)
 
@@ -53,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
+    "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
