@@ -1,12 +1,74 @@
-"""A corpus pipeline in stages: each takes and returns documents, written as Parquet in between."""
+"""A corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
+
+Toxic documents go; of equal texts one stays; of near duplicates one stays; sources are mixed to
+their target weights (documents taken more than once are repeated, those not taken go); and what
+is left is encoded by a byte-level BPE and decoded again.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
+
+#: Similarity of near duplicates in percent, and the words of a shingle.
+PERCENT, SHINGLE = 80, 5
+WEIGHTS, MAX_REPEATS = [5, 2, 1], 3
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without the rows that the classifier chain rejects."""
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, chain, "__toxicity").where("not __toxicity.rejected").drop("__toxicity")
+
+
+def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with one row for each text, after spaces are normalised."""
+    return exact_dedup.one_of_each(docs)
+
+
+def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with one document for each group of near duplicates."""
+    gone = minhash.near_duplicates(docs, SHINGLE, PERCENT).where("not kept").select("doc_id")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` as often as the mix starts to take them."""
+    taken = mixing.mix(docs, WEIGHTS, MAX_REPEATS).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    joined = docs.join(taken.hint("shuffle_hash"), "doc_id")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: token ids and the text that they decode to."""
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("decoded"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", one_of_equals),
+    ("minhash_near_dedup", one_of_near),
+    ("mixing", mixed),
+    ("byte_bpe", encoded),
+]
 
-STAGES: list = []
+#: A trained classifier and a tokenizer can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each keeps is written to the shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    at, docs = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs
