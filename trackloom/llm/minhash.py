@@ -9,8 +9,7 @@ the permutations step by step, which gives the same minima as element by element
 Equal sets are collapsed by a 128-bit digest before anything is compared, so copies cost one row.
 Bands of the signatures give buckets. Each bucket first compares its members with one centre;
 where that leaves a bucket in several components, every remaining pair across components is
-compared, except those that the triangle inequality of Jaccard distances or the set sizes rule
-out. So groups of near copies cost rows in proportion to their size, yet no candidate link is lost.
+compared, except those that the sizes, or what both have in common with the centre, rule out. So groups of near copies cost rows in proportion to their size, yet no candidate link is lost.
 Links are confirmed on the full sets; a hot centre's comparisons are spread over many tasks.
 """
 
@@ -234,27 +233,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     linked = F.expr(f"100 * common >= {int(percent)} * either")
     links = seen.where(linked).select(F.col("member").alias("u"), F.col("centre").alias("v"))
     labels = durable(components(links))
-    rest = durable(_open_pairs(members, labels, seen, int(percent)))
+    rest = durable(_open_pairs(members, sets, labels, seen, int(percent)))
     if not rest.isEmpty():
-        more = verify(docs, rest, k).where(linked).select(F.col("member").alias("u"), F.col("centre").alias("v"))
-        labels = components(links.union(more))
+        more = durable(verify(docs, rest, k).where(linked).select(F.col("member").alias("id"), F.col("centre").alias("to")))
+        if not more.isEmpty():
+            labels = _joined(labels, more)
     return _labelled(signed, sets, labels)
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further ``links(id, to)``: the components that they connect become one."""
+    left = links.join(labels.withColumnRenamed("component", "u"), "id", "left").withColumn("u", F.coalesce("u", "id"))
+    both = left.join(labels.toDF("to", "v"), "to", "left").withColumn("v", F.coalesce("v", "to"))
+    merged = durable(components(both.select("u", "v"))).toDF("component", "least")
+    alone = links.select("id").union(links.select("to")).distinct().join(labels, "id", "left_anti").withColumn("component", F.col("id"))
+    named = labels.select("id", "component").union(alone)
+    return named.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that lie in different components after the comparisons with centres,
-    one end outside the centre's own. Two members whose similarity to the centre differs by more
-    than a link's greatest distance can't be linked, nor can sets whose sizes differ too much."""
-    known = seen.select(F.col("member_set").alias("set_id"), "centre_set", (F.col("common") / F.col("either")).alias("like"))
+    one end outside the centre's own, each pair in the first bucket that it shares.
+
+    With a centre c, two sets x and y have at most ``min(|xc|, |yc|) + min(|x - c|, |y - c|)``
+    elements in common; a pair whose bound is too small for a link is left out.
+    """
+    known = seen.select(F.col("member_set").alias("set_id"), "centre_set", "common")
     labelled = members.where("n > 2").join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("band", "key").agg(
         F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.expr("if(set_id = centre_set, label, null)")).alias("main"))
     mixed = mixed.where("a <> b").select("band", "key", "main")
-    found = durable(labelled.join(mixed, ["band", "key"]).join(known, ["set_id", "centre_set"]).select("band", "key", "main", "id", "set_id", "size", "label", "like"))
-    left = found.where("label <> main").select("band", "key", *[F.col(c).alias(f"{c}1") for c in ("id", "set_id", "size", "label", "like")])
-    right = found.select("band", "key", *[F.col(c).alias(f"{c}2") for c in ("id", "set_id", "size", "label", "like")])
+    own = ["id", "set_id", "size", "label", "common", "bands"]
+    found = labelled.join(mixed, ["band", "key"]).join(known, ["set_id", "centre_set"])
+    found = durable(found.join(sets.select("set_id", "bands"), "set_id").select("band", "key", "main", *own))
+    left = found.where("label <> main").select("band", "key", *[F.col(c).alias(f"{c}1") for c in own])
+    right = found.select("band", "key", *[F.col(c).alias(f"{c}2") for c in own])
+    most = "(least(common1, common2) + least(size1 - common1, size2 - common2))"
     near = left.join(right, ["band", "key"]).where(
-        f"label1 <> label2 and 100 * least(size1, size2) >= {percent} * greatest(size1, size2) and abs(like1 - like2) <= {(100 - percent) / 100} + 1e-9")
+        f"label1 <> label2 and 100 * least(size1, size2) >= {percent} * greatest(size1, size2)"
+        f" and 100 * {most} >= {percent} * (size1 + size2 - {most})"
+        " and not exists(arrays_zip(slice(bands1, 1, band), slice(bands2, 1, band)), x -> x['0'] = x['1'])")
     swap = "xxhash64(set_id1) < xxhash64(set_id2)"
     ends = {"member": ("id1", "id2"), "member_set": ("set_id1", "set_id2"), "centre": ("id2", "id1"), "centre_set": ("set_id2", "set_id1")}
     return near.select(*[F.expr(f"if({swap}, {b}, {a})").alias(c) for c, (a, b) in ends.items()]).distinct()
