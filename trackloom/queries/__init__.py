@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with SQL for the same rows where that exists."""
 
-from trackloom.queries import evidence, linking, texts, tracks
+from trackloom.queries import evidence, linking, quality, texts, tracks
 
-_MODULES = (tracks, texts, evidence, linking)
+_MODULES = (tracks, texts, evidence, linking, quality)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
