@@ -1,0 +1,29 @@
+"""Every registered query of the track operators against its SQL on the smallest tables."""
+
+import pytest
+
+import __spark_entry__ as entry
+from tests.compare import assert_same, duck
+from trackloom import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, con, name):
+    assert_same(queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_runs(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_entry(spark):
+    assert entry.entry(spark).columns[:3] == ["video_id", "key", "kind"]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
