@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -18,3 +19,16 @@ def durable(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows that a task takes at least when a small durable table is read.
+ROWS_A_TASK = 50_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``durable(df)`` and its number of rows, counted on the way. A table of few rows is read by few
+    tasks: else every later shuffle would write as many tiny files as there are partitions."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    return out.coalesce(1 + n // ROWS_A_TASK), n

@@ -17,8 +17,11 @@ def attach(rows: DataFrame, summary: DataFrame, keys: list[str], count: str, tot
     they exceed that share, their summary row being repeated for each; other keys have one salt.
     ``keys`` must not be null in ``rows``. ``how`` is ``inner`` or ``left``; ``total`` is the number
     of rows; ``spread`` is the hash that picks a row's salt, by default over all its columns.
+    The largest count is looked up at once; without a hot key the join is a plain one.
     """
     limit = max(1000, total // HOT_KEYS)
+    if (summary.agg(F.max(count)).first()[0] or 0) <= limit:
+        return rows.join(summary.hint("shuffle_hash"), keys, how)
     salts = F.greatest(F.lit(1), F.ceil(F.col(count) / limit)).cast("int")
     hot = summary.where(F.col(count) > limit).select(*keys, salts.alias("__salts"))
     spread = F.xxhash64(*rows.columns) if spread is None else spread
