@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import Words, mix, runs, words_of
+from trackloom.llm.words import blocks, mix, runs, words_of
 
 #: Text in a chunk, and of the corpus for each part of the count tables.
-CHUNK_BYTES = PART_BYTES = 16 << 20
+CHUNK_BYTES = PART_BYTES = 8 << 20
 
 
 def _shrink(values: np.ndarray) -> bytes:
@@ -59,18 +59,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], names=list(out))
 
 
-def _words(blocks: pa.Table) -> tuple[list, Words]:
-    """doc_ids and words of a chunk's blocks."""
-    raw = b"".join(zstandard.ZstdDecompressor().decompress(t.as_py()) for t in blocks.column("texts"))
-    lengths = [n for row in blocks.column("lengths").to_pylist() for n in row]
-    ids = [i for row in blocks.column("ids").to_pylist() for i in row]
-    return ids, words_of(np.frombuffer(raw, dtype=np.uint8), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64), lower=True)
+def _words(packed: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+    """doc_ids of a chunk; the text index and the hash of each word."""
+    ids, docs, hashes = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for row_ids, lengths, texts in zip(packed.column("ids"), packed.column("lengths"), packed.column("texts"), strict=True):
+        data = pa.py_buffer(zstandard.ZstdDecompressor().decompress(texts.as_py()))
+        offsets = np.concatenate([[0], np.cumsum(lengths.as_py(), dtype=np.int64)]).astype(np.int64)
+        column = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), data])
+        for first, _, raw, at in blocks(column):
+            words = words_of(raw, at, lower=True)
+            docs.append(words.doc + len(ids) + first)
+            hashes.append(words.hashes())
+        ids += row_ids.as_py()
+    return ids, np.concatenate(docs), np.concatenate(hashes)
 
 
-def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(doc: np.ndarray, h: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length up to ``order``: word positions that end an n-gram of it, and its hash."""
-    h, at = words.hashes(), runs(words.doc, words.n_docs)
-    place = np.arange(len(h)) - at[words.doc]
+    place = np.arange(len(h)) - np.searchsorted(doc, doc)
     out, gram = [], np.zeros(len(h), dtype=np.uint64)
     for n in range(1, order + 1):
         # The hash of the n words up to each position, from that of the n-1 up to the one before.
@@ -82,11 +88,6 @@ def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _distinct(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of all lengths, sorted; how often each is there; index of each occurrence."""
-    return np.unique(np.concatenate([g for _, g in grams]), return_inverse=True, return_counts=True)
-
-
 def _bounds(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Where each part begins among sorted hashes: a part is an equal range of them."""
     edges = np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
@@ -112,9 +113,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     packed = keyed.mapInArrow(_pack, "chunk long, ids array<long>, lengths array<long>, texts binary")
 
-    def count(key: tuple, blocks: pa.Table) -> pa.Table:
-        _, words = _words(blocks)
-        found, times = _distinct(_grams(words, order))[::2]
+    def count(key: tuple, packed: pa.Table) -> pa.Table:
+        _, doc, h = _words(packed)
+        found, times = np.unique(np.concatenate([g for _, g in _grams(doc, h, order)]), return_counts=True)
         at = _bounds(found, parts)
         rows = [(p, found[at[p] : at[p + 1]], times[at[p] : at[p + 1]]) for p in range(parts) if at[p] < at[p + 1]]
         return pa.table({
@@ -134,13 +135,13 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
     totals = counted.groupBy("part").applyInArrow(add, "chunk long, part long, totals binary")
     words_in_all = docs.agg(F.sum(F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))).first()[0] or 0
 
-    def score(key: tuple, blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, words = _words(blocks)
-        grams = _grams(words, order)
-        _, place, _ = _distinct(grams)
+    def score(key: tuple, packed: pa.Table, replies: pa.Table) -> pa.Table:
+        ids, doc, h = _words(packed)
+        grams, n = _grams(doc, h, order), len(h)
+        del h
+        place = np.unique(np.concatenate([g for _, g in grams]), return_inverse=True)[1]
         replies = replies.sort_by("part")
         corpus = np.concatenate([np.zeros(0, dtype=np.uint64), *[_grow(t.as_py(), np.uint64) for t in replies.column("totals")]]).astype(np.float64)
-        n = len(words.start)
         logs, seen, context = np.zeros(n), np.zeros(n, dtype=bool), np.full(n, float(words_in_all))
         first = 0
         for length, (ends, hashes) in enumerate(grams, 1):
@@ -151,8 +152,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
             seen[ends] = held
             context = np.full(n, np.nan)  # the n-gram that ends before a position
             context[ends[ends < n - 1] + 1] = times[ends < n - 1]
-        sums = np.bincount(words.doc, weights=logs, minlength=len(ids))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(runs(words.doc, len(ids))).astype(np.int64)),
-                         "n_seen": pa.array(np.bincount(words.doc, weights=seen, minlength=len(ids)).astype(np.int64)), "log_score": pa.array(sums)})
+        sums = np.bincount(doc, weights=logs, minlength=len(ids))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(runs(doc, len(ids))).astype(np.int64)),
+                         "n_seen": pa.array(np.bincount(doc, weights=seen, minlength=len(ids)).astype(np.int64)), "log_score": pa.array(sums)})
 
     return packed.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, n_seen long, log_score double")
