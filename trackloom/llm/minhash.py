@@ -9,7 +9,8 @@ the permutations step by step, which gives the same minima as element by element
 Equal sets are collapsed by a 128-bit digest before anything is compared, so copies cost one row.
 Bands of the signatures give buckets. Each bucket first compares its members with one centre;
 where that leaves a bucket in several components, every remaining pair across components is
-compared, except those that the sizes, or what both have in common with the centre, rule out. So groups of near copies cost rows in proportion to their size, yet no candidate link is lost.
+compared. Counts of shingles by class bound what two sets can have in common; pairs that they rule
+out are never fetched. So groups of near copies cost rows in proportion to their size, yet no candidate link is lost.
 Links are confirmed on the full sets; a hot centre's comparisons are spread over many tasks.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.words import blocks, mix, runs, words_of
 from trackloom.plans.components import components
-from trackloom.plans.durable import durable
+from trackloom.plans.durable import counted, durable
 from trackloom.plans.hot_keys import attach
 
 #: Bands and slots per band: a pair at similarity 0.85 escapes all 32 bands with chance 7e-9, at
@@ -32,6 +33,11 @@ from trackloom.plans.hot_keys import attach
 BANDS, ROWS = 32, 5
 #: Elements whose permutations are held at a time, one byte a slot.
 ELEMENTS = 100_000
+#: Classes of shingles (by their hash) that are counted for each set: the counts bound from above what
+#: two sets have in common.
+CLASSES = 128
+#: Documents whose ids are broadcast to pick texts for comparison; more are picked by a shuffle.
+FEW = 100_000
 #: Comparisons with one centre that share a task's group.
 PER_SALT = 200
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -127,6 +133,8 @@ def _sign(k: int, bands: int, rows: int):
                 n = end - first
                 at = runs(doc, n)
                 keys = np.empty((n, bands), dtype=np.int64)
+                counts = np.bincount(doc * CLASSES + (element >> np.uint64(57)).astype(np.int64), minlength=n * CLASSES).reshape(n, CLASSES)
+                held = np.minimum(counts, 32767).astype(np.int16)
                 i = 0
                 while i < n:  # runs of documents with few enough elements, or one
                     j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + ELEMENTS, side="right")) - 1))
@@ -139,16 +147,19 @@ def _sign(k: int, bands: int, rows: int):
                         pa.array(np.diff(at)),
                         pa.array(digests(doc, element, n), pa.binary()),
                         pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1))),
+                        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * CLASSES, pa.array(held.reshape(-1))),
+                        pa.array(np.diff(at) - held.sum(axis=1)),
                     ],
-                    names=["doc_id", "n_shingles", "set_id", "bands"],
+                    names=["doc_id", "n_shingles", "set_id", "bands", "classes", "uncounted"],
                 )
 
     return work
 
 
 def signatures(docs: DataFrame, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, set_id, bands)``, one row per document."""
-    return docs.select("doc_id", "text").mapInArrow(_sign(k, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, set_id, bands, classes, uncounted)``, one row per
+    document; ``classes`` counts its shingles by class, ``uncounted`` those over a count's range."""
+    return docs.select("doc_id", "text").mapInArrow(_sign(k, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>, classes array<short>, uncounted long")
 
 
 def _compare(k: int):
@@ -180,24 +191,26 @@ def _compare(k: int):
     return work
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, total: int, k: int) -> DataFrame:
     """Intersection and union of the full sets of ``pairs(member, member_set, centre, centre_set)``.
 
     A group is a centre with at most ``PER_SALT`` members or so; its rows stream through one task
     with the centre first, and only the centre's set is held.
     """
-    degree = pairs.groupBy("centre_set").agg(F.count("*").alias("n"))
-    degree = durable(degree)
-    salted = attach(pairs, degree, ["centre_set"], "n", pairs.count()).withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int"))
+    degree, _ = counted(pairs.groupBy("centre_set").agg(F.count("*").alias("n")))
+    salted = attach(pairs, degree, ["centre_set"], "n", total).withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int"))
     members = salted.select(
         F.col("member").alias("doc_id"), F.col("member_set").alias("set_id"), "centre_set",
         F.expr("pmod(xxhash64(member_set), salts)").cast("int").alias("salt"), F.lit(True).alias("member"))
     centres = salted.groupBy("centre", "centre_set", "salts").agg(F.lit(1)).select(
         F.col("centre").alias("doc_id"), F.col("centre_set").alias("set_id"), "centre_set",
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
-    wanted = members.unionByName(centres)
+    wanted, n = counted(members.unionByName(centres))
+    ids, texts = wanted.select("doc_id").distinct(), docs.select("doc_id", "text")
+    if n <= FEW:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     return (
-        docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id")
+        texts.join(wanted.hint("shuffle_hash"), "doc_id")
         .repartition("centre_set", "salt").sortWithinPartitions("centre_set", "salt", "member")
         .mapInArrow(_compare(k), "member long, centre long, member_set binary, centre_set binary, common long, either long")
         .distinct()
@@ -219,63 +232,80 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     signed = durable(signatures(docs, k, bands, rows))
     named = signed.where("doc_id is not null and set_id is not null")
-    sets = durable(named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.count("*").alias("copies")))
+    alike = [F.first(c).alias(c) for c in ("bands", "classes", "uncounted")]
+    sets = durable(named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.count("*").alias("copies"), *alike))
     total = sets.count() * bands
-    spread = sets.select("id", "set_id", "size", F.posexplode("bands").alias("band", "key"))
-    first = F.min(F.struct(F.xxhash64("set_id").alias("p"), "id", "set_id")).alias("c")
-    full = spread.groupBy("band", "key").agg(F.count("*").alias("n"), first).where("n > 1")
-    full = durable(full.select("band", "key", "n", F.col("c.id").alias("centre"), F.col("c.set_id").alias("centre_set")))
-    members = durable(attach(spread, full, ["band", "key"], "n", total))
-    pairs = durable(
-        members.where("set_id <> centre_set")
-        .select(F.col("id").alias("member"), F.col("set_id").alias("member_set"), "centre", "centre_set").distinct())
-    seen = durable(verify(docs, pairs, k))
+    spread = sets.select("set_id", F.posexplode("bands").alias("band", "key"))
+    shared, _ = counted(spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    members, _ = counted(attach(spread, shared, ["band", "key"], "n", total))
+    members, _ = counted(_with_centres(members, total))
+    pairs, n_pairs = counted(_may_link(members.where("set_id <> centre_set").select(F.col("set_id").alias("set1"), F.col("centre_set").alias("set2")).distinct(), sets, int(percent)))
     linked = F.expr(f"100 * common >= {int(percent)} * either")
-    links = seen.where(linked).select(F.col("member").alias("u"), F.col("centre").alias("v"))
-    labels = durable(components(links))
-    rest = durable(_open_pairs(members, sets, labels, seen, int(percent)))
-    if not rest.isEmpty():
-        more = durable(verify(docs, rest, k).where(linked).select(F.col("member").alias("id"), F.col("centre").alias("to")))
-        if not more.isEmpty():
+    links = verify(docs, pairs, n_pairs, k).where(linked).select(F.col("member").alias("u"), F.col("centre").alias("v"))
+    labels, _ = counted(components(links))
+    rest, n_rest = counted(_open_pairs(members, sets, labels, int(percent)))
+    if n_rest:
+        more, n_more = counted(verify(docs, rest, n_rest, k).where(linked).select(F.col("member").alias("id"), F.col("centre").alias("to")))
+        if n_more:
             labels = _joined(labels, more)
     return _labelled(signed, sets, labels)
 
 
+def _with_centres(members: DataFrame, total: int) -> DataFrame:
+    """Adds each bucket's centre: the member that shares most bucket places with others, which in a
+    group of edited copies is the text they stem from, or what is nearest to it."""
+    central = members.groupBy("set_id").agg(F.sum("n").alias("c"))
+    found = members.join(central, "set_id").groupBy("band", "key").agg(F.max(F.struct("c", F.xxhash64("set_id").alias("h"), "set_id")).alias("m"), F.count("*").alias("n"))
+    return attach(members.drop("n"), counted(found.select("band", "key", "n", F.col("m.set_id").alias("centre_set")))[0], ["band", "key"], "n", total)
+
+
+def _possible(percent: int) -> str:
+    """SQL: sizes and class counts of two sets allow a link. What two sets have in common is at most
+    the sum over classes of the smaller count."""
+    common = "(aggregate(zip_with(classes1, classes2, (x, y) -> int(least(x, y))), 0, (a, x) -> a + x) + least(uncounted1, uncounted2))"
+    return f"100 * least(size1, size2) >= {percent} * greatest(size1, size2) and {100 + percent} * {common} >= {percent} * (size1 + size2)"
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(set1, set2)`` those that the class counts leave open, as ``verify`` takes them."""
+    told = ["id", "size", "classes", "uncounted"]
+    side = lambda i: sets.select(F.col("set_id").alias(f"set{i}"), *[F.col(c).alias(f"{c}{i}") for c in told])
+    pairs, total = counted(pairs)
+    degree = pairs.groupBy("set2").agg(F.count("*").alias("n"))
+    both = attach(pairs, counted(side(2).join(degree, "set2"))[0], ["set2"], "n", total).join(side(1), "set1")
+    return both.where(_possible(percent)).select(F.col("id1").alias("member"), F.col("set1").alias("member_set"), F.col("id2").alias("centre"), F.col("set2").alias("centre_set"))
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after further ``links(id, to)``: the components that they connect become one."""
     left = links.join(labels.withColumnRenamed("component", "u"), "id", "left").withColumn("u", F.coalesce("u", "id"))
     both = left.join(labels.toDF("to", "v"), "to", "left").withColumn("v", F.coalesce("v", "to"))
-    merged = durable(components(both.select("u", "v"))).toDF("component", "least")
+    merged = counted(components(both.select("u", "v")))[0].toDF("component", "least")
     alone = links.select("id").union(links.select("to")).distinct().join(labels, "id", "left_anti").withColumn("component", F.col("id"))
     named = labels.select("id", "component").union(alone)
     return named.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket that lie in different components after the comparisons with centres,
-    one end outside the centre's own, each pair in the first bucket that it shares.
-
-    With a centre c, two sets x and y have at most ``min(|xc|, |yc|) + min(|x - c|, |y - c|)``
-    elements in common; a pair whose bound is too small for a link is left out.
-    """
-    known = seen.select(F.col("member_set").alias("set_id"), "centre_set", "common")
-    labelled = members.where("n > 2").join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    one end outside the centre's own, each pair in the first bucket that it shares; without those
+    that the class counts rule out."""
+    told = sets.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = members.where("n > 2").join(told.select("set_id", "id", "label"), "set_id")
     mixed = labelled.groupBy("band", "key").agg(
         F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.expr("if(set_id = centre_set, label, null)")).alias("main"))
     mixed = mixed.where("a <> b").select("band", "key", "main")
-    own = ["id", "set_id", "size", "label", "common", "bands"]
-    found = labelled.join(mixed, ["band", "key"]).join(known, ["set_id", "centre_set"])
-    found = durable(found.join(sets.select("set_id", "bands"), "set_id").select("band", "key", "main", *own))
-    left = found.where("label <> main").select("band", "key", *[F.col(c).alias(f"{c}1") for c in own])
+    own = ["id", "set_id", "size", "label", "classes", "uncounted", "bands"]
+    found = labelled.where("set_id <> centre_set").join(mixed, ["band", "key"]).select("set_id", "id", "label", "band", "key", "main")
+    found, _ = counted(found.join(sets.select("set_id", "size", "classes", "uncounted", "bands"), "set_id"))
+    left = found.where("label <> main").select("band", "key", "main", *[F.col(c).alias(f"{c}1") for c in own])
     right = found.select("band", "key", *[F.col(c).alias(f"{c}2") for c in own])
-    most = "(least(common1, common2) + least(size1 - common1, size2 - common2))"
+    # Of two outside the centre's component each pair comes once.
     near = left.join(right, ["band", "key"]).where(
-        f"label1 <> label2 and 100 * least(size1, size2) >= {percent} * greatest(size1, size2)"
-        f" and 100 * {most} >= {percent} * (size1 + size2 - {most})"
-        " and not exists(arrays_zip(slice(bands1, 1, band), slice(bands2, 1, band)), x -> x['0'] = x['1'])")
-    swap = "xxhash64(set_id1) < xxhash64(set_id2)"
-    ends = {"member": ("id1", "id2"), "member_set": ("set_id1", "set_id2"), "centre": ("id2", "id1"), "centre_set": ("set_id2", "set_id1")}
-    return near.select(*[F.expr(f"if({swap}, {b}, {a})").alias(c) for c, (a, b) in ends.items()]).distinct()
+        "label1 <> label2 and (label2 = main or set_id1 < set_id2)"
+        " and not exists(arrays_zip(slice(bands1, 1, band), slice(bands2, 1, band)), x -> x['0'] = x['1'])"
+        f" and {_possible(percent)}")
+    return near.select(F.col("id1").alias("member"), F.col("set_id1").alias("member_set"), F.col("id2").alias("centre"), F.col("set_id2").alias("centre_set"))
 
 
 def _labelled(signed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
