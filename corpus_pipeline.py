@@ -3,6 +3,9 @@
 Toxic documents go; of equal texts one stays; of near duplicates one stays; sources are mixed to
 their target weights (documents taken more than once are repeated, those not taken go); and what
 is left is encoded by a byte-level BPE and decoded again.
+
+Documents are rows, not ids: a null doc_id takes part in every stage, and rows that repeat a doc_id
+are judged each by its own text. Joins back to the documents are on ``row_key``.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
@@ -22,6 +26,20 @@ PERCENT, SHINGLE = 80, 5
 WEIGHTS, MAX_REPEATS = [5, 2, 1], 3
 
 
+def row_key(docs: DataFrame) -> Column:
+    """25 bytes that name a row of ``docs``: they order by doc_id, null last, and end in a digest of
+    all columns, so only rows that are equal throughout share them."""
+    parts = [F.concat(F.coalesce(F.length(v).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(v, F.lit(""))) for v in (F.col(c).cast("string") for c in docs.columns)]
+    number = F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63))))  # as unsigned, negative ids are first
+    ordered = F.coalesce(F.concat(F.lit("00"), F.lpad(number, 16, "0")), F.lit("01" + "0" * 16))
+    return F.unhex(F.concat(ordered, F.md5(F.concat(*parts))))
+
+
+def _numbered() -> Column:
+    """Counts rows of one key from 1; they are equal, so any order will do."""
+    return F.row_number().over(W.partitionBy("__row").orderBy("__row"))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the rows that the classifier chain rejects."""
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,16 +52,24 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one document for each group of near duplicates."""
-    gone = minhash.near_duplicates(docs, SHINGLE, PERCENT).where("not kept").select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row for each group of near duplicates, the first by ``row_key``. Texts
+    without words are linked with nothing and stay."""
+    named = docs.withColumn("__row", row_key(docs))
+    gone = minhash.near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"), SHINGLE, PERCENT).where("not kept").select(F.col("doc_id").alias("__row"))
+    left = named.join(gone.hint("shuffle_hash"), "__row", "left_anti").withColumn("__n", _numbered())
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.where((F.col("__n") == 1) | ~worded).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` as often as the mix starts to take them."""
-    taken = mixing.mix(docs, WEIGHTS, MAX_REPEATS).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken.hint("shuffle_hash"), "doc_id")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """``docs``, each row as often as the mix starts to take it."""
+    named = docs.withColumn("__row", row_key(docs))
+    # Equal rows follow one another in the mix: the first of them may be taken once more than the rest.
+    taken = mixing.mix(named, WEIGHTS, MAX_REPEATS, row="__row").groupBy("__row").agg(
+        F.min("copies").alias("__least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("__more")).where("__least + __more > 0")
+    joined = named.join(taken.hint("shuffle_hash"), "__row").withColumn("__n", _numbered())
+    joined = joined.withColumn("__copies", (F.col("__least") + (F.col("__n") <= F.col("__more")).cast("long")).cast("int")).where("__copies > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +86,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", encoded),
 ]
 
-#: A trained classifier and a tokenizer can't be expressed in SQL; tests compare with brute force.
+#: A trained classifier and a tokenizer can't be expressed in SQL; tests compare the deduplicating and
+#: mixing stages with brute force.
 ORACLE_SQL: str | None = None
 
 

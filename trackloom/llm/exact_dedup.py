@@ -150,17 +150,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text an earlier doc_id has; all columns stay.
-
-    Rows of a group without any doc_id all stay, as do none but one of the rows that repeat both
-    the kept doc_id and its text.
-    """
+    """One row of ``docs`` for each text, that of the smallest doc_id; all columns stay. Of the rows
+    that repeat both the kept doc_id and its text one stays, as of a group without any doc_id."""
     kept = durable(exact_duplicates(docs).where("kept").groupBy("doc_id", "text_sha256").count())
     normal = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
     keyed = docs.withColumn("__sha", F.sha2(normal, 256))
     of = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")).hint("shuffle_hash")
     picked = keyed.join(of, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left_semi")
-    if not kept.where("count > 1 and doc_id is not null").isEmpty():
-        named = picked.where("doc_id is not null").dropDuplicates(["doc_id", "__sha"])
-        picked = named.unionByName(picked.where("doc_id is null"))
+    if not kept.where("count > 1").isEmpty():
+        picked = picked.dropDuplicates(["doc_id", "__sha"])
     return picked.drop("__sha")

@@ -125,7 +125,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sign(k: int, bands: int, rows: int):
+def _sign(k: int, bands: int, rows: int, id_type: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("text")):
@@ -143,7 +143,7 @@ def _sign(k: int, bands: int, rows: int):
                     i = j
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(first, n).cast(pa.int64()),
+                        batch.column("doc_id").slice(first, n).cast(id_type),
                         pa.array(np.diff(at)),
                         pa.array(digests(doc, element, n), pa.binary()),
                         pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1))),
@@ -156,14 +156,20 @@ def _sign(k: int, bands: int, rows: int):
     return work
 
 
+def _id_types(docs: DataFrame) -> tuple[str, pa.DataType]:
+    """A binary doc_id stays what it is, others are 64-bit numbers."""
+    return ("binary", pa.binary()) if docs.schema["doc_id"].dataType.typeName() == "binary" else ("long", pa.int64())
+
+
 def signatures(docs: DataFrame, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, set_id, bands, classes, uncounted)``, one row per
     document; ``classes`` counts its shingles by class, ``uncounted`` those over a count's range."""
-    return docs.select("doc_id", "text").mapInArrow(_sign(k, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>, classes array<short>, uncounted long")
+    named, id_type = _id_types(docs)
+    return docs.select("doc_id", "text").mapInArrow(_sign(k, bands, rows, id_type), f"doc_id {named}, n_shingles long, set_id binary, bands array<long>, classes array<short>, uncounted long")
 
 
-def _compare(k: int):
-    schema = pa.schema([("member", pa.int64()), ("centre", pa.int64()), ("member_set", pa.binary()), ("centre_set", pa.binary()), ("common", pa.int64()), ("either", pa.int64())])
+def _compare(k: int, id_type: pa.DataType):
+    schema = pa.schema([("member", id_type), ("centre", id_type), ("member_set", pa.binary()), ("centre_set", pa.binary()), ("common", pa.int64()), ("either", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centre, own = None, None, None
@@ -205,6 +211,7 @@ def verify(docs: DataFrame, pairs: DataFrame, total: int, k: int) -> DataFrame:
     centres = salted.groupBy("centre", "centre_set", "salts").agg(F.lit(1)).select(
         F.col("centre").alias("doc_id"), F.col("centre_set").alias("set_id"), "centre_set",
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    named, id_type = _id_types(docs)
     wanted, n = counted(members.unionByName(centres))
     ids, texts = wanted.select("doc_id").distinct(), docs.select("doc_id", "text")
     if n <= FEW:
@@ -212,7 +219,7 @@ def verify(docs: DataFrame, pairs: DataFrame, total: int, k: int) -> DataFrame:
     return (
         texts.join(wanted.hint("shuffle_hash"), "doc_id")
         .repartition("centre_set", "salt").sortWithinPartitions("centre_set", "salt", "member")
-        .mapInArrow(_compare(k), "member long, centre long, member_set binary, centre_set binary, common long, either long")
+        .mapInArrow(_compare(k, id_type), f"member {named}, centre {named}, member_set binary, centre_set binary, common long, either long")
         .distinct()
     )
 
@@ -227,7 +234,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Null or empty texts have an empty set and are linked with nothing. A null doc_id can't be
     named as a group's member: such rows get a null component and are kept. Rows that repeat a
-    doc_id are placed each by its own text; all rows that carry the component's id are kept.
+    doc_id are signed each by its own text, but links are between ids: all rows that carry the
+    component's id are kept. Where each row counts, null and repeated ids included, pass a binary
+    key of the row as ``doc_id`` (``corpus_pipeline.row_key``); keys order as unsigned bytes.
     Other columns of ``docs`` are not read.
     """
     signed = durable(signatures(docs, k, bands, rows))

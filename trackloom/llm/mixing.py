@@ -56,18 +56,20 @@ def targets(sizes: DataFrame, weights: list[float], max_repeats: int = 3) -> Dat
     return level.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3, row: str | None = None) -> DataFrame:
     """How many words of each row of ``docs(doc_id, text, source, ...)`` the mix takes.
 
     Returns ``doc_id, size, source_size, target, taken, copies``: ``taken`` counts repeats,
     ``copies`` is the number of (started) repeats. The document at the end of the budget is taken
     in part. Null texts have size 0 and are never taken; null sources are a source of their own.
-    Rows that repeat doc_id and text have the same key and follow one another. Other columns are
-    not read.
+    Rows that repeat doc_id and text have the same key and follow one another; null doc_ids take
+    part like others. ``row`` names a column that tells rows apart and is returned too, so copies
+    can be given to rows whose doc_id is null or repeated. Other columns are not read.
     """
+    told = [row] if row else []
     draw = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("mix")), 256), 1, 12), 16, 10)
     uniform = (draw.cast("double") + 0.5) / float(16**12)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"))
+    rows = docs.select(*told, "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"))
     rows = rows.withColumn("rank_key", -F.log(uniform) / F.col("quality")).drop("quality")
     rows = durable(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.max("rank_key").alias("most"))
@@ -83,8 +85,8 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3)
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
     placed = named.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    inside = W.partitionBy("source", "bucket").orderBy("rank_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("rank_key", "doc_id", "size", *told).rowsBetween(W.unboundedPreceding, -1)
     start = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - start))
     taken = F.col("epochs") * F.col("size") + part
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("epochs") + (part > 0).cast("long")).alias("copies"))
+    return placed.select(*told, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("epochs") + (part > 0).cast("long")).alias("copies"))
