@@ -18,36 +18,44 @@ FLOOR = 0.12
 MOST_QUERIES = 20_000
 
 
-def terms(texts: DataFrame, key: str) -> DataFrame:
-    """``(key, term, tf)`` of ``texts(key, text)``: words of two or more characters and pairs of
+def terms(texts: DataFrame, *key: str) -> DataFrame:
+    """``(*key, term, tf)`` of ``texts(*key, text)``: words of two or more characters and pairs of
     neighbours, ``tf = 1 + ln(count)``."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    cut = texts.select(key, tokens.alias("w"))
+    cut = texts.select(*key, tokens.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    every = cut.select(key, F.explode(F.concat(F.col("w"), pairs)).alias("term"))
-    return every.groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    every = cut.select(*key, F.explode(F.concat(F.col("w"), pairs)).alias("term"))
+    return every.groupBy(*key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, by: str | None = None) -> DataFrame:
     """Cosine of every query with every document that shares a term: ``query_id, doc_id, score``.
 
     The model of a query is fitted on the documents plus the query: ``idf = ln((2 + N) / (1 + df)) +
     1`` with ``df`` one higher for the query's terms. A document's norm is computed once; a query
     changes it only by their shared terms, so nothing is computed for pairs that share none.
     ``docs(doc_id, text)``, ``queries(query_id, text)``; query terms are broadcast if few.
+
+    ``by`` names a column of both: a query then meets only the documents with its value, and the
+    model is fitted on those. Null values meet nothing.
     """
-    n = docs.count()
-    own = terms(docs, "doc_id")
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    keys = [by] if by else []
+    own = terms(docs, "doc_id", *keys)
+    df = own.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    asked = terms(queries, "query_id", *keys).withColumnRenamed("tf", "qf")
+    if by:
+        sizes = docs.groupBy(by).agg(F.count("*").alias("n"))
+        own, asked, n = own.join(sizes, by), asked.join(sizes, by), F.col("n")
+    else:
+        n = docs.count()
     idf = lambda d: F.log((2.0 + n) / (1.0 + d)) + 1
-    asked = terms(queries, "query_id").withColumnRenamed("tf", "qf")
-    held = own.join(df, "term").withColumn("w2", F.pow(F.col("tf") * idf(F.col("df")), 2))
-    base = held.groupBy("doc_id").agg(F.sum("w2").alias("base"))
-    asked = asked.join(df, "term", "left").withColumn("idf1", idf(F.coalesce("df", F.lit(0)) + 1)).drop("df")
+    held = own.join(df, [*keys, "term"]).withColumn("w2", F.pow(F.col("tf") * idf(F.col("df")), 2))
+    base = held.groupBy("doc_id", *keys).agg(F.sum("w2").alias("base"))
+    asked = asked.join(df, [*keys, "term"], "left").withColumn("idf1", idf(F.coalesce("df", F.lit(0)) + 1)).drop("df", "n")
     qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf1"), 2))).alias("qnorm"))
-    shared = held.join(asked, "term").groupBy("query_id", "doc_id").agg(
+    shared = held.join(asked, [*keys, "term"]).groupBy("query_id", "doc_id", *keys).agg(
         F.sum(F.col("tf") * F.col("qf") * F.pow("idf1", 2)).alias("dot"), F.sum(F.pow(F.col("tf") * F.col("idf1"), 2) - F.col("w2")).alias("more"))
-    scored = shared.join(base, "doc_id").join(qnorm, "query_id")
+    scored = shared.join(base, ["doc_id", *keys]).join(qnorm, "query_id")
     return scored.select("query_id", "doc_id", (F.col("dot") / F.col("qnorm") / F.sqrt(F.col("base") + F.col("more"))).alias("score"))
 
 
@@ -58,7 +66,7 @@ def top(scored: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float = FLOOR, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float = FLOOR, weights: dict[str, float] = WEIGHTS, on_all: bool = False) -> DataFrame:
     """Ranked events for a table of queries.
 
     ``events(event_id, text, camera_id, location, kind, entities array, colours array, start_s,
@@ -67,10 +75,16 @@ def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float
     don't filter. Text scores below ``floor`` count only beside a structured constraint; queries for
     unsupported activities have no results. Returns ``query_id, event_id, score, rank, total``:
     score rounded to 4 places, ties by start, then id; ``total`` counts before the limit.
+
+    The text model of a query with a camera is fitted on that camera's events, of others on all;
+    ``on_all`` fits every query on all events, which scores and ranks differently.
     """
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"search at most {MOST_QUERIES} queries at a time")
-    text = tfidf(events.select(F.col("event_id").alias("doc_id"), "text"), queries.select("query_id", "text"))
+    docs, free_queries = events.select(F.col("event_id").alias("doc_id"), "text", F.col("camera_id").alias("camera")), queries if on_all else queries.where("camera is null")
+    text = tfidf(docs.drop("camera"), free_queries.select("query_id", "text"))
+    if not on_all:
+        text = text.unionByName(tfidf(docs, queries.where("camera is not null").select("query_id", "text", "camera"), "camera"))
     q = {c: F.col(f"q.{c}") for c in queries.columns}
     e = {c: F.col(f"e.{c}") for c in events.columns}
     free = lambda c, test: q[c].isNull() | test

@@ -53,7 +53,8 @@ def event_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search(events(spark, sf_dir), event_queries(spark, sf_dir), 10)
+    # Its SQL fits one model on all events; by default ``search`` fits on a query's camera.
+    return S.search(events(spark, sf_dir), event_queries(spark, sf_dir), 10, on_all=True)
 
 
 _TERMS = """t as (select id, w, kind from (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') as w, 'd' as kind from documents
