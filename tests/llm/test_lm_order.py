@@ -1,0 +1,11 @@
+"""The registered language model query backs off from trigrams."""
+
+from trackloom.llm import lm_score, queries
+
+
+def test_query_uses_trigrams(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries, "_documents", lambda spark, sf_dir: None)
+    monkeypatch.setattr(lm_score, "backoff_scores", lambda docs, order=2: asked.update(order=order))
+    queries.op4_lm_scoring(None, "")
+    assert asked == {"order": 3}

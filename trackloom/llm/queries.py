@@ -31,7 +31,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.backoff_scores(_documents(spark, sf_dir))
+    return lm_score.backoff_scores(_documents(spark, sf_dir), order=3)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
