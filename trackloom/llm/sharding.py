@@ -1,16 +1,19 @@
 """Sharding by sampled splitters: size-weighted key samples, quantile boundaries, range partition.
 
-Records are ordered by a key, the 64-bit hash of the text and then doc_id, so equal texts lie
-together. A sample with a chance in proportion to size gives boundaries at quantiles of the bytes,
-many fine ranges to a shard. The bytes of every fine range are then counted exactly. A range that
-turns out overfull (a group of equal texts, a very long text beside others, or an unlucky sample)
-is subdivided by further boundaries among its own records, until none is or it is one record.
-Fine ranges are dealt to shards in key order where the running total of bytes passes the shards'
-quantiles, so shards differ by about one fine range.
+Records are ordered by a key: the 64-bit hash of the text, then a tie of doc_id's hash and a number
+of the row, so equal texts lie together and even rows that are equal throughout can be told apart. A
+sample with a chance in proportion to size gives boundaries at quantiles of the bytes, many fine
+ranges to a shard. The bytes of every fine range are then counted exactly. A range that turns out
+overfull (a group of equal texts, or an unlucky sample) is subdivided by further boundaries among
+its own records, until none is. Fine ranges are dealt to shards in key order where the running total
+of bytes passes the shards' quantiles; then single ranges move from the fullest shard to the
+emptiest as long as that brings the two closer.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,29 +22,35 @@ from pyspark.sql import functions as F
 
 from trackloom.plans.durable import durable
 
-#: Fine ranges to a shard that the first boundaries aim at, and most in all: what is broadcast and
-#: gathered grows with neither the rows nor their sizes.
-FINE, MOST_RANGES = 128, 65_536
+#: Fine ranges to a shard that the first boundaries aim at, and bytes that a fine range holds at most
+#: then: a task sorts one fine range. What is broadcast and gathered is a few rows for each.
+FINE, RANGE_BYTES = 128, 256 << 20
 #: Sampled keys for each fine range.
 SAMPLES = 16
-#: A range with more than so many times its share of bytes is subdivided.
+#: A range with more than so many times its share of bytes, its largest record aside, is subdivided.
 OVERFULL = 1.5
-ROUNDS = 4
+#: Shards may differ by this share of their mean without ranges being moved.
+EVEN = 0.001
+#: Low bits of the tie that come from the row's number.
+ROW_BITS = 24
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carried: bool = False) -> DataFrame:
     """``doc_id, size, text_crc32, group_key, tie``: size is UTF-8 bytes plus 1; ``tie`` orders
-    records of equal text (hash of doc_id, then spread like any other key)."""
+    records of equal text. Its low bits hash the row's number, which is stable only once the rows
+    are written. ``carried``: all columns of ``docs`` too, as the struct ``row``."""
     text = F.col("text").cast("string")
+    high = F.shiftleft(F.shiftright(F.xxhash64(F.lit("tie"), F.col("doc_id")), ROW_BITS), ROW_BITS)
+    tie = high + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
     return docs.select(
         F.col("doc_id").cast("long"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("group_key"),
-        F.xxhash64(F.lit("tie"), F.col("doc_id")).alias("tie"))
+        tie.alias("tie"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carried else []))
 
 
 def _sample(rows: DataFrame, wanted: int, total: int, salt: int) -> pd.DataFrame:
     """About ``wanted`` keys, each drawn with a chance in proportion to its size; ``weight`` is the
-    size each stands for. The draw is a hash of the record, so reruns agree."""
+    size each stands for."""
     chance = F.least(F.lit(1.0), F.col("size") * (wanted / max(total, 1)))
     draw = F.pmod(F.xxhash64(F.lit(salt), "group_key", "tie"), F.lit(1 << 40)) / float(1 << 40)
     drawn = rows.where(draw < chance).select("group_key", "tie", (F.col("size") / chance).alias("weight"))
@@ -75,49 +84,84 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     return rows.withColumn("range", place("group_key", "tie"))
 
 
+def deal(sizes: np.ndarray, n_shards: int) -> np.ndarray:
+    """The shard of each range: in order where the running total passes the shards' quantiles, then
+    ranges move from the fullest shard to the emptiest while that evens the two out."""
+    total = sizes.sum()
+    shard = np.minimum(n_shards - 1, ((np.cumsum(sizes) - sizes / 2) * n_shards / max(total, 1)).astype(np.int64))
+    load = np.bincount(shard, weights=sizes, minlength=n_shards)
+    order, cuts = np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(1, n_shards))
+    own = [x.tolist() for x in np.split(order, cuts)]
+    full, empty = [(-x, s) for s, x in enumerate(load)], [(x, s) for s, x in enumerate(load)]
+    heapq.heapify(full), heapq.heapify(empty)
+    while full:
+        if -full[0][0] != load[full[0][1]]:  # stands for an earlier load
+            heapq.heappop(full)
+            continue
+        while empty[0][0] != load[empty[0][1]]:
+            heapq.heappop(empty)
+        most, least = full[0][1], empty[0][1]
+        gap = load[most] - load[least]
+        if gap <= EVEN * total / n_shards:
+            break
+        fitting = [r for r in own[most] if sizes[r] < gap]
+        if not fitting:  # one large record holds this shard up
+            heapq.heappop(full)
+            continue
+        moved = min(fitting, key=lambda r: (abs(2 * sizes[r] - gap), r))
+        own[most].remove(moved), own[least].append(moved)
+        shard[moved] = least
+        for s, change in ((most, -sizes[moved]), (least, sizes[moved])):
+            load[s] += change
+            heapq.heappush(full, (-load[s], s)), heapq.heappush(empty, (load[s], s))
+    return shard
+
+
+def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
+    """Adds ``shard`` and ``slot`` to written rows of ``keyed``."""
+    spark = rows.sparkSession
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    fine = max(n_shards * FINE, -(-total // RANGE_BYTES))
+    share = total / fine if total else 1.0
+    splitters = sorted(set(_quantiles(_sample(rows, fine * SAMPLES, total, 0), share)))
+    turn = 0
+    while True:
+        found = _ranged(rows, splitters)
+        stats = found.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("largest")).toPandas().sort_values("range")
+        over = stats[stats.bytes - stats.largest > OVERFULL * share]
+        if over.empty:
+            break
+        turn += 1  # another draw, and a denser one where earlier draws split nothing
+        inside = found.join(F.broadcast(spark.createDataFrame([(int(r),) for r in over.range], "range int")), "range", "left_semi")
+        drawn = _sample(inside, int(over.bytes.sum() / share + 1) * SAMPLES * turn, int(over.bytes.sum()), turn)
+        splitters = sorted(set(splitters) | set(_quantiles(drawn, share / 2)))
+    dealt = stats.assign(shard=deal(stats.bytes.to_numpy(np.float64), n_shards))
+    dealt["ahead"] = dealt.groupby("shard").n.cumsum() - dealt.n
+    table = spark.createDataFrame(list(dealt[["range", "shard", "ahead"]].astype(int).itertuples(index=False, name=None)), "range int, shard int, ahead long")
+    inside = W.partitionBy("range").orderBy("group_key", "tie", "doc_id", "size")
+    placed = found.join(F.broadcast(table), "range")  # a row for each fine range
+    return placed.withColumn("slot", F.col("ahead") + F.row_number().over(inside) - 1)
+
+
 def shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """A shard and a slot for each row of ``docs(doc_id, text, ...)``, bytes near equal by shard.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``: ``law`` is ``bytes``,
     ``slot`` counts from 0 without gaps in key order inside a shard, ``grown_shard`` is null, as this
     law moves records when shards are added. Equal texts share a shard unless a boundary falls
-    among them. Null texts have size 1; null and repeated doc_ids are placed like others. Other
+    among them. Null texts have size 1. Null and repeated doc_ids, and rows that are equal
+    throughout, are each placed like others. Without rows the result is empty. Shards are as even as
+    single records allow: one record larger than a shard's share makes that shard larger. Other
     columns are not read.
     """
-    rows = durable(keyed(docs))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    fine = min(MOST_RANGES // 4, n_shards * FINE)
-    share = total / fine if total else 1.0
-    splitters = sorted(set(_quantiles(_sample(rows, fine * SAMPLES, total, 0), share)))
-    for turn in range(1, ROUNDS + 1):
-        found = _ranged(rows, splitters)
-        stats = found.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("largest")).toPandas()
-        over = stats[(stats.bytes > OVERFULL * share) & (stats.n > 1) & (stats.bytes > stats.largest)]
-        if over.empty or len(splitters) >= MOST_RANGES:
-            break
-        inside = found.join(F.broadcast(docs.sparkSession.createDataFrame([(int(r),) for r in over.range], "range int")), "range", "left_semi")
-        drawn = _sample(inside, int(over.bytes.sum() / share) * SAMPLES, int(over.bytes.sum()), turn)
-        more = sorted(set(splitters) | set(_quantiles(drawn, share / 2)))[:MOST_RANGES]
-        if len(more) == len(splitters):
-            break
-        splitters = more
-    found = _ranged(rows, splitters)
-    counted = found.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    through = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    middle = F.coalesce(F.sum("bytes").over(through), F.lit(0)) + F.col("bytes") / 2
-    dealt = counted.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / float(max(total, 1)))).cast("int"))
-    ahead = W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    dealt = dealt.select("range", "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = W.partitionBy("range").orderBy("group_key", "tie", "doc_id", "size")
-    placed = found.join(F.broadcast(dealt), "range")  # at most MOST_RANGES rows
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("ahead") + F.row_number().over(inside) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    placed = _placed(durable(keyed(docs)), n_shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16) -> None:
-    """Write ``docs`` as Parquet, a folder a shard, rows in slot order inside each file."""
-    placed = shards(docs, n_shards).select("doc_id", "text_crc32", "shard", "slot")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    joined = docs.withColumn("text_crc32", crc).join(placed.dropDuplicates(["doc_id", "text_crc32"]), ["doc_id", "text_crc32"])
-    joined.drop("text_crc32").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as Parquet, a folder a shard, rows in slot order inside each file. Every row
+    is written once, whatever its doc_id; the rows pass through the checkpoint folder, as their
+    numbers must not change."""
+    placed = _placed(durable(keyed(docs, carried=True)), n_shards).select("row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    ordered = placed.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    ordered.select("row.*", F.col("__shard").alias("__shard")).write.partitionBy("__shard").parquet(path)
