@@ -142,21 +142,26 @@ def test_language_model(spark, docs, rows, order, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(lm_score, "PART_BYTES", 10_000)
     texts_ = [words(ascii_lower(r.text)) for r in rows]
-    counts = [Counter(tuple(w[i : i + k]) for w in texts_ for i in range(len(w) - k + 1)) for k in range(order + 1)]
+    grams = [[Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in texts_] for k in range(order + 1)]
+    counts = [sum(own, Counter()) for own in grams]
     total = sum(counts[1].values())
     expected = []
-    for r, w in zip(rows, texts_):
-        s = 0.0
+    for at, (r, w) in enumerate(zip(rows, texts_)):
+        rest = lambda g: counts[len(g)][g] - grams[len(g)][at][g]  # noqa: B023, E731
+        s, seen = 0.0, 0
         for i in range(len(w)):
             top = min(i + 1, order)
             for k in range(top, 0, -1):
                 g = tuple(w[i - k + 1 : i + 1])
-                if k == 1 or counts[k][g] >= 2:
-                    s += (top - k) * math.log(0.4) + math.log(counts[k][g] / (total if k == 1 else counts[k - 1][g[:-1]]))
+                if k == 1 or rest(g) >= 1:
+                    s += (top - k) * math.log(0.4) + math.log((max(rest(g), 1) / total) if k == 1 else rest(g) / rest(g[:-1]))
+                    seen += k == top and rest(g) >= 1
                     break
-        expected.append((r.doc_id or -1, len(w), round(s, 4)))
-    got = [(r.doc_id or -1, r.n_words, round(r.log_score, 4)) for r in lm_score.backoff_scores(docs, order).collect()]
-    assert sorted(got) == sorted(expected)
+        expected.append((r.doc_id or -1, len(w), seen, round(s, 4), round(s / len(w), 4) if w else None, round(seen / len(w), 4) if w else None))
+    got = [(r.doc_id or -1, r.n_words, r.n_seen, round(r.log_score, 4), *[None if x is None else round(x, 4) for x in (r.mean_log_score, r.seen_share)])
+           for r in lm_score.backoff_scores(docs, order).collect()]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(got, key=key) == sorted(expected, key=key)
     assert lm_score.backoff_scores(empty(spark)).count() == 0
 
 

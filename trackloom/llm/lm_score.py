@@ -2,11 +2,13 @@
 
 The relational plan: n-grams of the documents are counted in tables partitioned by hash, the counts
 are joined to the documents' n-grams, and log-scores are summed per document. A row for each n-gram
-would shuffle many times the corpus, so rows are packed. Documents are dealt into chunks of about
-``CHUNK_BYTES``; a chunk's distinct n-grams are cut by hash into parts and sent, sorted and
-compressed, to the tasks that own those parts. There all chunks' counts meet and are summed (each
-n-gram comes at most once from a chunk, however frequent), and the totals return to the chunks in
-the same order. Chunks and parts grow in number with the corpus, not in size; no table is broadcast.
+would shuffle many times the corpus, so rows are packed. Documents are gathered in chunks of about
+``CHUNK_BYTES``, each task's rows in the order in which it reads them; a chunk's distinct n-grams are
+cut by hash into parts and sent, sorted and compressed, to the tasks that own those parts. There all
+chunks' counts meet and are summed (each n-gram comes at most once from a chunk, however frequent),
+and the totals return to the chunks in the same order. Chunks and parts grow in number with the
+corpus, not in size; no table is broadcast. A chunk sends no row to a part of which it has no
+n-gram, so rows never outnumber n-grams: where parts do, the plan becomes the plain one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,25 +41,24 @@ def _grow(packed: bytes, dtype: type) -> np.ndarray:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch that go to one chunk become one row."""
+    """Rows of a batch that go to one chunk become one row. Chunks are numbered within the task, so
+    rows that are alike are dealt over as many chunks as any others."""
+    context = TaskContext.get()
+    chunk, filled = (context.partitionId() if context else 0) << 32, 0
     for batch in batches:
-        chunk = batch.column("chunk").to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        table = pa.Table.from_batches([batch]).take(pa.array(order))
-        chunk = chunk[order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
-        out: dict[str, list] = {"chunk": [], "ids": [], "lengths": [], "texts": []}
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            part = table.slice(a, b - a)
-            texts = [(t.as_py() or "").encode() for t in part.column("text")]
-            out["chunk"].append(int(chunk[a]))
-            out["ids"].append(part.column("doc_id").to_pylist())
-            out["lengths"].append([len(t) for t in texts])
-            out["texts"].append(zstandard.ZstdCompressor(level=3).compress(b"".join(texts)))
-        types = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "texts": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], names=list(out))
+        for first, end, data, offsets in blocks(batch.column("text")):
+            if filled and filled + len(data) > CHUNK_BYTES:
+                chunk, filled = chunk + 1, 0
+            filled += len(data)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk], pa.int64()),
+                    pa.array([batch.column("doc_id").slice(first, end - first).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([np.diff(offsets)], pa.list_(pa.int64())),
+                    pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes())], pa.binary()),
+                ],
+                names=["chunk", "ids", "lengths", "texts"],
+            )
 
 
 def _words(packed: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
@@ -94,30 +96,48 @@ def _bounds(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, edges), len(hashes))
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_words, n_seen, log_score)``, one row for each row.
-
-    Words are lower-cased (A-Z) runs of non-space bytes. A word's score is ``c(n-gram) /
-    c(context)`` for the longest n-gram up to ``order`` words that the corpus holds at least
-    ``min_count`` times (single words: once), times ``alpha`` for each word the n-gram is short of
-    what the position allows; a single word's context is all words of the corpus. ``log_score`` sums
-    natural logarithms; ``n_seen`` counts words scored without backing off.
+def _own(doc: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each n-gram of ``grams``, in their order: its place among the chunk's distinct ones by
+    hash, and how often its own text holds it."""
+    every, of = np.concatenate([g for _, g in grams]), np.concatenate([doc[ends] for ends, _ in grams])
+    order = np.argsort(every, kind="stable")  # texts ascend within an n-gram
+    ranked, of = every[order], of[order]
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    apart = new.copy()
+    apart[1:] |= of[1:] != of[:-1]
+    start = np.flatnonzero(apart)
+    place, own = np.empty(len(every), dtype=np.int64), np.empty(len(every), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    own[order] = np.repeat(np.diff(np.append(start, len(every))), np.diff(np.append(start, len(every))))
+    return place, own
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_words, n_seen, log_score, mean_log_score, seen_share)``,
+    one row for each row.
+
+    Words are lower-cased (A-Z) runs of non-space bytes. The model of a row is the whole corpus
+    without that row. A word's score is ``c(n-gram) / c(context)`` for the longest n-gram up to
+    ``order`` words that the other rows hold, times ``alpha`` for each word the n-gram is short of
+    what the position allows; a single word's context is all words of the corpus, and one that no
+    other row holds counts as held once. ``log_score`` sums natural logarithms; ``n_seen`` counts
+    words scored without backing off; the last two columns are those by word, null without words.
 
     Null texts count as empty: no words, score 0. Null and repeated doc_ids are passed through;
-    repeated rows count as often as they are there. Other columns are not read.
+    a repeated row is another row, so its text is seen. Without rows the result is empty. A task
+    holds a chunk, and a text larger than one is a chunk of its own. Other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks, parts = 1 + total // CHUNK_BYTES, 1 + total // PART_BYTES
-    keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    packed = keyed.mapInArrow(_pack, "chunk long, ids array<long>, lengths array<long>, texts binary")
+    sums = docs.agg(F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))).first()
+    parts, words_in_all = 1 + (sums[0] or 0) // PART_BYTES, sums[1] or 0
+    packed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(_pack, "chunk long, ids array<long>, lengths array<long>, texts binary")
 
     def count(key: tuple, packed: pa.Table) -> pa.Table:
         _, doc, h = _words(packed)
         found, times = np.unique(np.concatenate([g for _, g in _grams(doc, h, order)]), return_counts=True)
         at = _bounds(found, parts)
-        rows = [(p, found[at[p] : at[p + 1]], times[at[p] : at[p + 1]]) for p in range(parts) if at[p] < at[p + 1]]
+        rows = [(p, found[at[p] : at[p + 1]], times[at[p] : at[p + 1]]) for p in np.flatnonzero(np.diff(at)).tolist()]
         return pa.table({
             "part": pa.array([p for p, _, _ in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
             "grams": pa.array([_shrink(np.diff(g, prepend=np.uint64(0))) for _, g, _ in rows], pa.binary()),
@@ -133,22 +153,24 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
 
     counted = packed.groupBy("chunk").applyInArrow(count, "part long, chunk long, grams binary, times binary")
     totals = counted.groupBy("part").applyInArrow(add, "chunk long, part long, totals binary")
-    words_in_all = docs.agg(F.sum(F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))).first()[0] or 0
 
     def score(key: tuple, packed: pa.Table, replies: pa.Table) -> pa.Table:
         ids, doc, h = _words(packed)
         grams, n = _grams(doc, h, order), len(h)
         del h
-        place = np.unique(np.concatenate([g for _, g in grams]), return_inverse=True)[1]
+        place, own = _own(doc, grams)
         replies = replies.sort_by("part")
-        corpus = np.concatenate([np.zeros(0, dtype=np.uint64), *[_grow(t.as_py(), np.uint64) for t in replies.column("totals")]]).astype(np.float64)
+        corpus = np.concatenate([np.zeros(0, dtype=np.uint64), *[_grow(t.as_py(), np.uint64) for t in replies.column("totals")]]).astype(np.int64)
         logs, seen, context = np.zeros(n), np.zeros(n, dtype=bool), np.full(n, float(words_in_all))
         first = 0
         for length, (ends, hashes) in enumerate(grams, 1):
-            times = corpus[place[first : first + len(hashes)]]
+            part = slice(first, first + len(hashes))
             first += len(hashes)
-            held = (times >= min_count) | (length == 1)
-            logs[ends] = np.where(held, np.log(times / context[ends]), logs[ends] + np.log(alpha))
+            times = (corpus[place[part]] - own[part]).astype(np.float64)
+            held = times >= 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                straight = np.log((np.maximum(times, 1.0) if length == 1 else times) / context[ends])
+            logs[ends] = np.where(held | (length == 1), straight, logs[ends] + np.log(alpha))
             seen[ends] = held
             context = np.full(n, np.nan)  # the n-gram that ends before a position
             context[ends[ends < n - 1] + 1] = times[ends < n - 1]
@@ -156,4 +178,5 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(runs(doc, len(ids))).astype(np.int64)),
                          "n_seen": pa.array(np.bincount(doc, weights=seen, minlength=len(ids)).astype(np.int64)), "log_score": pa.array(sums)})
 
-    return packed.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, n_seen long, log_score double")
+    scored = packed.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, n_seen long, log_score double")
+    return scored.select("*", F.try_divide("log_score", "n_words").alias("mean_log_score"), F.try_divide("n_seen", "n_words").alias("seen_share"))

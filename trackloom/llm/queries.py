@@ -31,7 +31,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.backoff_scores(_documents(spark, sf_dir), order=3)
+    scored = lm_score.backoff_scores(_documents(spark, sf_dir), order=3)
+    return scored.select("doc_id", "n_words", "n_seen", *[F.round(c, 3).alias(c) for c in ("log_score", "mean_log_score", "seen_share")])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,21 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_lm_scoring": r"""
+        with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+        p as (select r, generate_subscripts(ws, 1) as i, unnest(ws) as w1 from d),
+        g as (select r, i, w1, lag(w1) over o as w2, lag(w1, 2) over o as w3 from p window o as (partition by r order by i)),
+        c as (select r, i, count(*) over (partition by w1) - count(*) over (partition by r, w1) as c1,
+                     case when i >= 2 then count(*) over (partition by w2, w1) - count(*) over (partition by r, w2, w1) end as c2,
+                     case when i >= 3 then count(*) over (partition by w3, w2, w1) - count(*) over (partition by r, w3, w2, w1) end as c3 from g),
+        x as (select *, lag(c1) over o as b1, lag(c2) over o as b2 from c window o as (partition by r order by i)),
+        s as (select r, count(*) as n_words, sum(case when i >= 3 then c3 >= 1 when i = 2 then c2 >= 1 else c1 >= 1 end) as n_seen,
+                     sum(case when c3 >= 1 then ln(c3::double / b2) when c2 >= 1 then ln(c2::double / b1) + case when i >= 3 then ln(0.4::double) else 0 end
+                              else ln(greatest(c1, 1)::double / (select count(*) from p)) + (least(i, 3) - 1) * ln(0.4::double) end) as log_score from x group by r)
+        select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_seen, 0)::bigint as n_seen, round(coalesce(log_score, 0), 3) as log_score,
+               round(log_score / n_words, 3) as mean_log_score, round(n_seen::double / n_words, 3) as seen_share
+        from d left join s using (r)
+    """,
     "op5_exact_dedup": r"""
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
