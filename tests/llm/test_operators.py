@@ -105,7 +105,7 @@ def test_fingerprint_parts_combine():
 def test_equal_fingerprints_of_different_texts_stay_apart(spark, monkeypatch):
     one = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aa")], "doc_id long, text string")
     real = exact_dedup.fingerprints
-    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d, with_text=False: real(d, with_text).withColumn("fingerprint", F.lit(7).cast("long")))
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d: real(d).withColumn("fingerprint", F.lit(7).cast("long")))
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_duplicates(one).collect()} == {(1, 1), (2, 2), (3, 1)}
 
 

@@ -1,10 +1,11 @@
 """Exact duplicates: composable polynomial fingerprints, then comparison of the texts chunk by chunk.
 
-A text is cut into chunks; every chunk is hashed by a polynomial modulo several primes, all chunks
-of a text in one matrix product. Chunk hashes combine by length-shifted arithmetic,
-``h(ab) = h(a) * base**len(b) + h(b)``, so the parts of a huge text can be hashed apart. Texts with
-equal fingerprint and length are candidates only: their chunks are then compared, byte by byte,
-with those of one of them, a chunk a row, spread over tasks where a group is large.
+A text is cut into chunks; every chunk is hashed by a polynomial modulo several primes. Chunk hashes
+combine by length-shifted arithmetic, ``h(ab) = h(a) * base**len(b) + h(b)``. Texts of one chunk are
+hashed where they are read; the chunks of longer ones are rows of their own, hashed in tasks of
+their own and combined by an aggregate. Texts with equal fingerprint and length are candidates only:
+their chunks are then compared, character by character, with those of one of them, a chunk a row,
+spread over tasks where a group is large. Every text is hashed once.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.plans.durable import durable
@@ -26,8 +27,8 @@ PRIMES = np.array([2147483647, 2147483629], dtype=np.int64)
 BASES = np.array([911382323, 972663749], dtype=np.int64)
 #: Bytes hashed as one row of the matrix product.
 HASH_BYTES = 1 << 16
-#: Characters compared as one row.
-COMPARE_CHARS = 1 << 20
+#: Characters of a chunk that is a row of its own when long texts are hashed, and when texts are compared.
+CHUNK_CHARS = 1 << 20
 #: Texts compared with one representative in one task's group.
 PER_SALT = 500
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -69,58 +70,91 @@ def combine(parts: list[tuple[int, tuple[int, ...]]]) -> tuple[int, tuple[int, .
     return length, tuple(value)
 
 
-def _fingerprint(with_text: bool):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ["doc_id", "n_bytes", "fingerprint", "text_sha256"]
-            columns: list[list] = [[], [], [], []]
-            texts = []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                normal = SPACE.sub(" ", text.as_py() or "")
-                raw = normal.encode()
-                n, (high, low) = combine(chunk_hashes(np.frombuffer(raw, dtype=np.uint8)))
-                for column, value in zip(columns, (doc_id.as_py(), n, high << 31 | low, hashlib.sha256(raw).hexdigest()), strict=True):
-                    column.append(value)
-                if with_text:
-                    texts.append(normal)
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())]
-            if with_text:
-                arrays.append(pa.array(texts, pa.string()))
-                names.append("normal")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns: list[list] = [[], [], []]
+        for text in batch.column("text"):
+            raw = SPACE.sub(" ", text.as_py()).encode()
+            n, (high, low) = combine(chunk_hashes(np.frombuffer(raw, dtype=np.uint8)))
+            for column, value in zip(columns, (n, high << 31 | low, hashlib.sha256(raw).hexdigest()), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("raw"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
+            names=["doc_id", "raw", "n_bytes", "fingerprint", "text_sha256"])
 
-    return work
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length, hash and shift (``base**length``) of each chunk, modulo each prime."""
+    for batch in batches:
+        out: dict[str, list] = {"n": [], "high": [], "low": [], "shift_high": [], "shift_low": []}
+        for piece in batch.column("piece"):
+            n, (high, low) = combine(chunk_hashes(np.frombuffer(piece.as_py().encode(), dtype=np.uint8)))
+            shifts = [pow(int(b), n, int(p)) for b, p in zip(BASES, PRIMES, strict=True)]
+            for column, value in zip(out.values(), (n, high, low, *shifts), strict=True):
+                column.append(value)
+        kept = ["doc_id", "raw", "text_sha256", "chunk"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(v, pa.int64()) for v in out.values()]], names=[*kept, *out])
 
-def fingerprints(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """``(doc_id, n_bytes, fingerprint, text_sha256[, normal])`` for each row of ``docs``."""
-    schema = "doc_id long, n_bytes long, fingerprint long, text_sha256 string" + ", normal string" * with_text
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint(with_text), schema)
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` (null is empty) and ``raw``, a hash of the text as it is."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("raw"))
+
+
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
 def _chunks(df: DataFrame) -> DataFrame:
     """One row for each chunk of ``normal``; an empty text has one empty chunk."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("normal") / COMPARE_CHARS)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("normal"), i * COMPARE_CHARS + 1, F.lit(COMPARE_CHARS)))
+    n = F.greatest(F.lit(1), F.ceil(F.length("normal") / CHUNK_CHARS)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("normal"), i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)))
     return df.select(*[c for c in df.columns if c != "normal"], F.posexplode(cut).alias("chunk", "piece"))
 
 
-def unequal(docs: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``(doc_id, raw, n_bytes, fingerprint, text_sha256)`` for each row of ``docs``; ``raw`` is a
+    64-bit hash of the text before spaces are normalised."""
+    rows = _texts(docs)
+    short = rows.where(F.length("text") <= CHUNK_CHARS).mapInArrow(_short, "doc_id long, raw long, n_bytes long, fingerprint long, text_sha256 string")
+    normal = rows.where(F.length("text") > CHUNK_CHARS).select("doc_id", "raw", _normal(F.col("text")).alias("normal"))
+    pieces = _chunks(normal.withColumn("text_sha256", F.sha2("normal", 256))).repartition("text_sha256", "chunk")
+    hashed = pieces.mapInArrow(_pieces, "doc_id long, raw long, text_sha256 string, chunk int, n long, high long, low long, shift_high long, shift_low long")
+    # Rows that repeat doc_id and text give each chunk several times: it counts once, the row as often.
+    once = hashed.groupBy("doc_id", "raw", "text_sha256", "chunk").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "high", "low", "shift_high", "shift_low")])
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "n", "high", "low", "shift_high", "shift_low")))
+    long = once.groupBy("doc_id", "raw", "text_sha256").agg(parts.alias("parts"), F.max("copies").alias("copies"))
+
+    def combined(which: str, prime: int) -> Column:
+        return F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: (acc * x.getField(f"shift_{which}") + x.getField(which)) % F.lit(prime))
+
+    n_bytes = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: acc + x.getField("n"))
+    value = F.shiftleft(combined("high", int(PRIMES[0])), 31).bitwiseOR(combined("low", int(PRIMES[1])))
+    long = long.select("doc_id", "raw", n_bytes.alias("n_bytes"), value.alias("fingerprint"), "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return short.unionByName(long)
+
+
+def unequal(docs: DataFrame, small: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     """Rows ``(n_bytes, fingerprint, text_sha256)`` whose text differs from that of their group's
     row with the smallest doc_id, though length and fingerprint agree.
 
-    ``groups(n_bytes, fingerprint, n, first_id)``: candidates, with ``n > 1`` rows each.
+    ``small``: ``fingerprints`` of ``docs``; ``groups(n_bytes, fingerprint, n, first_id)``: candidates,
+    with ``n > 1`` rows each. Only candidates' texts are normalised again.
     """
-    key = ["n_bytes", "fingerprint"]
-    texts = fingerprints(docs, with_text=True)
-    found = attach(texts, groups, key, "n", total, spread=F.xxhash64("doc_id", "text_sha256"))
-    found = durable(found.withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int")))
-    members = found.where("not (doc_id <=> first_id)").select(
-        *key, "text_sha256", F.expr("pmod(xxhash64(doc_id, text_sha256), salts)").cast("int").alias("salt"), "normal")
-    firsts = found.where("doc_id <=> first_id").dropDuplicates(key).select(
-        *key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "normal")
+    key, row = ["n_bytes", "fingerprint"], ["known", "id", "raw"]
+    named = [F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+    wanted = attach(small, groups, key, "n", total, spread=F.xxhash64("doc_id", "raw")).select(*named, "raw", *key, "text_sha256", "first_id", "n")
+    wanted = durable(wanted.groupBy(*row).agg(*[F.first(c).alias(c) for c in (*key, "text_sha256", "first_id", "n")], F.count("*").alias("alike")))
+    texts = _texts(docs).select(*named, "raw", "text", F.monotonically_increasing_id().alias("number"))
+    found = attach(texts, wanted, row, "alike", total, spread=F.xxhash64("number"))
+    salts = F.ceil(F.col("n") / PER_SALT).cast("int")
+    found = durable(found.select(
+        *key, "text_sha256", _normal(F.col("text")).alias("normal"), salts.alias("salts"), F.pmod(F.xxhash64("number"), salts).cast("int").alias("salt"),
+        F.expr("first_id <=> if(known, id, null)").alias("first")))
+    firsts = found.where("first").dropDuplicates(key).select(*key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "normal")
     right = _chunks(firsts).withColumnRenamed("piece", "wanted")
-    same = _chunks(members).join(right, [*key, "salt", "chunk"], "left")
+    same = _chunks(found.drop("salts", "first")).join(right, [*key, "salt", "chunk"], "left")
     return same.where("not (piece <=> wanted)").select(*key, "text_sha256").distinct()
 
 
@@ -132,13 +166,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     texts count as empty. ``keep_id`` is the group's smallest doc_id; null ids are ignored for it
     unless a group has no other, then it is null and its rows are all kept. Rows that repeat the
     smallest doc_id with the same text are one document and all marked kept; ``one_of_each`` leaves
-    one row. Other columns are not read.
+    one row. Without rows the result is empty. Other columns are not read.
     """
     key = ["n_bytes", "fingerprint"]
     small = durable(fingerprints(docs))
     total = small.count()
     groups = durable(small.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"))
-    split = durable(unequal(docs, groups, total)) if not groups.isEmpty() else groups.select(*key, F.lit("").alias("text_sha256")).limit(0)
+    split = durable(unequal(docs, small, groups, total)) if not groups.isEmpty() else groups.select(*key, F.lit("").alias("text_sha256")).limit(0)
     if not split.isEmpty():  # a collision: those texts are told apart by their digests
         small = small.join(split.withColumn("other", F.col("text_sha256")), [*key, "text_sha256"], "left").fillna("", ["other"])
     else:
@@ -153,8 +187,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each text, that of the smallest doc_id; all columns stay. Of the rows
     that repeat both the kept doc_id and its text one stays, as of a group without any doc_id."""
     kept = durable(exact_duplicates(docs).where("kept").groupBy("doc_id", "text_sha256").count())
-    normal = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    keyed = docs.withColumn("__sha", F.sha2(normal, 256))
+    keyed = docs.withColumn("__sha", F.sha2(_normal(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
     of = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")).hint("shuffle_hash")
     picked = keyed.join(of, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left_semi")
     if not kept.where("count > 1").isEmpty():
