@@ -2,9 +2,11 @@
 
 Everything here is DataFrame and SQL functions: spans live in arrays beside their document, so no
 row is exploded and nothing is shuffled. *Base* spans follow four fixed patterns with their checks
-and always stay. *Generators* then propose overlapping spans with high recall (numbers written in
-other ways, addresses spelled out). Boosted trees score each proposal by its format and context;
-a threshold for each kind, calibrated on held-out rows, selects what is added.
+and always stay. *Generators* then propose overlapping spans with high recall, several patterns a
+kind: numbers written in other ways, numbers inside a longer match that failed its check, addresses
+spelled out. Boosted trees score each proposal by its format and context; those that reach their
+kind's threshold, calibrated on held-out rows, and overlap no base span and no likelier proposal are
+added.
 
 The trees are trained once a process on labelled spans composed by Spark from templates (no table
 has labels for spans): ``EXAMPLES`` rows, a fixed number. They are then written as column expressions.
@@ -13,6 +15,7 @@ has labels for spans): ``EXAMPLES`` rows, a fixed number. They are then written
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,36 +31,68 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Proposals: what might be personal data of a kind.
+_AT, _DOT = r"(?: ?(?:\(at\)|\[at\]|\{at\}|<at>) ?| at | ?@ ?)", r"(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)"
+#: Proposals: what might be personal data of a kind. Matches of one pattern don't overlap, those of
+#: different ones do.
 PROPOSED = {
-    "email": r"(?i)(?<![\w.%+-])[\w.%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}|<at>| at |@) ?[a-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z0-9-]{1,63}+){1,5}+",
-    "ip": r"(?<![\w.:])(?:(?:[0-9]{1,3}+\.){3}[0-9]{1,3}+(?::[0-9]{1,5}+)?|(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+)(?![\w:])",
-    "card": r"(?<![\w.+-])[0-9]{4}+(?:[ ./-]?[0-9]{2,6}+){2,4}+(?![\w-])",
-    "phone": r"(?<![\w.+-])(?:00|\()?[0-9]{1,4}+\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}+\)?){2,4}+(?![\w-])",
-}
+    "email": [rf"(?i)(?<![\w.%+-])[\w.%+-]++{_AT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++"],
+    "ip": [r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![\w:])"],
+    "card": [
+        r"(?<![0-9])[0-9]{16,19}(?![0-9])", r"(?<![0-9])[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+        r"(?<![0-9])[0-9]{4}[ ./-]?[0-9]{6}[ ./-]?[0-9]{5}(?![0-9])"],
+    "phone": [
+        r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])", r"\+[0-9]{1,3}(?:[ ./-][0-9]{2,4}){3}(?![0-9])",
+        r"(?<![\w.-])\(?[0-9]{3}\)?[ ./-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"(?<![\w+.-])(?:00[0-9]{2}[ ./-])?\(?0?[0-9]{2,4}\)?[ /-][0-9]{3,4}[ -][0-9]{3,5}(?![0-9])"],
+}
 #: Cheap tests that a text can hold a span of the kind at all.
 MAYBE = {"email": r"(?i)@|\bat[ )\]}>]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]", "phone": "[0-9]"}
+#: Further tests, before the generators are run.
+LIKELY = {"email": r"(?i) ?@ ?|[(\[{<]at[)\]}>]| at [a-z0-9-]++(?: ?[(\[{]dot| dot |\.[a-z0-9])", "ip": MAYBE["ip"], "card": r"[0-9]{4}[ ./-]?[0-9]{4}", "phone": r"[0-9]{2}[) ./-]{1,2}[0-9]{3}"}
+#: Positions are summed by blocks of so many matches.
+BLOCK = 256
 #: Characters of context on either side.
 CONTEXT = 24
 EXAMPLES, TREES, DEPTH = 4000, 20, 3
 #: Precision that each kind's threshold must reach on held-out rows.
 PRECISION = 0.98
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_FAR = 2**31 - 1
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], start: int) -> Column:
+    """The running sum, maximum or the like of an array of integers. An array that is built value by
+    value is copied each time, so it is built by blocks, and the blocks' totals likewise."""
+    zero = lambda: F.array(F.lit(start))
+
+    def fold(items: Column) -> Column:  # with the start in front
+        return F.aggregate(items, zero(), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def joined(inner: Column) -> Column:
+        ahead = fold(F.transform(inner, lambda x: F.element_at(x, -1)))
+        return let(ahead, lambda t: F.flatten(F.transform(inner, lambda x, i: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda v: combine(F.get(t, i), v)))))
+
+    def whole(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: fold(F.slice(items, b * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(items) > 0, let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, whole)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end exclusive, value) in code points."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc.getField("at") + x.getField("gap")
-        end = begin + x.getField("n")
-        span = F.struct(begin.alias("start"), end.alias("end"), x.getField("value").alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc.getField("out"), F.array(span)).alias("out"))
+    def placed(values: Column) -> Column:
+        steps = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda m, g: F.length(g) + F.length(m))
+        span = lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"))
+        return F.zip_with(values, running(steps, lambda a, b: a + b, 0), span)
 
-    return F.aggregate(step, start, add, lambda acc: acc.getField("out"))
+    return let(found, placed)
 
 
 def digits(value: Column) -> Column:
@@ -109,44 +144,58 @@ def features(kind: Column, value: Column, before: Column, after: Column) -> dict
         "dateish": flag(value.rlike(r"^(19|20)[0-9]{2}\D|\D(19|20)[0-9]{2}$|^[0-3]?[0-9][./-][0-3]?[0-9][./-]")),
         "spelled": flag(value.rlike(r"(?i)[(\[{<]at|[(\[{<]dot| at .* dot ")), "ends_in_tld": flag(value.rlike(r"(?i)[. )\]](com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$")),
         "sentence": flag(value.rlike(r"\. ")), "leading_zero": flag(value.rlike(r"^\(?0")), "touches_word": flag(before.rlike(r"[\p{L}=_]$") | after.rlike(r"^[\p{L}=_]")),
-        **{name: flag(before.rlike(pattern)) for name, pattern in _HINTS.items()},
+        "digit_before": flag(before.rlike(r"[0-9][ ./-]?$")), "digit_after": flag(after.rlike(r"^[ ./-]?[0-9]")), "code_before": flag(before.rlike(r"\+[0-9]{1,3}[ ./-]?$")),
+        "starts_plus": flag(value.startswith("+")), **{name: flag(before.rlike(pattern)) for name, pattern in _HINTS.items()},
     }
 
 
 def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
-    """``n`` labelled spans from templates: ``kind, value, before, after, label, held_out``."""
+    """``n`` labelled spans from templates: ``kind, value, before, after, label, held_out``. Spans of
+    either label stand after hints, in prose and beside other numbers; parts of a longer number, dates,
+    versions, and numbers that fail their check are what must not be selected."""
     rows = spark.range(0, n, 1, 4)
     draw = lambda salt, m: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(m))
     number = lambda salt, width: F.lpad(draw(salt, 10**width).cast("string"), width, "0")
     pick = lambda salt, *options: F.element_at(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), (draw(salt, len(options)) + 1).cast("int"))
-    sep, part = pick("sep", " ", "-", ".", ""), lambda salt: pick(salt, "anna", "j.smith", "info42", "kontakt", "marie", "dev")
+    word = lambda salt, m: F.expr(
+        f"substring(translate(sha2(concat('{salt}', cast(id as string)), 256), '0123456789', 'ghijklmnop'), 1, 2 + cast(pmod(xxhash64(id, '{salt}n'), {m}) as int))")
+    part = lambda salt: pick(salt, "anna", "j.smith", "info42", "kontakt", "marie", "dev")
     at, dot, tld = pick("at", " at ", " [at] ", "(at)", " (at) "), pick("dot", " dot ", " [dot] ", "(dot)", "."), pick("tld", "com", "org", "net", "de", "fr")
-    stem = F.concat(pick("iin", "4", "51", "37", "6011"), number("s1", 7), number("s2", 7))
-    stem = F.substring(stem, 1, 15)
+    stem = F.substring(F.concat(pick("iin", "4", "51", "37", "6011", "2", "98", "7"), number("s1", 8), number("s2", 8)), 1, 15)
     check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(stem, d.cast("string"))), luhn), 1)
     wrong = F.concat(stem, F.pmod(F.substring(check, 16, 1).cast("int") + 1 + draw("w", 8), F.lit(10)).cast("int").cast("string"))
     fours = lambda c, s: F.concat(F.substring(c, 1, 4), s, F.substring(c, 5, 4), s, F.substring(c, 9, 4), s, F.substring(c, 13, 4))
-    gap = pick("gap", " ", ".", "/")
-    word = lambda salt, m: F.expr(
-        f"substring(translate(sha2(concat('{salt}', cast(id as string)), 256), '0123456789', 'ghijklmnop'), 1, 2 + cast(pmod(xxhash64(id, '{salt}n'), {m}) as int))")
+    gap, split = pick("gap", "", "", " ", ".", "/", "-"), pick("t", " ", "-", ".")
     octet = lambda salt: draw(salt, 256).cast("string")
     hextet = lambda salt: F.lower(F.hex(draw(salt, 65536)))
+    ten = F.concat(number("p", 3), split, number("q", 3), split, number("r", 4))
+    bracketed = F.concat(F.lit("("), number("p", 3), F.lit(") "), number("q", 3), F.lit("-"), number("r", 4))
+    country = F.concat(F.lit("+"), pick("cc", "1", "44", "49", "33", "34"))
+    date = F.concat(pick("century", "19", "20"), number("p", 2), split, number("q", 2), split, number("r", 2))
+    beside = pick("beside", F.concat(number("b1", 8), number("b2", 8)), F.concat_ws(".", octet("e"), octet("f"), octet("g"), octet("h")), F.concat(country, F.lit(" ("), number("b3", 3), F.lit(") "), number("b4", 3), F.lit("-"), number("b5", 4)))
+    # Kind, label, value; what stands right before it where that is not drawn.
     options = [
-        ("email", 1, F.concat(part("u"), at, word("h", 10), dot, tld)), ("email", 1, F.concat(word("u", 9), at, word("h", 10), pick("dot", " dot ", " [dot] ", "(dot)"), tld)),
-        ("email", 0, F.concat(word("a", 9), F.lit(" at "), word("b", 9), F.lit(". "), F.initcap(word("c", 9)))), ("email", 0, F.concat(word("a", 7), F.lit(" at "), word("b", 7), F.lit(". "), word("c", 7), pick("d", "", ". of"))),
-        ("ip", 1, F.concat_ws(".", octet("i"), octet("j"), octet("k"), octet("l"))), ("ip", 1, F.concat_ws(":", *[hextet(f"x{i}") for i in range(8)])),
-        ("ip", 0, F.concat_ws(".", draw("i", 900).cast("string"), (draw("j", 600) + 256).cast("string"), draw("k", 900).cast("string"), draw("l", 900).cast("string"))), ("ip", 0, F.concat_ws(":", number("h", 2), number("m", 2), number("n", 2), number("o", 2))),
-        ("card", 1, fours(check, gap)), ("card", 0, fours(wrong, gap)), ("card", 0, F.concat(number("y", 4), F.lit("-"), number("m", 2), F.lit("-"), number("d", 2))), ("card", 0, F.concat(number("y", 6), number("m", 6), number("d", 4))),
-        ("phone", 1, F.concat(F.lit("("), number("p", 3), F.lit(") "), number("q", 3), F.lit("-"), number("r", 4))), ("phone", 1, F.concat(F.lit("0"), number("p", 3), sep, number("q", 3), pick("t", " ", "-"), number("r", 4))),
-        ("phone", 0, F.concat(F.lit("20"), number("p", 2), pick("t", "-", "/", "."), number("q", 2), pick("t", "-", "/", "."), number("r", 2))), ("phone", 0, F.concat(number("p", 2), pick("t", ".", "/"), number("q", 2), pick("t", ".", "/"), F.lit("19"), number("r", 2))),
-        ("phone", 0, F.concat(number("p", 4), F.lit(" "), number("q", 4), F.lit(" "), number("r", 4), F.lit(" "), number("s", 4))), ("phone", 0, F.concat_ws(".", draw("i", 30).cast("string"), number("j", 2), number("k", 2), number("l", 2))),
+        ("email", 1, F.concat(part("u"), at, word("h", 10), dot, tld), None), ("email", 1, F.concat(word("u", 9), at, word("h", 10), pick("dot", " dot ", " [dot] ", "(dot)"), tld), None),
+        ("email", 0, F.concat(word("a", 9), F.lit(" at "), word("b", 9), F.lit("."), F.initcap(word("c", 9))), None), ("email", 0, F.concat(word("a", 7), F.lit(" at "), word("b", 7), F.lit("."), word("c", 7)), None),
+        ("ip", 1, F.concat_ws(".", octet("i"), octet("j"), octet("k"), octet("l")), None), ("ip", 1, F.concat_ws(":", *[hextet(f"x{i}") for i in range(8)]), None),
+        ("ip", 0, F.concat_ws(".", draw("i", 900).cast("string"), (draw("j", 600) + 256).cast("string"), draw("k", 900).cast("string"), draw("l", 900).cast("string")), None),
+        ("ip", 0, F.concat_ws(":", number("h", 2), number("m", 2), number("n", 2), number("o", 2)), None), ("ip", 0, F.concat_ws(".", draw("i", 9).cast("string"), draw("j", 20).cast("string"), draw("k", 9).cast("string"), draw("l", 9).cast("string")), F.lit("version ")),
+        ("card", 1, fours(check, gap), None), ("card", 1, fours(check, F.lit("")), None), ("card", 0, fours(wrong, gap), None), ("card", 0, fours(wrong, F.lit("")), None),
+        ("card", 0, F.concat(date, F.lit(" "), number("h", 6), number("m", 5)), None), ("card", 0, F.concat(number("y", 9), number("m", 8)), None),
+        ("phone", 1, F.concat(country, F.lit(" "), bracketed), None), ("phone", 1, bracketed, None), ("phone", 1, ten, None), ("phone", 1, F.concat(country, F.lit(" "), ten), None),
+        ("phone", 1, F.concat(F.lit("0"), number("p", 3), pick("s", " ", "/", "-"), number("q", 3), pick("v", " ", "-"), number("r", 4)), None),
+        ("phone", 0, bracketed, F.concat(country, F.lit(" "))), ("phone", 0, ten, F.concat(country, F.lit(" "))), ("phone", 0, ten, F.concat(number("b", 4), split)),
+        ("phone", 0, F.concat(number("p", 4), F.lit(" "), number("q", 4), F.lit(" "), number("r", 4)), F.concat(number("b", 4), F.lit(" "))), ("phone", 0, date, None),
+        ("phone", 0, F.concat_ws(".", number("i", 3), number("j", 3), number("k", 4)), F.concat(number("b", 2), F.lit("."))),
     ]
-    which = F.element_at(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(y)).alias("label"), v.alias("value")) for k, y, v in options]), (F.col("id") % len(options) + 1).cast("int"))
-    hint = F.when(F.col("label") == 1, F.create_map(*[F.lit(x) for k, h in (("email", "mail me: "), ("ip", "server "), ("card", "credit card "), ("phone", "call ")) for x in (k, h)])[F.col("kind")])
-    other = pick("other", "version ", "order no. ", "the ", "and ", "ref ")
-    return rows.select("id", which.alias("w")).select("id", "w.*").select(
-        "kind", "value", "label", F.when(draw("hint", 3) == 0, F.coalesce(hint, other)).otherwise(pick("plain", "and ", "the ", "in ", "of ")).alias("before"),
-        pick("after", " and", ". The", " in", ",").alias("after"), (draw("held", 4) == 0).alias("held_out"))
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(y)).alias("label"), v.alias("value"), (F.lit(None).cast("string") if b is None else b).alias("lead")) for k, y, v, b in options])
+    which = F.element_at(made, (F.col("id") % len(options) + 1).cast("int"))
+    hint = F.create_map(*[F.lit(x) for k, h in (("email", "mail me: "), ("ip", "server "), ("card", "credit card "), ("phone", "call ")) for x in (k, h)])[F.col("kind")]
+    told = F.when(F.col("label") == 1, hint).otherwise(pick("other", "version ", "order no. ", "the ", "and ", "ref "))
+    prose = pick("plain", "and ", "the ", "in ", "of ", "ernd. ")
+    before = F.when(draw("hint", 3) == 0, told).when(draw("hint", 3) == 1, F.concat(prose, beside, F.lit(" "))).otherwise(prose)
+    after = F.when(draw("more", 4) == 0, F.concat(F.lit(" "), beside)).otherwise(pick("after", " and", ". The", " in", ",", " ernd"))
+    return rows.select("id", which.alias("w")).select("id", "w.*").select("kind", "value", "label", F.coalesce(F.col("lead"), before).alias("before"), after.alias("after"), (draw("held", 4) == 0).alias("held_out"))
 
 
 def read_trees(printed: str, weights: list[float], names: list[str]) -> list[tuple]:
@@ -213,23 +262,53 @@ def train(spark: SparkSession) -> tuple[list[tuple], dict[str, float]]:
 
 
 def _apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s.getField("start") < o.getField("end")) & (o.getField("start") < s.getField("end"))))
+    """The spans that overlap none of the others: all are sorted by start, then the farthest end
+    before a span and the next start after it tell."""
+    tagged = lambda side, own: F.transform(side, lambda s: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end"), F.lit(own).alias("own"), s.getField("value").alias("value")))
+
+    def kept(every: Column) -> Column:
+        other = lambda field, none: F.transform(every, lambda s: F.when(s.getField("own"), F.lit(none)).otherwise(s.getField(field)))
+        reach = running(other("end", 0), lambda a, b: F.greatest(a, b), 0)
+        following = F.reverse(running(F.reverse(other("start", _FAR)), lambda a, b: F.least(a, b), _FAR))
+        fine = F.zip_with(F.zip_with(every, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), following, lambda x, n: F.when(
+            x.getField("s").getField("own") & (x.getField("r") <= x.getField("s").getField("start")) & (n >= x.getField("s").getField("end")), x.getField("s")))
+        return F.transform(F.filter(fine, lambda s: s.isNotNull()), lambda s: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end"), s.getField("value").alias("value")))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(F.array_sort(F.concat(tagged(spans, True), tagged(others, False))), kept))
 
 
-def _selected(text: Column, kind: str, taken: Column, trees: list[tuple], bound: float) -> Column:
-    """Proposals of a kind that the trees select and that overlap no span in ``taken``."""
+def _proposed(text: Column, kind: str) -> Column:
+    """All proposals of a kind, those of different patterns may overlap."""
+    none = F.array().cast(_SPAN)
+    found = [F.when(text.rlike(pattern), matches(text, pattern)).otherwise(none) for pattern in PROPOSED[kind]]
+    return F.when(text.rlike(LIKELY[kind]), F.array_distinct(F.concat(*found)) if len(found) > 1 else found[0]).otherwise(none)
+
+
+def _scored(text: Column, kind: str, spans: Column, trees: list[tuple], bound: float) -> Column:
+    """The spans that reach the kind's bound, with ``kind`` and probability ``p``."""
 
     def described(s: Column) -> Column:
         start, end = s.getField("start"), s.getField("end")
         before = F.substr(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
         found = features(F.lit(kind), s.getField("value"), before, F.substr(text, end + 1, F.lit(CONTEXT)))
-        return F.struct(start.alias("start"), end.alias("end"), s.getField("value").alias("value"), F.struct(*[c.alias(n) for n, c in found.items()]).alias("x"))
+        return F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), s.getField("value").alias("value"), F.struct(*[c.alias(n) for n, c in found.items()]).alias("x"))
+
+    chance = F.transform(F.transform(spans, described), lambda s: F.struct(*[s.getField(c).alias(c) for c in ("start", "end", "kind", "value")], probability(trees, s.getField("x")).alias("p")))
+    return F.filter(chance, lambda s: s.getField("p") >= bound)
 
-    proposed = F.transform(_apart(matches(text, PROPOSED[kind]), taken), described)
-    chosen = F.filter(proposed, lambda s: probability(trees, s.getField("x")) >= bound)
-    plain = F.transform(chosen, lambda s: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end"), s.getField("value").alias("value")))
-    return F.when(text.rlike(MAYBE[kind]), plain).otherwise(F.array().cast(_SPAN))
+
+def _likeliest(spans: Column) -> Column:
+    """From left to right, of spans that overlap the likelier stays, of equal ones the longer."""
+    least = lambda s: F.struct(s.getField("p"), s.getField("end") - s.getField("start"))
+
+    def add(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return (
+            F.when((F.size(acc) == 0) | (s.getField("start") >= last.getField("end")), F.concat(acc, F.array(s)))
+            .when(least(s) > least(last), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(s))).otherwise(acc)
+        )
+
+    return F.when(F.size(spans) < 2, spans).otherwise(F.aggregate(F.array_sort(spans), F.filter(spans, lambda s: F.lit(False)), add))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -237,18 +316,21 @@ def find(docs: DataFrame) -> DataFrame:
 
     Returns ``doc_id``, the text, and for each kind the array columns ``base_<kind>`` and
     ``added_<kind>`` of (start, end exclusive, value) in code points. Added spans overlap neither a
-    base span nor an added one of a kind listed before. Null texts count as empty and hold nothing;
-    null and repeated doc_ids are passed through, other columns are not read.
+    base span nor one another. Null texts count as empty and hold nothing; null and repeated doc_ids
+    are passed through, other columns are not read. Without rows the result is empty.
     """
     trees, bounds = train(docs.sparkSession)
-    out = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
-    out = out.select("*", *[base_spans(text, kind).alias(f"base_{kind}") for kind in KINDS])
-    out = out.withColumn("taken", F.concat(*[F.col(f"base_{kind}") for kind in KINDS]))
-    for kind in KINDS:
-        out = out.withColumn(f"added_{kind}", _selected(text, kind, F.col("taken"), trees, bounds[kind]))
-        out = out.withColumn("taken", F.concat("taken", f"added_{kind}"))
-    return out.drop("taken")
+    out = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = out.select("*", *[base_spans(text, kind).alias(f"base_{kind}") for kind in KINDS], *[_proposed(text, kind).alias(f"__{kind}") for kind in KINDS])
+    out = out.withColumn("__taken", F.concat(*[F.col(f"base_{kind}") for kind in KINDS]))
+    apart = [F.when(F.size(f"__{kind}") == 0, F.col(f"__{kind}")).otherwise(_apart(F.col(f"__{kind}"), F.col("__taken"))).alias(f"__{kind}") for kind in KINDS]
+    out = out.select("doc_id", "text", *[f"base_{kind}" for kind in KINDS], *apart)
+    out = out.withColumn("__chosen", F.concat(*[_scored(text, kind, F.col(f"__{kind}"), trees, bounds[kind]) for kind in KINDS]))
+    out = out.withColumn("__chosen", _likeliest(F.col("__chosen")))
+    plain = lambda s: F.struct(*[s.getField(c).alias(c) for c in ("start", "end", "value")])
+    of = lambda kind: F.transform(F.filter("__chosen", lambda s: s.getField("kind") == kind), plain)
+    return out.select("doc_id", "text", *[f"base_{kind}" for kind in KINDS], *[of(kind).alias(f"added_{kind}") for kind in KINDS])
 
 
 def listed(columns: dict[str, Column]) -> Column:
