@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The names and patterns that searches understand, in the order in which they are tried.
@@ -40,6 +40,7 @@ SYNONYMS = (
     (r"\bwearing\b|\bshirt\b|\bclothing\b", ""),
     (r"\bentry\b|\bgate\b", "entrance"),
 )
+# Places by their aliases, phrases, and how clock times and counts are written.
 LOCATIONS = (("east entrance", ("east entrance", "east gate")), ("west plaza", ("west plaza", "plaza")), ("parking", ("parking", "car park")))
 #: Phrases that relate to a selected event: relation and window in seconds; later ones win.
 PHRASES = (
@@ -77,12 +78,10 @@ def normalise(text: Column) -> Column:
 
 
 def with_event_names(normal: Column) -> Column:
-    """Patterns are tried in order on the text with the names appended so far; no name holds another
-    event's pattern before its own turn unless it is meant to."""
-    out = normal
-    for name, pattern in EVENT_PATTERNS:
-        out = F.when(matches(out, pattern), F.concat(out, F.lit(" " + name.replace("_", " ")))).otherwise(out)
-    return out
+    """A normalised text with the names of all events that it mentions appended, in the list's order.
+    No name makes another event's pattern match, so all are tried on the text alone; give it as a
+    column of its own, not as an expression, as every pattern reads it."""
+    return F.concat_ws(" ", normal, *[F.when(matches(normal, pattern), F.lit(name.replace("_", " "))) for name, pattern in EVENT_PATTERNS])
 
 
 def clock_minutes(text: Column) -> Column:
@@ -109,10 +108,18 @@ def _clock_after(q: Column, word: str) -> Column:
     return F.regexp_extract(q, ascii_words(rf"\b{word}\s+({CLOCK})\b"), 1)
 
 
-def tags(text: Column) -> dict[str, Column]:
-    """Constraints in a query text by name; null where it names none."""
-    q = F.lower(F.coalesce(text, F.lit("")))
-    normal = normalise(q)
+def tagged(df: DataFrame, text: str = "text", into: str = "tags") -> DataFrame:
+    """``df`` with a struct column of its texts' ``tags``. The lower-cased and the normalised text are
+    columns of their own on the way, so long texts are rewritten once, not once for each pattern."""
+    ready = df.withColumn("__q", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("__normal", normalise(F.col("__q")))
+    return ready.withColumn(into, F.struct(*[c.alias(k) for k, c in tags(F.col("__q"), F.col("__normal")).items()])).drop("__q", "__normal")
+
+
+def tags(text: Column, normal: Column | None = None) -> dict[str, Column]:
+    """Constraints in a query text by name; null where it names none. ``normal``: the normalised text,
+    if ``text`` is in lower case already (see ``tagged``)."""
+    q = F.lower(F.coalesce(text, F.lit(""))) if normal is None else text
+    normal = normalise(q) if normal is None else normal
     entity = first_match(normal, [(e, rf"\b{e}s?\b") for e in ENTITIES])
     camera = F.regexp_extract(q, r"(?:camera|cam)[ _-]*0?(\d+)", 1)
     location = F.coalesce(*[F.when(F.coalesce(*[F.when(q.contains(a), F.lit(True)) for a in aliases], F.lit(False)), F.lit(name)) for name, aliases in reversed(LOCATIONS)])
@@ -151,16 +158,36 @@ def warnings(tagged: dict[str, Column], text: Column) -> Column:
         F.when(bad, F.lit("Invalid clock time; use HH:MM or 6 PM.")), F.when(nothing, F.lit("No structured constraint; ranked by text alone."))))
 
 
+#: Kinds of events and types of objects that a wanted one includes besides itself.
+INCLUDED_KINDS = {"stationary": ("stationary", "stopped", "became_stationary"), "exited": ("exited", "disappeared")}
+INCLUDED_TYPES = {"vehicle": ("vehicle", "car", "truck", "bus", "motorcycle"), "bag": ("bag", "backpack", "suitcase")}
+
+
+def _included(wanted: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    out = F.array(wanted)
+    for name, values in table.items():
+        out = F.when(wanted == name, F.array(*map(F.lit, values))).otherwise(out)
+    return out
+
+
+def event_kinds(wanted: Column) -> Column:
+    """Array of the kinds that satisfy a wanted one."""
+    return _included(wanted, INCLUDED_KINDS)
+
+
+def entity_types(wanted: Column) -> Column:
+    """Array of the object types that satisfy a wanted one."""
+    return _included(wanted, INCLUDED_TYPES)
+
+
 def event_matches(kind: Column, wanted: Column) -> Column:
     """Equal kinds, or one that the wanted kind includes."""
-    still = (wanted == "stationary") & kind.isin("stationary", "stopped", "became_stationary")
-    return (kind == wanted) | still | ((wanted == "exited") & kind.isin("exited", "disappeared"))
+    return F.array_contains(event_kinds(wanted), kind)
 
 
 def entity_matches(kinds: Column, wanted: Column) -> Column:
     """Whether an array of object types holds the wanted one or one that it includes."""
-    vehicle = (wanted == "vehicle") & F.arrays_overlap(kinds, F.array(*map(F.lit, ("car", "truck", "bus", "motorcycle"))))
-    return F.array_contains(kinds, wanted) | vehicle | ((wanted == "bag") & F.arrays_overlap(kinds, F.array(F.lit("backpack"), F.lit("suitcase"))))
+    return F.arrays_overlap(kinds, entity_types(wanted))
 
 
 def clock_matches(minute: Column, after: Column, before: Column) -> Column:

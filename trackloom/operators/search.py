@@ -2,60 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import tagging as T
 from trackloom.functions.geometry import weighted_mean
+from trackloom.operators.intervals import OPERATORS, holds
+from trackloom.plans.durable import counted
+from trackloom.plans.hot_keys import attach
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Weights of the signals in an event's score, and the least text score that counts
 #: where a query has no structured constraint.
-WEIGHTS = {"semantic": 0.35, "entity": 0.20, "attributes": 0.15, "spatial": 0.10, "temporal": 0.15, "confidence": 0.05}
+WEIGHTS = {"semantic": 0.35, "attributes": 0.20, "temporal": 0.15, "spatial": 0.10, "event": 0.15, "graph": 0.05}
 FLOOR = 0.12
-#: A query table is broadcast; it may have so many rows.
-MOST_QUERIES = 20_000
+#: Constraints that choose the events on which a query's text model is fitted.
+SCOPE = ("camera", "category", "entity_id")
+#: Kinds of events that a relation refers to where a query names no event.
+LEAVING = ("exited", "disappeared")
 
 
-def terms(texts: DataFrame, *key: str) -> DataFrame:
-    """``(*key, term, tf)`` of ``texts(*key, text)``: words of two or more characters and pairs of
-    neighbours, ``tf = 1 + ln(count)``."""
+def terms(texts: DataFrame, key: str) -> DataFrame:
+    """``(key, term, tf)`` of ``texts(key, text)``: words of two or more characters and pairs of
+    neighbours, each known by a 64-bit hash, ``tf = 1 + ln(count)``."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    cut = texts.select(*key, tokens.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    every = cut.select(*key, F.explode(F.concat(F.col("w"), pairs)).alias("term"))
-    return every.groupBy(*key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    cut = texts.select(key, tokens.alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    every = cut.select(key, F.explode(F.concat(F.transform("w", lambda x: F.xxhash64(x)), pairs)).alias("term"))
+    return every.groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, by: str | None = None) -> DataFrame:
-    """Cosine of every query with every document that shares a term: ``query_id, doc_id, score``.
+def tfidf(docs: DataFrame, queries: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Cosine of every query with every document of its scope that shares a term: ``query_id,
+    doc_id, score``.
 
-    The model of a query is fitted on the documents plus the query: ``idf = ln((2 + N) / (1 + df)) +
-    1`` with ``df`` one higher for the query's terms. A document's norm is computed once; a query
-    changes it only by their shared terms, so nothing is computed for pairs that share none.
-    ``docs(doc_id, text)``, ``queries(query_id, text)``; query terms are broadcast if few.
+    The model of a query is fitted on the documents of its scope plus the query: ``idf = ln((2 + N)
+    / (1 + df)) + 1`` with ``df`` one higher for the query's terms. A document's norm is computed
+    once for each scope; a query changes it only by their shared terms, so nothing is computed for
+    pairs that share none. Terms are counted once; a term that most documents hold is spread.
 
-    ``by`` names a column of both: a query then meets only the documents with its value, and the
-    model is fitted on those. Null values meet nothing.
+    ``docs(doc_id, text)``, ``queries(query_id, text[, scope])``, ``members(scope, doc_id)``: the
+    documents of each scope, which may overlap; without it all are of one.
     """
-    keys = [by] if by else []
-    own = terms(docs, "doc_id", *keys)
-    df = own.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    asked = terms(queries, "query_id", *keys).withColumnRenamed("tf", "qf")
-    if by:
-        sizes = docs.groupBy(by).agg(F.count("*").alias("n"))
-        own, asked, n = own.join(sizes, by), asked.join(sizes, by), F.col("n")
+    own, total = counted(terms(docs, "doc_id"))
+    asked = terms(queries, "query_id").withColumnRenamed("tf", "qf")
+    if members is None:
+        own, asked = own.withColumn("scope", F.lit(0)), asked.withColumn("scope", F.lit(0))
+        sizes = docs.agg(F.count("*").alias("n")).withColumn("scope", F.lit(0))
     else:
-        n = docs.count()
-    idf = lambda d: F.log((2.0 + n) / (1.0 + d)) + 1
-    held = own.join(df, [*keys, "term"]).withColumn("w2", F.pow(F.col("tf") * idf(F.col("df")), 2))
-    base = held.groupBy("doc_id", *keys).agg(F.sum("w2").alias("base"))
-    asked = asked.join(df, [*keys, "term"], "left").withColumn("idf1", idf(F.coalesce("df", F.lit(0)) + 1)).drop("df", "n")
+        own, total = counted(own.join(members, "doc_id"))
+        asked = asked.join(queries.select("query_id", "scope"), "query_id")
+        sizes = members.groupBy("scope").agg(F.count("*").alias("n"))
+    key = ["scope", "term"]
+    df, _ = counted(own.groupBy(*key).agg(F.count("*").alias("df")))
+    idf = lambda d: F.log((2.0 + F.col("n")) / (1.0 + d)) + 1
+    held = attach(own, df.join(sizes, "scope"), key, "df", total).withColumn("w2", F.pow(F.col("tf") * idf(F.col("df")), 2))
+    base = held.groupBy("scope", "doc_id").agg(F.sum("w2").alias("base"))
+    asked = asked.join(sizes, "scope").join(df, key, "left").withColumn("idf1", idf(F.coalesce("df", F.lit(0)) + 1))
     qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf1"), 2))).alias("qnorm"))
-    shared = held.join(asked, [*keys, "term"]).groupBy("query_id", "doc_id", *keys).agg(
+    few = own.join(asked.select(*key, F.coalesce("df", F.lit(0)).alias("df"), "n").distinct(), key)  # of the queries' terms only
+    shared = few.withColumn("w2", F.pow(F.col("tf") * idf(F.col("df")), 2)).join(asked.select("query_id", *key, "qf", "idf1"), key).groupBy("query_id", "doc_id", "scope").agg(
         F.sum(F.col("tf") * F.col("qf") * F.pow("idf1", 2)).alias("dot"), F.sum(F.pow(F.col("tf") * F.col("idf1"), 2) - F.col("w2")).alias("more"))
-    scored = shared.join(base, ["doc_id", *keys]).join(qnorm, "query_id")
+    scored = shared.join(base, ["scope", "doc_id"]).join(qnorm, "query_id")
     return scored.select("query_id", "doc_id", (F.col("dot") / F.col("qnorm") / F.sqrt(F.col("base") + F.col("more"))).alias("score"))
 
 
@@ -66,45 +78,105 @@ def top(scored: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float = FLOOR, weights: dict[str, float] = WEIGHTS, on_all: bool = False) -> DataFrame:
+def scopes(events: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``queries`` with ``scope``, a hash of what they ask of ``SCOPE``, and the events of each scope
+    as ``(scope, event_id)``. Each combination of constraints that occurs is one equal join."""
+    scope = F.xxhash64(*[F.col(c).cast("string") for c in SCOPE], *[F.col(c).isNull() for c in SCOPE])
+    scoped = queries.withColumn("scope", scope)
+    told = {"camera": "camera_id", "category": "category"}
+    every = scoped.select("scope", *SCOPE).distinct()
+    parts = []
+    for row in every.select(*[F.col(c).isNotNull().alias(c) for c in SCOPE]).distinct().collect():  # eight at most
+        given = [c for c in SCOPE if row[c]]
+        own = every.where(reduce(and_, [F.col(c).isNotNull() if c in given else F.col(c).isNull() for c in SCOPE]))
+        cut = events.select("event_id", *[F.col(told[c]).alias(c) for c in given if c in told], *([F.explode(F.array_distinct("entity_ids")).alias("entity_id")] if "entity_id" in given else []))
+        parts.append(cut.join(own.select("scope", *given), given).select("scope", "event_id") if given else cut.crossJoin(F.broadcast(own.select("scope").limit(1))))
+    return scoped, reduce(DataFrame.unionByName, parts) if parts else events.select(F.lit(0).cast("long").alias("scope"), "event_id").limit(0)
+
+
+def _routed(events: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of structured queries with the events of their scope that agree in one more constraint,
+    by a join on equal keys: kind, else object type, else colour, else location, else none."""
+    named = lambda tag, values: F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(tag), x))
+    places = events.select("location").distinct().join(queries.where("location is not null").select(F.col("location").alias("asked")).distinct(), F.contains(F.lower("location"), F.col("asked")))
+    places = places.groupBy("asked").agg(F.collect_set("location").alias("places"))  # of the distinct locations
+    keys = F.coalesce(
+        F.when(F.col("event").isNotNull(), named("k:", T.event_kinds(F.col("event")))), F.when(F.col("entity").isNotNull(), named("e:", T.entity_types(F.col("entity")))),
+        F.when(F.col("colour").isNotNull(), named("c:", F.array("colour"))), F.when(F.col("location").isNotNull(), named("l:", F.coalesce("places", F.array().cast("array<string>")))), F.array(F.lit("*")))
+    asked = queries.join(places, F.col("location") == F.col("asked"), "left").select("query_id", "scope", F.explode(keys).alias("key"))
+    held = F.concat(named("k:", F.array("kind")), named("e:", F.array_distinct("entities")), named("c:", F.array_distinct("colours")), named("l:", F.array("location")), F.array(F.lit("*")))
+    keyed = events.select("event_id", F.explode(held).alias("key")).join(asked.select("key").distinct(), "key")
+    return keyed.join(members, "event_id").join(asked, ["scope", "key"]).select("query_id", "event_id").distinct()
+
+
+def _with_targets(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds ``temporal_evidence``: ids of the events that a query's relation holds to, null without a
+    relation. Targets are the query's reference, or leaving events that share an entity."""
+    target = events.select(F.col("event_id").alias("target"), F.col("start_s").alias("c"), F.col("end_s").alias("d"), "kind", F.col("entity_ids").alias("theirs"))
+    related = pairs.where("relation is not null").select("query_id", "event_id", "start_s", "end_s", "entity_ids", "relation", "window", "reference")
+    shared = related.where("reference is null").withColumn("__entity", F.explode(F.array_distinct("entity_ids")))
+    leaving = target.where(F.col("kind").isin(*LEAVING)).withColumn("__entity", F.explode(F.array_distinct("theirs")))
+    near = ["query_id", "event_id", "start_s", "end_s", "relation", "window", "target", "c", "d"]
+    found = shared.join(leaving, "__entity").select(*near).unionByName(related.where("reference is not null").join(target, F.col("reference") == F.col("target")).select(*near))
+    a, b, c, d = (F.col(x) for x in ("start_s", "end_s", "c", "d"))
+    window = F.coalesce("window", F.lit(0))
+    gap = {"before": c - b, "followed_by": c - b, "after": a - d}
+    fits = F.lit(False)
+    for name in OPERATORS:
+        test = (gap[name] >= 0) & ((gap[name] <= window) | (window < 0)) if name in gap else (F.greatest(F.lit(0.0), c - b, a - d) <= window if name in ("near", "within") else holds(a, b, c, d, name))
+        fits = F.when(F.col("relation") == name, test).otherwise(fits)
+    held = found.where((F.col("event_id") != F.col("target")) & fits).groupBy("query_id", "event_id").agg(F.sort_array(F.collect_set("target")).alias("temporal_evidence"))
+    return pairs.join(held, ["query_id", "event_id"], "left").where("relation is null or temporal_evidence is not null")
+
+
+def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float = FLOOR, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Ranked events for a table of queries.
 
-    ``events(event_id, text, camera_id, location, kind, entities array, colours array, start_s,
-    end_s, minute, confidence)``; ``queries(query_id, text, entity, colour, event, camera, location,
-    after, before, min_duration, unsupported)`` as ``tagging.tags`` gives them. Null constraints
-    don't filter. Text scores below ``floor`` count only beside a structured constraint; queries for
-    unsupported activities have no results. Returns ``query_id, event_id, score, rank, total``:
-    score rounded to 4 places, ties by start, then id; ``total`` counts before the limit.
-
-    The text model of a query with a camera is fitted on that camera's events, of others on all;
-    ``on_all`` fits every query on all events, which scores and ranks differently.
+    ``events(event_id, text, camera_id, category, location, kind, entities array, colours array,
+    entity_ids array, start_s, end_s, minute)``; ``queries(query_id, text, entity, colour, event,
+    camera, location, after, before, min_duration, relation, window, unsupported)`` as
+    ``tagging.tags`` gives them, and ``category, entity_id, reference`` (an event's id). Null
+    constraints don't filter; queries for unsupported activities have no results.
+
+    A query's text model is fitted on the events of its camera, category and entity, on normalised
+    texts with the names of mentioned events appended. Text scores below ``floor`` count only
+    beside a structured constraint, so queries without one start from the text's hits; others are
+    joined on equal keys. A relation keeps events that bear it to the reference, or to a leaving
+    event of a shared entity.
+
+    Returns ``query_id, event_id, score, rank, total, signals, explanations, temporal_evidence``:
+    score rounded to 4 places (halves up, whatever their last bit), ties by start, then id; ``total`` counts before the limit; a null
+    signal was not evaluated.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"search at most {MOST_QUERIES} queries at a time")
-    docs, free_queries = events.select(F.col("event_id").alias("doc_id"), "text", F.col("camera_id").alias("camera")), queries if on_all else queries.where("camera is null")
-    text = tfidf(docs.drop("camera"), free_queries.select("query_id", "text"))
-    if not on_all:
-        text = text.unionByName(tfidf(docs, queries.where("camera is not null").select("query_id", "text", "camera"), "camera"))
-    q = {c: F.col(f"q.{c}") for c in queries.columns}
+    queries, members = scopes(events, queries.where("unsupported is null"))
+    members, _ = counted(members)
+    ready = lambda df, key: df.select(F.col(key), T.normalise(F.coalesce("text", F.lit(""))).alias("normal")).select(F.col(key), T.with_event_names(F.col("normal")).alias("text"))
+    texts = ready(events, "event_id").withColumnRenamed("event_id", "doc_id")
+    text, _ = counted(tfidf(texts, ready(queries, "query_id").join(queries.select("query_id", "scope"), "query_id"), members.withColumnRenamed("event_id", "doc_id")).withColumnRenamed("doc_id", "event_id"))
+    asked = lambda *cs: F.coalesce(*[F.col(c).cast("string") for c in cs]).isNotNull()
+    structured = asked("entity", "event", "colour", "location", "camera", "entity_id", "reference")
+    pairs = _routed(events, members, queries.where(structured)).unionByName(text.where(F.col("score") >= floor).join(queries.where(~structured), "query_id").select("query_id", "event_id"))
     e = {c: F.col(f"e.{c}") for c in events.columns}
+    q = {c: F.col(f"q.{c}") for c in queries.columns}
     free = lambda c, test: q[c].isNull() | test
     fits = (
-        q["unsupported"].isNull() & free("camera", e["camera_id"] == q["camera"]) & free("location", F.contains(F.lower(e["location"]), q["location"]))
-        & free("event", T.event_matches(e["kind"], q["event"])) & free("entity", T.entity_matches(e["entities"], q["entity"]))
+        free("location", F.contains(F.lower(e["location"]), q["location"])) & free("event", T.event_matches(e["kind"], q["event"])) & free("entity", T.entity_matches(e["entities"], q["entity"]))
         & free("colour", F.array_contains(e["colours"], q["colour"])) & T.clock_matches(e["minute"], q["after"], q["before"])
         & free("min_duration", e["end_s"] - e["start_s"] >= q["min_duration"]))
-    pairs = events.alias("e").join(F.broadcast(queries.alias("q")), fits)
-    structured = F.coalesce(*[q[c].cast("string") for c in ("entity", "event", "colour", "location", "camera")]).isNotNull()
-    asked = lambda *cs: F.coalesce(*[q[c].cast("string") for c in cs]).isNotNull()
-    told = pairs.select(
-        q["query_id"].alias("query_id"), e["event_id"].alias("event_id"), e["start_s"].alias("start_s"), structured.alias("structured"), e["confidence"].alias("confidence"),
-        *[F.when(asked(*cs), F.lit(1.0)).alias(name) for name, cs in (("entity", ("entity",)), ("attributes", ("colour",)), ("spatial", ("camera", "location")), ("temporal", ("after", "before", "min_duration")))])
-    joined = told.join(text.withColumnRenamed("doc_id", "event_id"), ["query_id", "event_id"], "left").withColumn("semantic", F.coalesce("score", F.lit(0.0)))
-    joined = joined.where(F.col("structured") | (F.col("semantic") >= floor))
-    signals = {name: F.col(name) for name in weights}
-    scored = joined.withColumn("score", F.round(weighted_mean(signals, weights), 4))
-    scored = scored.join(scored.groupBy("query_id").agg(F.count("*").alias("total")), "query_id")
-    return top(scored, "query_id", limit, F.desc("score"), F.col("start_s"), F.col("event_id")).select("query_id", "event_id", "score", "rank", "total")
+    wanted = ["entity", "colour", "event", "camera", "location", "after", "before", "min_duration", "relation", "window", "entity_id", "reference"]
+    found = pairs.join(events.alias("e"), "event_id").join(queries.alias("q"), "query_id").where(fits).select(
+        "query_id", "event_id", e["start_s"].alias("start_s"), e["end_s"].alias("end_s"), e["entity_ids"].alias("entity_ids"), e["location"].alias("place"), *[q[c].alias(c) for c in wanted])
+    found = _with_targets(found, events).join(text, ["query_id", "event_id"], "left").withColumn("semantic", F.coalesce("score", F.lit(0.0)))
+    flag = lambda test: F.when(test, F.lit(1.0))
+    signals = {
+        "semantic": F.round("semantic", 4), "attributes": flag(asked("entity", "colour")), "temporal": flag(asked("after", "before", "min_duration", "relation")),
+        "spatial": flag(asked("camera", "location")), "event": flag(asked("event")), "graph": flag(asked("entity_id") | F.col("temporal_evidence").isNotNull())}
+    told = F.array_compact(F.array(
+        F.concat(F.lit("text cosine: "), F.format_number("semantic", 3)), F.concat(F.lit("kind satisfies "), F.col("event")), F.concat(F.lit("recorded colour: "), F.col("colour")),
+        F.when(asked("location"), F.concat(F.lit("location: "), F.col("place"))), F.concat(F.lit("relation held to "), F.array_join(F.col("temporal_evidence").cast("array<string>"), ", "))))
+    scored = found.select("query_id", "event_id", "start_s", F.round(weighted_mean(signals, weights) + 1e-9, 4).alias("score"), F.struct(*[v.alias(k) for k, v in signals.items()]).alias("signals"), told.alias("explanations"), "temporal_evidence")
+    scored = scored.withColumn("total", F.count("*").over(W.partitionBy("query_id")))
+    return top(scored, "query_id", limit, F.desc("score"), F.col("start_s"), F.col("event_id")).select("query_id", "event_id", "score", "rank", "total", "signals", "explanations", "temporal_evidence")
 
 
 def coverage(videos: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -27,8 +27,7 @@ def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = T.tags(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in tagged.items() if k in ("entity", "colour", "event", "camera", "location", "relation", "unsupported")])
+    return T.tagged(_docs(spark, sf_dir)).select("doc_id", *[f"tags.{k}" for k in ("entity", "colour", "event", "camera", "location", "relation", "unsupported")])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("event_id"), "text", F.concat(F.lit("CAM-"), F.lpad((i % 10 + 1).cast("string"), 2, "0")).alias("camera_id"), F.col("source").alias("location"),
         pick(_KINDS, i).alias("kind"), F.array(pick(_TYPES, i), F.lit("person")).alias("entities"), F.array(pick(T.COLOURS, i)).alias("colours"),
         (i * 7 % 1000).cast("double").alias("start_s"), (i * 7 % 1000 + i % 13).cast("double").alias("end_s"), (i * 37 % 1440).cast("int").alias("minute"),
-        F.when(i % 3 > 0, (i % 100) / 100).alias("confidence"))
+        pick(("OBSERVED", "INFERRED", "CORRELATED"), i).alias("category"), F.array(F.concat(F.lit("E"), i % 97), F.concat(F.lit("F"), i % 31)).alias("entity_ids"))
 
 
 def event_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +48,17 @@ def event_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         i.alias("query_id"), "text", some(F.lit("vehicle"), 3).alias("entity"), some(F.lit("red"), 7).alias("colour"), some(F.lit("stationary"), 2).alias("event"),
         some(F.lit("CAM-01"), 5).alias("camera"), some(F.lit("src1"), 11).alias("location"), some((i * 60).cast("int"), 4).alias("after"), some((i * 50 + 300).cast("int"), 8).alias("before"),
-        some(F.lit(3), 9).alias("min_duration"), some(F.lit("reversed"), 13).alias("unsupported"))
+        some(F.lit(3), 9).alias("min_duration"), some(F.lit("reversed"), 13).alias("unsupported"),
+        F.when(i % 6 == 1, "before").when(i % 6 == 2, "near").alias("relation"), F.when(i % 6 == 1, 60).when(i % 6 == 2, 20).alias("window"), F.when(i % 12 == 2, i % 150).alias("reference"),
+        F.when(i % 5 == 3, "INFERRED").alias("category"), F.when(i % 10 == 9, F.concat(F.lit("E"), i % 97)).alias("entity_id"))
 
 
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL fits one model on all events; by default ``search`` fits on a query's camera.
-    return S.search(events(spark, sf_dir), event_queries(spark, sf_dir), 10, on_all=True)
+    found = S.search(events(spark, sf_dir), event_queries(spark, sf_dir), 10)
+    named = ("attributes", "temporal", "spatial", "event", "graph")
+    said = F.array_join(F.filter("explanations", lambda x: ~x.startswith("text cosine")), "; ")
+    evidence = F.coalesce(F.array_join(F.col("temporal_evidence").cast("array<string>"), ","), F.lit(""))
+    return found.select("query_id", "event_id", "score", "rank", "total", *[F.col(f"signals.{c}").alias(f"s_{c}") for c in named], said.alias("explanations"), evidence.alias("evidence"))
 
 
 _TERMS = """t as (select id, w, kind from (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') as w, 'd' as kind from documents
@@ -69,12 +73,43 @@ _TERMS = """t as (select id, w, kind from (select doc_id as id, regexp_extract_a
     s as (select query_id, doc_id, sum(tf * qf * pow(idf1, 2)) as dot, sum(pow(tf * idf1, 2) - w2) as more from held join a using (term) group by all),
     tfidf as (select query_id, doc_id, dot / qnorm / sqrt(base + more) as score from s join base using (doc_id) join qn using (query_id))"""
 
-_EV = """ev as (select doc_id as event_id, 'CAM-' || lpad((doc_id % 10 + 1)::varchar, 2, '0') as camera_id, source as location, list_value('stationary', 'stopped', 'exited', 'disappeared', 'entered_zone')[(doc_id % 5 + 1)::int] as kind,
+def _sql_normal(text: str) -> str:
+    """SQL of a normalised text."""
+    for p, w in T.SYNONYMS:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, p.replace("'", "''"), w)
+    return text
+
+
+_NAMED = "concat_ws(' ', nt, " + ", ".join(f"case when regexp_matches(nt, '{p}') then '{n.replace('_', ' ')}' end" for n, p in T.EVENT_PATTERNS) + ")"
+_EV = f"""ev as (select doc_id as event_id, {_NAMED} as text, 'CAM-' || lpad((doc_id % 10 + 1)::varchar, 2, '0') as camera_id, source as location, list_value('stationary', 'stopped', 'exited', 'disappeared', 'entered_zone')[(doc_id % 5 + 1)::int] as kind,
         list_value(list_value('person', 'car', 'truck', 'bag', 'backpack')[(doc_id % 5 + 1)::int], 'person') as entities, list_value('red', 'blue', 'green', 'yellow', 'white', 'black', 'gray', 'purple')[(doc_id % 8 + 1)::int] as colour,
-        (doc_id * 7 % 1000)::double as start_s, (doc_id * 7 % 1000 + doc_id % 13)::double as end_s, doc_id * 37 % 1440 as minute, case when doc_id % 3 > 0 then (doc_id % 100) / 100.0::double end as confidence from documents),
-    qs as (select item_id as query_id, case when item_id % 3 = 0 then 'vehicle' end as entity, case when item_id % 7 = 0 then 'red' end as colour, case when item_id % 2 = 0 then 'stationary' end as event,
+        (doc_id * 7 % 1000)::double as start_s, (doc_id * 7 % 1000 + doc_id % 13)::double as end_s, doc_id * 37 % 1440 as minute, list_value('OBSERVED', 'INFERRED', 'CORRELATED')[(doc_id % 3 + 1)::int] as category,
+        list_value('E' || (doc_id % 97), 'F' || (doc_id % 31)) as entity_ids from (select *, {_sql_normal("lower(coalesce(text, ''))")} as nt from documents)),
+    qs as (select item_id as query_id, {_NAMED} as text, case when item_id % 3 = 0 then 'vehicle' end as entity, case when item_id % 7 = 0 then 'red' end as colour, case when item_id % 2 = 0 then 'stationary' end as event,
         case when item_id % 5 = 0 then 'CAM-01' end as camera, case when item_id % 11 = 0 then 'src1' end as location, case when item_id % 4 = 0 then item_id * 60 end as after, case when item_id % 8 = 0 then item_id * 50 + 300 end as before,
-        case when item_id % 9 = 0 then 3 end as min_duration, case when item_id % 13 = 0 then 'reversed' end as unsupported from benchmark)"""
+        case when item_id % 9 = 0 then 3 end as min_duration, case item_id % 6 when 1 then 'before' when 2 then 'near' end as relation, case item_id % 6 when 1 then 60 when 2 then 20 end as win,
+        case when item_id % 12 = 2 then item_id % 150 end as reference, case when item_id % 5 = 3 then 'INFERRED' end as category, case when item_id % 10 = 9 then 'E' || (item_id % 97) end as entity_id
+        from (select *, {_sql_normal("lower(coalesce(text, ''))")} as nt from benchmark) where item_id % 13 <> 0),
+    sc as (select row_number() over () as scope, * from (select distinct camera, category, entity_id from qs)),
+    asked as (select qs.*, scope from qs join sc on qs.camera is not distinct from sc.camera and qs.category is not distinct from sc.category and qs.entity_id is not distinct from sc.entity_id),
+    mem as (select scope, event_id from sc join ev e on (sc.camera is null or e.camera_id = sc.camera) and (sc.category is null or e.category = sc.category) and (sc.entity_id is null or list_contains(entity_ids, sc.entity_id))),
+    w as (select 'd' as side, event_id as id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from ev union all select 'q', query_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]{{2,}}') from qs),
+    tm as (select side, id, term, 1 + ln(count(*)) as tf from (select side, id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)::bigint), lambda i: w[i] || ' ' || w[i + 1]))) as term from w) group by all),
+    dt as (select scope, id as event_id, term, tf from tm join mem on id = event_id where side = 'd'), sn as (select scope, count(*)::double as n from mem group by 1),
+    df as (select scope, term, count(*)::double as df from dt group by all),
+    nb as (select scope, event_id, sum(pow(tf * (ln((2 + n) / (1 + df)) + 1), 2)) as base from dt join df using (scope, term) join sn using (scope) group by all),
+    qt as (select query_id, scope, term, tf as qf, coalesce(df, 0) as df, n, ln((2 + n) / (2 + coalesce(df, 0))) + 1 as idf1 from tm join asked on id = query_id join sn using (scope) left join df using (scope, term) where side = 'q'),
+    qn as (select query_id, sqrt(sum(pow(qf * idf1, 2))) as qnorm from qt group by 1),
+    tx as (select query_id, event_id, sum(tf * qf * pow(idf1, 2)) / any_value(qnorm) / sqrt(any_value(base) + sum(pow(tf * idf1, 2) - pow(tf * (ln((2 + n) / (1 + df)) + 1), 2))) as sem
+        from qt join dt using (scope, term) join nb using (scope, event_id) join qn using (query_id) group by all),
+    pr as (select q.*, e.event_id, e.start_s, e.end_s, e.entity_ids, e.location as place, coalesce(sem, 0) as sem from asked q join mem m using (scope) join ev e using (event_id) left join tx using (query_id, event_id)
+        where (q.location is null or contains(lower(e.location), q.location))
+          and (event is null or kind = event or (event = 'stationary' and kind in ('stopped', 'became_stationary'))) and (entity is null or list_contains(entities, entity) or (entity = 'vehicle' and list_has_any(entities, ['car', 'truck', 'bus', 'motorcycle'])))
+          and (q.colour is null or e.colour = q.colour) and (min_duration is null or e.end_s - e.start_s >= min_duration)
+          and case when after is not null and before is not null and after > before then minute >= after or minute <= before else (after is null or minute >= after) and (before is null or minute <= before) end
+          and (coalesce(entity, event, q.colour, q.location, camera, q.entity_id, reference::varchar) is not null or coalesce(sem, 0) >= 0.12)),
+    tg as (select query_id, p.event_id, list_sort(list(t.event_id)) as evidence from pr p join ev t on t.event_id <> p.event_id and (case when reference is null then t.kind in ('exited', 'disappeared') and list_has_any(t.entity_ids, p.entity_ids) else t.event_id = reference end)
+          and (case relation when 'before' then t.start_s - p.end_s between 0 and win when 'near' then greatest(0, t.start_s - p.end_s, p.start_s - t.end_s) <= win end) group by all)"""
 
 QUERIES = {"tfidf_top": tfidf_top, "tag_texts": tag_texts, "search_events": search_events}
 
@@ -99,16 +134,12 @@ def _sql_tags() -> str:
 ORACLES = {
     "tfidf_top": f"with {_TERMS} select query_id, doc_id, score, rank from (select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from tfidf) where rank <= 5",
     "tag_texts": _sql_tags(),
-    "search_events": f"""with {_TERMS}, {_EV}, p as (select q.query_id, e.event_id, e.start_s, coalesce(entity, event, q.colour, q.location, camera) is not null as structured, confidence,
-            case when entity is not null then 1.0::double end as s_entity, case when q.colour is not null then 1.0::double end as s_attr, case when coalesce(camera, q.location) is not null then 1.0::double end as s_space,
-            case when coalesce(after, before, min_duration) is not null then 1.0::double end as s_time
-          from ev e join qs q on unsupported is null and (camera is null or camera_id = camera) and (q.location is null or contains(lower(e.location), q.location))
-            and (event is null or kind = event or (event = 'stationary' and kind in ('stopped', 'became_stationary'))) and (entity is null or list_contains(entities, entity) or (entity = 'vehicle' and list_has_any(entities, ['car', 'truck', 'bus', 'motorcycle'])))
-            and (q.colour is null or e.colour = q.colour) and (min_duration is null or end_s - start_s >= min_duration)
-            and case when after is not null and before is not null and after > before then minute >= after or minute <= before else (after is null or minute >= after) and (before is null or minute <= before) end),
-        j as (select p.*, coalesce(score, 0) as sem from p left join tfidf t on t.query_id = p.query_id and t.doc_id = p.event_id),
-        r as (select *, round((0.35::double * sem + coalesce(0.20::double * s_entity, 0) + coalesce(0.15::double * s_attr, 0) + coalesce(0.10::double * s_space, 0) + coalesce(0.15::double * s_time, 0) + coalesce(0.05::double * confidence, 0))
-            / (0.35::double + case when s_entity is null then 0 else 0.20::double end + case when s_attr is null then 0 else 0.15::double end + case when s_space is null then 0 else 0.10::double end + case when s_time is null then 0 else 0.15::double end + case when confidence is null then 0 else 0.05::double end), 4) as sc
-          from j where structured or sem >= 0.12)
-        select query_id, event_id, sc as score, rank, total from (select *, row_number() over (partition by query_id order by sc desc, start_s, event_id) as rank, count(*) over (partition by query_id) as total from r) where rank <= 10""",
+    "search_events": f"""with {_EV}, sg as (select pr.*, evidence, case when coalesce(entity, colour) is not null then 1.0::double end as s_attributes, case when coalesce(after, before, min_duration, win) is not null then 1.0::double end as s_temporal,
+            case when coalesce(camera, location) is not null then 1.0::double end as s_spatial, case when event is not null then 1.0::double end as s_event, case when entity_id is not null or evidence is not null then 1.0::double end as s_graph
+          from pr left join tg using (query_id, event_id) where relation is null or evidence is not null),
+        r as (select *, round((0.35::double * round(sem, 4) + coalesce(0.20::double * s_attributes, 0) + coalesce(0.15::double * s_temporal, 0) + coalesce(0.10::double * s_spatial, 0) + coalesce(0.15::double * s_event, 0) + coalesce(0.05::double * s_graph, 0))
+            / (0.35::double + coalesce(0.20::double * s_attributes, 0) + coalesce(0.15::double * s_temporal, 0) + coalesce(0.10::double * s_spatial, 0) + coalesce(0.15::double * s_event, 0) + coalesce(0.05::double * s_graph, 0)) + 1e-9::double, 4) as score from sg)
+        select query_id, event_id, score, rank, total, s_attributes, s_temporal, s_spatial, s_event, s_graph,
+            concat_ws('; ', 'kind satisfies ' || event, 'recorded colour: ' || colour, case when location is not null then 'location: ' || place end, 'relation held to ' || array_to_string(evidence, ', ')) as explanations, coalesce(array_to_string(evidence, ','), '') as evidence
+        from (select *, row_number() over (partition by query_id order by score desc, start_s, event_id) as rank, count(*) over (partition by query_id) as total from r) where rank <= 10""",
 }
