@@ -85,8 +85,12 @@ def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = samples(spark, sf_dir).select("video_id", F.col("object_type").alias("kind"), (F.col("t") * 3600e6).cast("long").alias("id"), "t", *["x1", "y1", "x2", "y2"])
-    return L.object_tracks(found, 1.1).select("video_id", "kind", "id", "track", "ambiguous")
+    return L.object_tracks(_boxes(spark, sf_dir), 1.1).select("video_id", "kind", "id", "track", "ambiguous")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = samples(spark, sf_dir)
+    return found.select("video_id", F.col("object_type").alias("kind"), (F.col("t") * 3600e6).cast("long").alias("id"), "t", (F.col("x1") % 1).alias("confidence"), *["x1", "y1", "x2", "y2"])
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
