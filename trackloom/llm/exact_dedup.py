@@ -28,7 +28,7 @@ BASES = np.array([911382323, 972663749], dtype=np.int64)
 #: Bytes hashed as one row of the matrix product.
 HASH_BYTES = 1 << 16
 #: Characters of a chunk that is a row of its own when long texts are hashed, and when texts are compared.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 16
 #: Texts compared with one representative in one task's group.
 PER_SALT = 500
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -83,17 +83,11 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "raw", "n_bytes", "fingerprint", "text_sha256"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Length, hash and shift (``base**length``) of each chunk, modulo each prime."""
-    for batch in batches:
-        out: dict[str, list] = {"n": [], "high": [], "low": [], "shift_high": [], "shift_low": []}
-        for piece in batch.column("piece"):
-            n, (high, low) = combine(chunk_hashes(np.frombuffer(piece.as_py().encode(), dtype=np.uint8)))
-            shifts = [pow(int(b), n, int(p)) for b, p in zip(BASES, PRIMES, strict=True)]
-            for column, value in zip(out.values(), (n, high, low, *shifts), strict=True):
-                column.append(value)
-        kept = ["doc_id", "raw", "text_sha256", "chunk"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(v, pa.int64()) for v in out.values()]], names=[*kept, *out])
+def _piece(pieces: pa.Table) -> pa.Table:
+    """Length, hash and shift (``base**length``) of one chunk, modulo each prime."""
+    n, (high, low) = combine(chunk_hashes(np.frombuffer(pieces.column("piece")[0].as_py().encode(), dtype=np.uint8)))
+    made = {"n": n, "high": high, "low": low} | {f"shift_{name}": pow(int(b), n, int(p)) for name, b, p in zip(("high", "low"), BASES, PRIMES, strict=True)}
+    return pa.table({c: pieces.column(c) for c in ("doc_id", "raw", "text_sha256", "number", "chunk")} | {c: pa.array([v], pa.int64()) for c, v in made.items()})
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -118,20 +112,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     64-bit hash of the text before spaces are normalised."""
     rows = _texts(docs)
     short = rows.where(F.length("text") <= CHUNK_CHARS).mapInArrow(_short, "doc_id long, raw long, n_bytes long, fingerprint long, text_sha256 string")
-    normal = rows.where(F.length("text") > CHUNK_CHARS).select("doc_id", "raw", _normal(F.col("text")).alias("normal"))
-    pieces = _chunks(normal.withColumn("text_sha256", F.sha2("normal", 256))).repartition("text_sha256", "chunk")
-    hashed = pieces.mapInArrow(_pieces, "doc_id long, raw long, text_sha256 string, chunk int, n long, high long, low long, shift_high long, shift_low long")
-    # Rows that repeat doc_id and text give each chunk several times: it counts once, the row as often.
-    once = hashed.groupBy("doc_id", "raw", "text_sha256", "chunk").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "high", "low", "shift_high", "shift_low")])
-    parts = F.array_sort(F.collect_list(F.struct("chunk", "n", "high", "low", "shift_high", "shift_low")))
-    long = once.groupBy("doc_id", "raw", "text_sha256").agg(parts.alias("parts"), F.max("copies").alias("copies"))
+    long = rows.where(F.length("text") > CHUNK_CHARS).select("doc_id", "raw", F.monotonically_increasing_id().alias("number"), _normal(F.col("text")).alias("normal"))
+    pieces = _chunks(long.withColumn("text_sha256", F.sha2("normal", 256)))
+    row = ["doc_id", "raw", "text_sha256", "number"]  # the number sets equal rows apart
+    hashed = pieces.groupBy(*row, "chunk").applyInArrow(_piece, "doc_id long, raw long, text_sha256 string, number long, chunk int, n long, high long, low long, shift_high long, shift_low long")
+    long = hashed.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("chunk", "n", "high", "low", "shift_high", "shift_low"))).alias("parts"))
 
     def combined(which: str, prime: int) -> Column:
         return F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: (acc * x.getField(f"shift_{which}") + x.getField(which)) % F.lit(prime))
 
     n_bytes = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: acc + x.getField("n"))
     value = F.shiftleft(combined("high", int(PRIMES[0])), 31).bitwiseOR(combined("low", int(PRIMES[1])))
-    long = long.select("doc_id", "raw", n_bytes.alias("n_bytes"), value.alias("fingerprint"), "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    long = long.select("doc_id", "raw", n_bytes.alias("n_bytes"), value.alias("fingerprint"), "text_sha256")
     return short.unionByName(long)
 
 
