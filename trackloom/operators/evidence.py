@@ -13,8 +13,9 @@ from trackloom.operators.search import top
 def serialised(events: DataFrame, evidence: DataFrame, videos: DataFrame, cameras: DataFrame, locations: DataFrame, members: DataFrame) -> DataFrame:
     """One row for each event with its evidence, video, camera and location, and its entities as an
     array: the primary one first, then by id. ``events(event_id, evidence_id, camera_id, ...)``,
-    ``evidence(evidence_id, video_id, primary_id, ...)``, ``members(event_id, entity_id)``."""
-    star = events.join(evidence, "evidence_id").join(videos, "video_id").join(cameras, "camera_id").join(locations, "location_id")
+    ``evidence(evidence_id, video_id, primary_id, ...)``, ``members(event_id, entity_id)``. An event
+    stays where one of its other rows is missing; their columns are null then."""
+    star = events.join(evidence, "evidence_id", "left").join(videos, "video_id", "left").join(cameras, "camera_id", "left").join(locations, "location_id", "left")
     ranked = members.join(star.select("event_id", "primary_id"), "event_id")
     first = F.struct((~F.col("entity_id").eqNullSafe(F.col("primary_id"))).alias("other"), "entity_id")
     lists = ranked.groupBy("event_id").agg(F.array_sort(F.collect_list(first)).alias("e")).select("event_id", F.transform("e", lambda x: x.getField("entity_id")).alias("entities"))
@@ -48,24 +49,37 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
 
 
 def chain_rules(fps: Column) -> dict[str, Column]:
-    """Conditions on an event joined (left) with its evidence, observation, track and video: columns
-    ``event_id, evidence_id, ev_*, ob_*, tr_*, vi_*`` as ``chain`` names them."""
+    """Conditions on an event joined (left) with its evidence, observation, track, video and participants:
+    columns ``event_id, start_ts, end_ts, evidence_id, ev_*, ob_*, tr_*, vi_*, refs``."""
     c = F.col
     near = lambda frame, t: F.abs(frame / fps - t) <= 1 / fps + 1e-6
+    clock = lambda t: F.unix_micros("vi_start") + F.round(c(t) * 1e6).cast("long")
     return {
-        "evidence": c("ev_id").isNotNull(), "observation": c("ob_id").isNotNull(), "track": c("tr_id").isNotNull(), "video": c("vi_id").isNotNull(),
+        "evidence": c("ev_id").isNotNull(), "observation": c("ob_id").isNotNull(), "track": c("tr_id").isNotNull(), "video": c("vi_id").isNotNull(), "method": F.length("ev_method") > 0,
+        "signature": c("ev_sha256") == signature(c("ev_f1"), c("ev_f0"), c("ev_method"), c("vi_sha256"), c("ev_video")),
         "same_video": c("ob_video") == c("ev_video"), "track_video": c("tr_video") == c("ev_video"), "frames_ordered": c("ev_f0") <= c("ev_f1"),
-        "frames_inside": (c("ev_f0") >= 0) & (c("ev_f1") < c("vi_frames")), "times_ordered": c("ev_t0") <= c("ev_t1"),
-        "start_agrees": near(c("ev_f0"), c("ev_t0")), "end_agrees": near(c("ev_f1"), c("ev_t1")), "camera": c("camera_id") == c("vi_camera"),
+        "frames_inside": (c("ev_f0") >= 0) & (c("ev_f1") < c("vi_frames")), "times_inside": (c("ev_t0") >= 0) & (c("ev_t0") <= c("ev_t1")) & (c("ev_t1") <= c("vi_duration")),
+        "start_agrees": near(c("ev_f0"), c("ev_t0")), "end_agrees": near(c("ev_f1"), c("ev_t1")), "start_clock": F.unix_micros("start_ts") == clock("ev_t0"), "end_clock": F.unix_micros("end_ts") == clock("ev_t1"),
+        "camera": c("camera_id") == c("vi_camera"), "participants": c("refs") > 0, "participants_agree": c("disagree") == 0,
     }
 
 
-def integrity(events: DataFrame, evidence: DataFrame, observations: DataFrame, tracks: DataFrame, videos: DataFrame) -> DataFrame:
-    """Every event with the names of the chain conditions it breaks."""
+def integrity(events: DataFrame, evidence: DataFrame, observations: DataFrame, tracks: DataFrame, videos: DataFrame, members: DataFrame) -> DataFrame:
+    """Every event with the names of the chain conditions it breaks.
+
+    ``events(event_id, evidence_id, camera_id, start_ts, end_ts)``, ``evidence(ev_id, ev_video, ev_observation,
+    ev_f0, ev_f1, ev_t0, ev_t1, ev_sha256, ev_method)``, ``observations(ob_id, ob_track, ob_video, ob_entity)``,
+    ``tracks(tr_id, tr_video, tr_entity)``, ``videos(vi_id, vi_camera, vi_fps, vi_frames, vi_duration, vi_start,
+    vi_sha256)``, ``members(event_id, entity_id)``. Participants are observed in the evidence's video, on
+    tracks of their own."""
     chain = (
-        events.join(evidence, F.col("evidence_id") == F.col("ev_id"), "left").join(observations, F.col("ev_observation") == F.col("ob_id"), "left")
-        .join(tracks, F.col("ob_track") == F.col("tr_id"), "left").join(videos, F.col("ev_video") == F.col("vi_id"), "left"))
-    return failed_rules(chain, chain_rules(F.col("vi_fps"))).select("event_id", "errors")
+        events.join(evidence, F.col("evidence_id") == F.col("ev_id"), "left").join(observations.drop("ob_entity"), F.col("ev_observation") == F.col("ob_id"), "left")
+        .join(tracks.drop("tr_entity"), F.col("ob_track") == F.col("tr_id"), "left").join(videos, F.col("ev_video") == F.col("vi_id"), "left"))
+    own = tracks.select(F.col("tr_id").alias("__track"), F.col("tr_entity").alias("__entity"))
+    seen = observations.select(F.col("ob_entity").alias("entity_id"), F.col("ob_video").alias("__video"), F.col("ob_track").alias("__track")).join(own, "__track", "left")
+    theirs = events.join(evidence, F.col("evidence_id") == F.col("ev_id")).select("event_id", F.col("ev_video").alias("__video")).join(members, "event_id").join(seen, ["entity_id", "__video"])
+    refs = theirs.groupBy("event_id").agg(F.count("*").alias("refs"), F.count_if(~F.col("__entity").eqNullSafe(F.col("entity_id"))).alias("disagree"))
+    return failed_rules(chain.join(refs, "event_id", "left"), chain_rules(F.col("vi_fps"))).select("event_id", "errors")
 
 
 def associations(sources: DataFrame, entities: DataFrame, links: DataFrame, keep: float = 0.4, medium: float = 0.7, margin: float = 0.08) -> DataFrame:

@@ -88,8 +88,9 @@ def dataset_status(frames: DataFrame) -> DataFrame:
 
 
 def reappearances(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Objects whose grid places skip (seen, unseen, seen again) or whose class changes. ``frames(keys,
-    place, class)``."""
+    """Objects whose grid places skip (seen, unseen, seen again), whose class changes, or whose id names
+    objects of several videos. ``frames(keys, place, class, video_id)``, ``keys`` without the video."""
     w = W.partitionBy(*keys).orderBy("place")
     return frames.withColumn("__gap", F.col("place") - F.lag("place").over(w) > 1).groupBy(*keys).agg(
-        F.count_if("__gap").alias("reappearances"), (F.count_distinct("class") > 1).alias("class_changes"))
+        F.count_if("__gap").alias("reappearances"), (F.count_distinct("class") > 1).alias("class_changes"),
+        *([(F.count_distinct("video_id") > 1).alias("id_reused")] if "video_id" in frames.columns and "video_id" not in keys else []))

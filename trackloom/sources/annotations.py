@@ -141,11 +141,13 @@ def label_errors(labels: DataFrame, least_queries: int = 30, allow_small: bool =
 
 
 def ingest_rules() -> dict[str, Column]:
-    """Conditions on a row of the staging table of videos."""
+    """Conditions on a row of the staging table of videos: known extension, start with an offset, frames,
+    two hours, as many pixels as 4K has, a camera that is named and short names."""
     c = F.col
     return {
-        "extension": F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1)).isin("mp4", "avi", "mov", "mkv", "webm"), "start with offset": c("recording_start").rlike(r"(Z|[+-]\d{2}:?\d{2})$"),
-        "frames": (c("fps") > 0) & (c("frame_count") > 0), "duration": c("duration").between(0, 7200), "size": (c("width") <= 4096) & (c("height") <= 2160), "id": F.length("video_id").between(1, 64),
+        "extension": F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1)).isin("mp4", "mov", "avi", "mkv"), "start with offset": c("recording_start").rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"),
+        "frames": (c("fps") > 0) & (c("fps") < float("inf")) & (c("frame_count") > 0), "duration": c("frame_count") / c("fps") <= 7200, "size": c("width") * c("height") <= 3840 * 2160,
+        "camera": (F.length(F.trim("camera_id")) > 0) & (F.length("camera_id") <= 80), "location": F.length("location") <= 160,
     }
 
 
@@ -160,11 +162,16 @@ def fingerprint(config: DataFrame, ignore: tuple[str, ...] = ("git_revision", "g
     return config.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))
 
 
-def sample_plan(starts: DataFrame, videos: DataFrame, seconds: int = 5, step: int = 15) -> DataFrame:
-    """Frames of a clip at each start second: every ``step`` frames for ``seconds`` seconds."""
+def sample_plan(starts: DataFrame, videos: DataFrame, seconds: int = 5, sample_fps: float = 2.0) -> DataFrame:
+    """Clips at fixed start seconds of each camera with their sample frames: ``clip_id, video_id, camera_id,
+    start_seconds, duration_seconds, fps, sample_fps, frames``. Cameras whose frame rate is no multiple
+    of ``sample_fps`` have no grid and are left out."""
+    step = F.rint(F.col("fps") / sample_fps).cast("int")
     first = F.rint(F.col("start_seconds") * F.col("fps")).cast("int")
-    last = F.least(F.col("frame_count") - 1, first + (seconds * F.rint("fps")).cast("int") - 1)
-    return starts.join(videos, "camera_id").select("video_id", "camera_id", "start_seconds", "fps", F.sequence(first, F.greatest(first, last), F.lit(step)).alias("frames"))
+    rows = starts.join(videos, "camera_id").where(F.abs(F.col("fps") / step - sample_fps) <= 1e-6)
+    ident = F.concat_ws("-", "camera_id", F.lpad(F.col("start_seconds").cast("int").cast("string"), 4, "0"))
+    return rows.select(ident.alias("clip_id"), "video_id", "camera_id", "start_seconds", F.lit(seconds).alias("duration_seconds"), "fps", F.lit(sample_fps).alias("sample_fps"),
+                       F.sequence(first, first + (seconds * F.rint("fps")).cast("int") - 1, step).alias("frames"))
 
 
 def write_snapshot(df: DataFrame, path: str, keys: list[str]) -> None:
