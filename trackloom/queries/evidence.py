@@ -34,15 +34,24 @@ def entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     line = line.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity", "l_discount")])
-    events = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), (F.col("l_suppkey") % 10).alias("camera_id"))
+    ident, n, t0 = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_linenumber"), F.col("l_quantity") / 25
+    clock = lambda t, late: F.timestamp_micros(F.col("l_partkey") * 1_000_000 + F.round(t * 1e6).cast("long") + F.when(late, 1).otherwise(0))
+    t1 = t0 + F.col("l_discount")
+    events = line.select(ident.alias("event_id"), ident.alias("evidence_id"), (F.col("l_suppkey") % 10).alias("camera_id"), clock(t0, n == 7).alias("start_ts"), clock(t1, n == 6).alias("end_ts"))
+    f0, f1, method = F.col("l_quantity").cast("long"), (F.col("l_quantity") + n).cast("long"), F.when(n == 4, "").otherwise("m")
+    signed = E.signature(f1, f0, method, F.sha2(F.col("l_partkey").cast("string"), 256), F.col("l_partkey"))
     evidence = line.where("l_quantity > 2").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ev_id"), F.col("l_orderkey").alias("ev_observation"), F.col("l_partkey").alias("ev_video"),
-        F.col("l_quantity").cast("long").alias("ev_f0"), (F.col("l_quantity") + F.col("l_linenumber")).cast("long").alias("ev_f1"),
-        (F.col("l_quantity") / 25).alias("ev_t0"), (F.col("l_quantity") / 25 + F.col("l_discount")).alias("ev_t1"))
-    observations = orders.select(F.col("o_orderkey").alias("ob_id"), (F.col("o_custkey") % 200).alias("ob_video"), F.col("o_custkey").alias("ob_track"))
-    tracks = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("tr_id"), (F.col("c_custkey") % 200).alias("tr_video"))
-    videos = part.select(F.col("p_partkey").alias("vi_id"), F.col("p_size").cast("long").alias("vi_frames"), (F.col("p_partkey") % 10).alias("vi_camera"), F.lit(25.0).alias("vi_fps"))
-    return E.integrity(events, evidence, observations, tracks, videos).select("event_id", F.size("errors").cast("long").alias("n_errors"), F.array_join("errors", ",").alias("errors"))
+        ident.alias("ev_id"), F.col("l_orderkey").alias("ev_observation"), F.col("l_partkey").alias("ev_video"), f0.alias("ev_f0"), f1.alias("ev_f1"), t0.alias("ev_t0"), t1.alias("ev_t1"),
+        method.alias("ev_method"), F.when(n == 5, "x").otherwise(signed).alias("ev_sha256"))
+    customer = F.col("o_custkey")
+    observations = orders.select(F.col("o_orderkey").alias("ob_id"), (customer % 200).alias("ob_video"), customer.alias("ob_track"), customer.alias("ob_entity"))
+    c = F.col("c_custkey")
+    tracks = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(c.alias("tr_id"), (c % 200).alias("tr_video"), F.when(c % 3 == 0, c + 1).otherwise(c).alias("tr_entity"))
+    p = F.col("p_partkey")
+    videos = part.select(p.alias("vi_id"), F.col("p_size").cast("long").alias("vi_frames"), (p % 10).alias("vi_camera"), F.lit(25.0).alias("vi_fps"), (F.col("p_size") / 25).alias("vi_duration"), F.timestamp_micros(p * 1_000_000).alias("vi_start"), F.sha2(p.cast("string"), 256).alias("vi_sha256"))
+    members = line.select(ident.alias("event_id"), (F.col("l_partkey") % 150).alias("entity_id"))
+    found = E.integrity(events, evidence, observations, tracks, videos, members)
+    return found.select("event_id", F.size("errors").cast("long").alias("n_errors"), F.array_join("errors", ",").alias("errors"))
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +121,21 @@ QUERIES = {"serialised_orders": serialised_orders, "entity_timeline": entity_tim
 _UNIT = "v as (select vec_id, label::varchar as model, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as vector from embeddings)"
 ORACLES = {
     "serialised_orders": """with m as (select l_orderkey, l_suppkey, min(l_linenumber) as ln from lineitem group by all), p as (select l_orderkey, max(l_suppkey) as prim from lineitem group by 1)
-        select o_orderkey as event_id, s_name, n_name, r_name, o_orderpriority, string_agg(m.l_suppkey::varchar, ',' order by m.l_suppkey <> prim, m.l_suppkey) as entities
-        from orders join p on p.l_orderkey = o_orderkey join m on m.l_orderkey = o_orderkey join supplier on s_suppkey = o_orderkey % 100 join nation on n_nationkey = o_custkey % 25 join region on r_regionkey = n_regionkey group by 1, 2, 3, 4, 5""",
+        select o_orderkey as event_id, s_name, n_name, r_name, o_orderpriority, coalesce(string_agg(m.l_suppkey::varchar, ',' order by m.l_suppkey <> prim, m.l_suppkey), '') as entities
+        from orders left join p on p.l_orderkey = o_orderkey left join m on m.l_orderkey = o_orderkey left join supplier on s_suppkey = p.l_orderkey % 100 left join nation on n_nationkey = o_custkey % 25 left join region on r_regionkey = n_regionkey group by 1, 2, 3, 4, 5""",
     "entity_timeline": """select user_id as entity_id, event_id, event_type, row_number() over w as place, round(epoch_us(ts)::double / 1e6::double - lag(epoch_us(ts)::double / 1e6::double) over w, 3) as since from events window w as (partition by user_id order by ts, event_id)""",
     "chain_integrity": """with c as (select l_orderkey * 10 + l_linenumber as event_id, l_suppkey % 10 as camera_id, l_quantity > 2 as has, o.*, c_custkey, c_custkey % 200 as tv, p_partkey, p_size, p_partkey % 10 as pc, l_partkey, l_quantity as q, l_linenumber as ln, l_discount as d, o_custkey % 200 as ov
           from (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity, min(l_discount) as l_discount from lineitem group by 1, 2) left join orders o on o_orderkey = l_orderkey and l_quantity > 2 left join customer on c_custkey = o_custkey and c_acctbal > 0 left join part on p_partkey = l_partkey and l_quantity > 2),
+        ob as (select o_custkey % 200 as v, o_custkey as e, count(*) as n, count(*) filter (c_custkey is null or c_custkey % 3 = 0) as bad from orders left join customer on c_custkey = o_custkey and c_acctbal > 0 group by 1, 2),
         f as (select event_id, list_filter([case when not has then 'evidence' end, case when not has or o_orderkey is null then 'observation' end, case when c_custkey is null then 'track' end, case when p_partkey is null then 'video' end,
+          case when not (has and ln <> 4) then 'method' end, case when not (has and p_partkey is not null and ln <> 5) then 'signature' end,
           case when not coalesce(has and ov = l_partkey, false) then 'same_video' end, case when not coalesce(has and tv = l_partkey, false) then 'track_video' end, case when not has then 'frames_ordered' end,
-          case when not coalesce(has and q >= 0 and (q + ln)::bigint < p_size, false) then 'frames_inside' end, case when not has then 'times_ordered' end,
+          case when not coalesce(has and q >= 0 and (q + ln)::bigint < p_size, false) then 'frames_inside' end, case when not coalesce(has and q / 25::double + d <= p_size / 25::double, false) then 'times_inside' end,
           case when not coalesce(has and p_partkey is not null and abs(q::bigint / 25.0::double - q / 25::double) <= 1 / 25.0::double + 1e-6::double, false) then 'start_agrees' end,
           case when not coalesce(has and p_partkey is not null and abs((q + ln)::bigint / 25.0::double - (q / 25::double + d)) <= 1 / 25.0::double + 1e-6::double, false) then 'end_agrees' end,
-          case when not coalesce(camera_id = pc, false) then 'camera' end], lambda x: x is not null) as e from c)
+          case when not (has and p_partkey is not null and ln <> 7) then 'start_clock' end, case when not (has and p_partkey is not null and ln <> 6) then 'end_clock' end,
+          case when not coalesce(camera_id = pc, false) then 'camera' end, case when not (has and coalesce(n, 0) > 0) then 'participants' end, case when not coalesce(has and n > 0 and bad = 0, false) then 'participants_agree' end], lambda x: x is not null) as e
+          from c left join ob on ob.v = l_partkey and ob.e = l_partkey % 150)
         select event_id, len(e) as n_errors, array_to_string(e, ',') as errors from f""",
     "signatures": """select l_orderkey, l_linenumber, sha256('{"frame_end": ' || l_orderkey || ', "frame_start": ' || l_linenumber || ', "method": "' || l_returnflag || '", "source_sha256": "' || sha256(l_linestatus) || '", "video": "' || l_partkey || '"}') as signature from lineitem""",
     "vector_top": f"""with {_UNIT}, s as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.vector, v.vector) as cosine from v q join v using (model) where q.vec_id % 100 = 0)

@@ -146,7 +146,7 @@ def ingest_rules() -> dict[str, Column]:
     c = F.col
     return {
         "extension": F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1)).isin("mp4", "mov", "avi", "mkv"), "start with offset": c("recording_start").rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"),
-        "frames": (c("fps") > 0) & (c("fps") < float("inf")) & (c("frame_count") > 0), "duration": c("frame_count") / c("fps") <= 7200, "size": c("width") * c("height") <= 3840 * 2160,
+        "frames": (c("fps") > 0) & (c("fps") < float("inf")) & (c("frame_count") > 0), "duration": F.try_divide("frame_count", "fps") <= 7200, "size": c("width") * c("height") <= 3840 * 2160,
         "camera": (F.length(F.trim("camera_id")) > 0) & (F.length("camera_id") <= 80), "location": F.length("location") <= 160,
     }
 
