@@ -22,8 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 400_000
+#: Pre-tokens whose ids, and pairs of tokens whose compatibility a task remembers: so many since the last
+#: time that the table was full, and as many from before, if they were asked for again (some 60 MB in
+#: all). A task forgets them at its end, as workers live on into other stages.
+REMEMBERED, PAIRS = 120_000, 100_000
+#: Bytes of token ids in a batch that is handed back.
+BATCH_BYTES = 2 << 20
 
 # Letters, numbers and white space below U+0100, for texts without other characters: the standard
 # library's matcher is faster, but has no classes for letters and numbers.
@@ -86,7 +90,11 @@ class Merges:
                     self.halves[n] = (left, right)
                     self.pair[left, right] = n
                     break
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}
+        self._older: dict[int, bool] = {}
+
+    def forget(self) -> None:
+        self._known, self._older = {}, {}
 
     def _survive(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves the border between tokens ``a`` and ``b`` alone.
@@ -107,11 +115,13 @@ class Merges:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self._known.get((a, b))
+        key = a << 32 | b
+        known = self._known.get(key)
         if known is None:
-            if len(self._known) > 2_000_000:
-                self._known.clear()
-            known = self._known[a, b] = self._survive(a, b)
+            if len(self._known) >= PAIRS:
+                self._known, self._older = {}, self._known
+            known = self._older.get(key)
+            self._known[key] = known = self._survive(a, b) if known is None else known
         return known
 
     def ids(self, piece: bytes) -> list[int]:
@@ -144,20 +154,29 @@ class Merges:
 
 
 class _Remembered(dict):
-    """Pre-token -> its ids as packed 32-bit integers."""
+    """Pre-token -> its ids as packed 32-bit integers. What is asked for again outlives one change of
+    tables, so frequent pre-tokens stay."""
 
     def __init__(self, merges: Merges):
         super().__init__()
-        self.merges = merges
+        self.merges, self.older = merges, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        packed = np.array(self.merges.ids(piece.encode()), dtype=np.int32).tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = np.array(self.merges.ids(piece.encode()), dtype=np.int32).tobytes()
         if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+        self.merges.forget()
+
 
 @lru_cache(maxsize=2)
 def _vocabulary(content: bytes, pattern: str):
@@ -168,22 +187,25 @@ def _vocabulary(content: bytes, pattern: str):
 def _encode(content: bytes, pattern: str, decode: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, packed, token = _vocabulary(content, pattern)
-        for batch in batches:
-            rows, texts = 0, batch.column("text")
-            while rows < len(texts):
-                ids, back, size, first = [], [], 0, rows
-                while rows < len(texts) and size < 8 << 20:
-                    ids.append(b"".join(map(packed.__getitem__, split(texts[rows].as_py() or ""))))
+        try:
+            for batch in batches:
+                rows, texts = 0, batch.column("text")
+                while rows < len(texts):
+                    ids, back, size, first = [], [], 0, rows
+                    while rows < len(texts) and size < BATCH_BYTES:
+                        ids.append(b"".join(map(packed.__getitem__, split(texts[rows].as_py() or ""))))
+                        if decode:
+                            back.append(b"".join(map(token.__getitem__, np.frombuffer(ids[-1], dtype=np.int32).tolist())))
+                        size += len(ids[-1])
+                        rows += 1
+                    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+                    columns = {"doc_id": batch.column("doc_id").slice(first, rows - first), "ids": lists}
                     if decode:
-                        back.append(b"".join(map(token.__getitem__, np.frombuffer(ids[-1], dtype=np.int32).tolist())))
-                    size += len(ids[-1])
-                    rows += 1
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
-                columns = {"doc_id": batch.column("doc_id").slice(first, rows - first), "ids": lists}
-                if decode:
-                    columns["decoded"] = pa.array(back, pa.binary())
-                yield pa.RecordBatch.from_pydict(columns)
+                        columns["decoded"] = pa.array(back, pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
+        finally:
+            packed.forget()
 
     return work
 
