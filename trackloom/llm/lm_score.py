@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import blocks, mix, runs, words_of
+from trackloom.llm.words import blocks, mix, runs, word_hashes
 
 #: Text in a chunk, and of the corpus for each part of the count tables.
 CHUNK_BYTES = PART_BYTES = 8 << 20
@@ -69,9 +69,9 @@ def _words(packed: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
         offsets = np.concatenate([[0], np.cumsum(lengths.as_py(), dtype=np.int64)]).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), data])
         for first, _, raw, at in blocks(column):
-            words = words_of(raw, at, lower=True)
-            docs.append(words.doc + len(ids) + first)
-            hashes.append(words.hashes())
+            of, found = word_hashes(raw, at, lower=True)
+            docs.append(of + len(ids) + first)
+            hashes.append(found)
         ids += row_ids.as_py()
     return ids, np.concatenate(docs), np.concatenate(hashes)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import blocks, mix, runs, words_of
+from trackloom.llm.words import blocks, mix, runs, word_hashes
 from trackloom.plans.components import components
 from trackloom.plans.durable import counted, durable
 from trackloom.plans.hot_keys import attach
@@ -40,15 +40,17 @@ CLASSES = 128
 FEW = 100_000
 #: Comparisons with one centre that share a task's group.
 PER_SALT = 200
+#: Members of a bucket in a slice; pairs of slices of a larger bucket are compared in tasks of their own.
+SLICE = 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document index, 64-bit shingle hash), distinct and sorted. Fewer than ``k`` words give one
     shingle of them all; no words, none."""
-    words = words_of(data, offsets, lower=True)
-    h, doc = words.hashes(), words.doc
-    at = runs(doc, words.n_docs)
+    doc, h = word_hashes(data, offsets, lower=True)
+    n_docs = len(offsets) - 1
+    at = runs(doc, n_docs)
     count = np.diff(at)
     whole = np.ones(len(h), dtype=bool)
     total = np.zeros(len(h), dtype=np.uint64)
@@ -68,7 +70,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
             one[has] = mix(one[has] * np.uint64(37) + h[at[few[has]] + i] + np.uint64(i + 101))
         total, sdoc = np.concatenate([total, one]), np.concatenate([sdoc, few])
     order = np.argsort(total)
-    small = np.uint16 if words.n_docs < 65536 else np.int64  # numpy sorts 16-bit keys by radix
+    small = np.uint16 if n_docs < 65536 else np.int64  # numpy sorts 16-bit keys by radix
     order = order[np.argsort(sdoc[order].astype(small), kind="stable")]
     total, sdoc = total[order], sdoc[order]
     new = np.ones(len(total), dtype=bool)
@@ -116,6 +118,16 @@ def super_minhash(doc: np.ndarray, element: np.ndarray, n_docs: int, m: int) ->
     return out
 
 
+def _signature(doc: np.ndarray, element: np.ndarray, n_docs: int, m: int) -> np.ndarray:
+    """``super_minhash``; the elements of one long text are taken in runs, whose minima are those of all."""
+    if n_docs > 1 or len(element) <= ELEMENTS:
+        return super_minhash(doc, element, n_docs, m)
+    out = np.full((1, m), np.inf)
+    for i in range(0, len(element), ELEMENTS):
+        np.minimum(out, super_minhash(doc[i : i + ELEMENTS], element[i : i + ELEMENTS], 1, m), out=out)
+    return out
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each document and band."""
     raw = signature[:, : bands * rows].copy().view(np.uint64).reshape(len(signature), bands, rows)
@@ -139,7 +151,7 @@ def _sign(k: int, bands: int, rows: int, id_type: pa.DataType):
                 while i < n:  # runs of documents with few enough elements, or one
                     j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + ELEMENTS, side="right")) - 1))
                     part = slice(at[i], at[j])
-                    keys[i:j] = band_keys(super_minhash(doc[part] - i, element[part], j - i, bands * rows), bands, rows)
+                    keys[i:j] = band_keys(_signature(doc[part] - i, element[part], j - i, bands * rows), bands, rows)
                     i = j
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -302,15 +314,19 @@ def _open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     told = sets.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = members.where("n > 2").join(told.select("set_id", "id", "label"), "set_id")
     mixed = labelled.groupBy("band", "key").agg(
-        F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.expr("if(set_id = centre_set, label, null)")).alias("main"))
-    mixed = mixed.where("a <> b").select("band", "key", "main")
+        F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.expr("if(set_id = centre_set, label, null)")).alias("main"), F.first("n").alias("n"))
+    mixed, _ = counted(mixed.where("a <> b").select("band", "key", "main", "n"))
     own = ["id", "set_id", "size", "label", "classes", "uncounted", "bands"]
-    found = labelled.where("set_id <> centre_set").join(mixed, ["band", "key"]).select("set_id", "id", "label", "band", "key", "main")
+    labelled, total = counted(labelled.where("set_id <> centre_set").select("set_id", "id", "label", "band", "key"))
+    found, _ = counted(attach(labelled, mixed, ["band", "key"], "n", max(total, 1)))
     found, _ = counted(found.join(sets.select("set_id", "size", "classes", "uncounted", "bands"), "set_id"))
-    left = found.where("label <> main").select("band", "key", "main", *[F.col(c).alias(f"{c}1") for c in own])
-    right = found.select("band", "key", *[F.col(c).alias(f"{c}2") for c in own])
+    # Slices of a bucket: each left slice meets each right one under a key of its own.
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    sliced = found.withColumn("slice", F.pmod(F.xxhash64("set_id"), slices).cast("int")).withColumn("every", F.sequence(F.lit(0), slices - 1))
+    left = sliced.where("label <> main").select("band", "key", "main", F.col("slice").alias("i"), F.explode("every").alias("j"), *[F.col(c).alias(f"{c}1") for c in own])
+    right = sliced.select("band", "key", F.explode("every").alias("i"), F.col("slice").alias("j"), *[F.col(c).alias(f"{c}2") for c in own])
     # Of two outside the centre's component each pair comes once.
-    near = left.join(right, ["band", "key"]).where(
+    near = left.join(right, ["band", "key", "i", "j"]).where(
         "label1 <> label2 and (label2 = main or set_id1 < set_id2)"
         " and not exists(arrays_zip(slice(bands1, 1, band), slice(bands2, 1, band)), x -> x['0'] = x['1'])"
         f" and {_possible(percent)}")

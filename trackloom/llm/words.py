@@ -125,3 +125,22 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
 def runs(doc: np.ndarray, n_docs: int) -> np.ndarray:
     """Offsets of each document's words in the word arrays."""
     return np.searchsorted(doc, np.arange(n_docs + 1))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, 64-bit hash) of each word. A text longer than a block is cut between words, so that
+    its arrays are those of its words, not several numbers for each byte."""
+    if len(offsets) > 2 or len(data) <= 2 * BLOCK_BYTES:
+        words = words_of(data, offsets, lower)
+        return words.doc, words.hashes()
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        while end < len(data) and not _SPACE[data[at:end]].any():  # one word longer than a block
+            end = min(len(data), end + BLOCK_BYTES)
+        if end < len(data):
+            end = at + int(np.flatnonzero(_SPACE[data[at:end]])[-1]) + 1
+        parts.append(words_of(data[at:end], np.array([0, end - at]), lower).hashes())
+        at = end
+    hashes = np.concatenate(parts)
+    return np.zeros(len(hashes), dtype=np.int64), hashes
