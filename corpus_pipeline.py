@@ -10,7 +10,6 @@ are judged each by its own text. Joins back to the documents are on ``row_key``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
+from trackloom.plans.durable import shared_folder
 
 #: Similarity of near duplicates in percent, and the words of a shingle.
 PERCENT, SHINGLE = 80, 5
@@ -93,8 +93,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    at, docs = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.parquet(f"{at}/{k}-{name}")

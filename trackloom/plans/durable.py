@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and read it from there.
+#: Temporary folders by application.
+_MADE: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's ``spark.checkpoint.dir`` names. Where that is unset a temporary one
+    is made if driver and executors are one process, as in tests; on a cluster it is an error, as other
+    executors would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _MADE.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="checkpoint-"))
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is made. Unlike a local checkpoint, the rows outlive a lost executor.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder once and read it from there. Unlike a local
+    checkpoint, the rows outlive a lost executor."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
