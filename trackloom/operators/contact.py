@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
+from trackloom.operators.intervals import sums_before
 
 KEYS = ["video_id", "person"]
 
@@ -38,14 +39,15 @@ def contact_runs(observations: DataFrame, threshold: float = 0.45, max_gap: floa
 def _around(runs: DataFrame, observations: DataFrame, threshold: float, near: float, keys: list[str]) -> DataFrame:
     """Adds to each run whether something was observed in the ``near`` seconds before it, whether the
     hand was free then, and whether it is free in the ``near`` seconds after."""
-    other = observations.select(*keys, F.col("t").alias("__t"), (F.col("probability") < threshold).alias("__free"))
-    before = F.col("start") - F.col("__t")
-    after = F.col("__t") - F.col("end")
-    is_before, is_after = (before > 0) & (before <= near), (after > 0) & (after <= near)
-    seen = runs.join(other, keys, "left").groupBy(*keys, "run").agg(
-        F.coalesce(F.bool_or(is_before), F.lit(False)).alias("seen_before"), F.coalesce(F.bool_or(is_before & F.col("__free")), F.lit(False)).alias("free_before"),
-        F.coalesce(F.bool_or(is_after & F.col("__free")), F.lit(False)).alias("free_after"))
-    return runs.join(seen, [*keys, "run"])
+    points = observations.select(*keys, "t", F.lit(1).alias("seen"), (F.col("probability") < threshold).cast("long").alias("free"))
+    edge = lambda name, t, late: F.struct(F.lit(name).alias("what"), t.alias("t"), F.lit(late).alias("late"))
+    edges = F.array(edge("b0", F.col("start") - near, False), edge("b1", F.col("start"), False), edge("a0", F.col("end"), True), edge("a1", F.col("end") + near, True))
+    marks = runs.select(*keys, "run", F.explode(edges).alias("m")).select(*keys, "run", "m.what", "m.t", "m.late")
+    sums = sums_before(points, marks, keys, ["seen", "free"])
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    told = sums.groupBy(*keys, "run").agg(
+        (of("b1", "seen") > of("b0", "seen")).alias("seen_before"), (of("b1", "free") > of("b0", "free")).alias("free_before"), (of("a1", "free") > of("a0", "free")).alias("free_after"))
+    return runs.join(told, [*keys, "run"])
 
 
 def manipulations(observations: DataFrame, threshold: float = 0.45, max_gap: float = 0.6, persist: float = 0.5, near: float = 1.5, sure: float = 1.0, keys: list[str] = KEYS) -> DataFrame:

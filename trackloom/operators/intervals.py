@@ -76,18 +76,40 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
 
 
 def global_nearest(left: DataFrame, right: DataFrame, keys: list[str], t1: str = "t1", t2: str = "t2") -> DataFrame:
-    """The single nearest pair of each key over all samples; the earlier pair wins a tie."""
-    both = left.join(right, keys)
-    return both.withColumn("gap", F.abs(F.col(t1) - F.col(t2))).groupBy(*keys).agg(F.min(F.struct("gap", t1, t2)).alias("m")).select(*keys, "m.*")
+    """The single nearest pair of each key over all samples; the earlier pair wins a tie. Both sides
+    are sorted together: a left sample's nearest is the last right one before it or the next."""
+    rows = left.select(*keys, F.col(t1).alias("__t"), F.col(t1).alias("__l"), F.lit(None).cast("double").alias("__r")).unionByName(
+        right.select(*keys, F.col(t2).alias("__t"), F.lit(None).cast("double").alias("__l"), F.col(t2).alias("__r")))
+    w = W.partitionBy(*keys).orderBy("__t", F.col("__r").isNull())
+    sides = F.array(F.max("__r").over(w.rowsBetween(W.unboundedPreceding, 0)), F.min("__r").over(w.rowsBetween(0, W.unboundedFollowing)))
+    near = rows.withColumn("__near", F.array_compact(sides)).where("__l is not null").select(*keys, F.col("__l").alias(t1), F.explode("__near").alias(t2))
+    return near.withColumn("gap", F.abs(F.col(t1) - F.col(t2))).groupBy(*keys).agg(F.min(F.struct("gap", t1, t2)).alias("m")).select(*keys, "m.*")
+
+
+def sums_before(points: DataFrame, marks: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
+    """``marks(keys, ..., t, late)`` with the sum of each weight over the points before ``t`` (up to it, if
+    ``late``): ``points(keys, t, weights)``. Points and marks of a key are sorted together, so no point
+    meets a mark."""
+    names = [c for c in marks.columns if c not in (*keys, "t")]
+    told = F.struct(*names)
+    rows = marks.select(*keys, "t", F.when(F.col("late"), 2).otherwise(0).alias("__side"), told.alias("__mark"), *[F.lit(0).cast("long").alias(c) for c in weights])
+    rows = rows.unionByName(points.select(*keys, "t", F.lit(1).alias("__side"), F.lit(None).cast(rows.schema["__mark"].dataType).alias("__mark"), *[F.col(c).cast("long") for c in weights]))
+    w = W.partitionBy(*keys).orderBy("t", "__side").rowsBetween(W.unboundedPreceding, 0)
+    return rows.select(*keys, "t", "__mark", *[F.sum(c).over(w).alias(c) for c in weights]).where("__mark is not null").select(*keys, "t", "__mark.*", *weights)
 
 
 def before_after(points: DataFrame, events: DataFrame, keys: list[str], further: float) -> DataFrame:
     """For each event ``(keys, id, start, end)``: the last point ``t`` before its start, the first after its end,
-    and how many lie in ``(end, end + further]``."""
-    both = events.join(points.select(*keys, "t"), keys, "left")
-    return both.groupBy(*keys, "id", "start", "end").agg(
-        F.max(F.when(F.col("t") < F.col("start"), F.col("t"))).alias("last_before"), F.min(F.when(F.col("t") > F.col("end"), F.col("t"))).alias("first_after"),
-        F.count_if((F.col("t") > F.col("end")) & (F.col("t") <= F.col("end") + further)).alias("n_after"))
+    and how many lie in ``(end, end + further]``. One sort of each key's points and events."""
+    at = F.array(*[F.struct(F.lit(name).alias("what"), t.alias("t"), F.lit(side).alias("side")) for name, t, side in (("start", F.col("start"), 0), ("end", F.col("end"), 2), ("far", F.col("end") + further, 2))])
+    marks = events.select(*keys, F.struct("id", "start", "end").alias("__event"), F.explode(at).alias("m")).select(*keys, "__event", "m.what", "m.t", F.col("m.side").alias("__side"), F.lit(None).cast("double").alias("__p"))
+    rows = marks.unionByName(points.select(*keys, F.lit(None).cast(marks.schema["__event"].dataType).alias("__event"), F.lit(None).cast("string").alias("what"), "t", F.lit(1).alias("__side"), F.col("t").cast("double").alias("__p")))
+    w = W.partitionBy(*keys).orderBy("t", "__side")
+    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    rows = rows.withColumn("__last", F.max("__p").over(back)).withColumn("__n", F.count("__p").over(back)).withColumn("__next", F.min("__p").over(ahead)).where("__event is not null")
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    out = rows.groupBy(*keys, "__event").agg(of("start", "__last").alias("last_before"), of("end", "__next").alias("first_after"), (of("far", "__n") - of("end", "__n")).alias("n_after"))
+    return out.select(*keys, "__event.*", "last_before", "first_after", "n_after")
 
 
 def merged(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -99,12 +121,23 @@ def merged(intervals: DataFrame, keys: list[str], start: str = "start", end: str
     return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def covers(recorded: DataFrame, asked: DataFrame, group: list[str]) -> DataFrame:
+def covers(recorded: DataFrame, asked: DataFrame, group: list[str], width: float = 30.0) -> DataFrame:
     """For each ``asked(id, after, before)``: whether one group's united intervals cover it. Nothing
-    covers a reversed interval; an empty one is covered as soon as any recording exists."""
+    covers a reversed interval; an empty one is covered as soon as any recording exists.
+
+    A range is covered if of the united intervals that start up to ``after`` the farthest end reaches
+    ``before``. That running maximum is taken inside buckets of ``width`` and over the buckets' maxima.
+    """
     united = merged(recorded, group)
-    inside = (F.col("start") <= F.col("after")) & (F.col("end") >= F.col("before"))
-    hit = asked.where("before > after").join(united, inside, "left_semi").select("id").withColumn("__hit", F.lit(True))
+    bucket = F.floor(F.col("t") / width)
+    rows = united.select(F.col("start").alias("t"), F.lit(0).alias("__side"), F.col("end").alias("__end"), F.lit(None).cast(asked.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("before")).unionByName(
+        asked.where("before > after").select(F.col("after").cast("double").alias("t"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__end"), "id", F.col("before").cast("double").alias("before")))
+    rows = rows.withColumn("__b", bucket)
+    tops = rows.groupBy("__b").agg(F.max("__end").alias("__top"))  # as many rows as there are buckets of time
+    earlier = tops.select("__b", F.max("__top").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    inside = F.max("__end").over(W.partitionBy("__b").orderBy("t", "__side").rowsBetween(W.unboundedPreceding, 0))
+    reach = rows.withColumn("__in", inside).where("__side = 1").join(earlier, "__b").withColumn("__reach", F.greatest("__in", "__before"))
+    hit = reach.select("id", F.coalesce(F.col("__reach") >= F.col("before"), F.lit(False)).alias("__hit"))
     some = recorded.limit(1).select(F.lit(True).alias("__any"))
     out = asked.join(hit, "id", "left").join(some, F.lit(True), "left")
     return out.select("id", F.when(F.col("before") == F.col("after"), F.coalesce("__any", F.lit(False))).otherwise(F.coalesce("__hit", F.lit(False))).alias("covered"))

@@ -9,15 +9,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
+from trackloom.operators.intervals import interval_join
 from trackloom.plans.components import components
 
 
-def eligible(predictions: DataFrame, labels: DataFrame, keys: list[str], least_iou: float = 0.1, tolerance: float = 2.0) -> DataFrame:
-    """Pairs that may match: equal ``keys`` (camera, video, type), and temporal IoU of ``least_iou`` or
-    both endpoints within ``tolerance`` seconds. ``predictions(prediction, start, end)``,
-    ``labels(label, start, end)``; adds ``tiou``, ``start_error``, ``end_error``, ``weight``."""
-    p = predictions.select(*keys, "prediction", F.col("start").alias("a"), F.col("end").alias("b"))
-    pairs = p.join(labels.select(*keys, "label", F.col("start").alias("c"), F.col("end").alias("d")), keys)
+def eligible(predictions: DataFrame, labels: DataFrame, keys: list[str], least_iou: float = 0.1, tolerance: float = 2.0, width: float = 60.0) -> DataFrame:
+    """Pairs that may match: equal ``keys`` (camera, video, type), and temporal IoU of ``least_iou`` (more
+    than 0) or both endpoints within ``tolerance`` seconds. ``predictions(prediction, start, end)``,
+    ``labels(label, start, end)``; adds ``tiou``, ``start_error``, ``end_error``, ``weight``. Such pairs
+    overlap or are ``tolerance`` apart, so they meet in time buckets of ``width``; reversed intervals
+    match nothing."""
+    if least_iou <= 0:
+        raise ValueError("least_iou is more than 0: else every pair of a key may match")
+    p = predictions.select(*keys, "prediction", F.col("start").alias("start1"), F.col("end").alias("end1"))
+    pairs = interval_join(p, labels.select(*keys, "label", F.col("start").alias("start2"), F.col("end").alias("end2")), "near", tolerance, width, keys)
+    pairs = pairs.withColumnsRenamed({"start1": "a", "end1": "b", "start2": "c", "end2": "d"})
     a, b, c, d = (F.col(x) for x in "abcd")
     one, two = G.endpoint_errors(a, b, c, d)
     pairs = pairs.withColumn("tiou", G.temporal_iou(a, b, c, d)).withColumn("start_error", one).withColumn("end_error", two)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.intervals import sums_before
+
 
 def report_lines(events: DataFrame, category: str = "category", start: str = "start", line: Column | None = None) -> DataFrame:
     """An investigation's findings by category, in order of start, as one text a category. An
@@ -23,16 +25,26 @@ def track_totals(tracks: DataFrame, key: str = "video_id") -> DataFrame:
         F.percentile("duration", 0.5).alias("median_duration"), F.sum("gaps").alias("gaps"))
 
 
+def _held(rows: DataFrame, spans: DataFrame, key: str, low: str, high: str, late: bool) -> DataFrame:
+    """``rows`` with how many spans begin before their ``high`` less those that are over by their ``low``:
+    the spans that they meet."""
+    numbered = rows.withColumn("__row", F.struct(*rows.columns))
+    edges = F.array(F.struct(F.lit("high").alias("what"), F.col(high).alias("t")), F.struct(F.lit("low").alias("what"), F.col(low).alias("t")))
+    marks = numbered.select(key, "__row", F.explode(edges).alias("m")).select(key, "__row", "m.what", "m.t", ((F.col("m.what") == "high") == F.lit(late)).alias("late"))
+    points = spans.select(key, F.col("start").alias("t"), F.lit(1).alias("begun"), F.lit(0).alias("over")).unionByName(spans.select(key, F.col("end").alias("t"), F.lit(0).alias("begun"), F.lit(1).alias("over")))
+    sums = sums_before(points, marks, [key], ["begun", "over"]).groupBy(key, "__row").agg(
+        (F.max(F.when(F.col("what") == "high", F.col("begun"))) - F.max(F.when(F.col("what") == "low", F.col("over")))).alias("__met"))
+    return sums.select("__row.*", "__met")
+
+
 def outside_windows(windows: DataFrame, labels: DataFrame, key: str = "video_id") -> DataFrame:
-    """Control windows that overlap no label (touching is allowed)."""
-    other = labels.select(key, F.col("start").alias("__s"), F.col("end").alias("__e"))
-    return windows.join(other, (windows[key] == other[key]) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), "left_anti")
+    """Control windows that overlap no label (touching is allowed); equal windows come once."""
+    return _held(windows, labels, key, "start", "end", False).where("__met = 0").drop("__met")
 
 
 def inside_windows(candidates: DataFrame, windows: DataFrame, key: str = "video_id") -> DataFrame:
-    """Candidates that start inside one of the windows."""
-    other = windows.select(key, F.col("start").alias("__s"), F.col("end").alias("__e"))
-    return candidates.join(other, (candidates[key] == other[key]) & (F.col("start") >= F.col("__s")) & (F.col("start") <= F.col("__e")), "left_semi")
+    """Candidates that start inside one of the windows, both ends included; equal ones come once."""
+    return _held(candidates, windows, key, "start", "start", True).where("__met > 0").drop("__met")
 
 
 def merge_correctness(merges: DataFrame, actors: DataFrame) -> DataFrame:
