@@ -12,7 +12,7 @@ from trackloom.operators import matching as M
 from trackloom.operators import motion
 from trackloom.operators.search import top
 from trackloom.queries.tracks import _SEG, GAP
-from trackloom.sources.tables import ORDER_INTERVALS, order_intervals, samples, table
+from trackloom.sources.tables import ORDER_INTERVALS, SAMPLES, order_intervals, samples, table
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +155,22 @@ _RUN = """o as (select user_id % 8 as video_id, user_id as person, event_id as i
     manip as (select video_id, person, 'pickup' as kind, start, "end", n, least(1.0, 0.7::double * mp + 0.3::double * st) as confidence from a where (fb or not sb) and (st >= 0.5 and ms < 800 or "end" - start >= 6)
         union all select video_id, person, 'placement', start, "end", n, 0.8::double * mp from a where fa)"""
 
+_SCORE = """case when rej then 0 else round(0.35::double * exp(-least(far, ma, mb)) + 0.25::double * 3 / 3 + 0.20::double * greatest(0, 1 - gap / 30 * 0.5) + 0.10::double * case when va > 2 and vb > 2 then greatest(0, (cosine + 1) / 2) else 1 end
+          + 0.10::double * case when ka = kb then 1.0 else 0.75 end, 4) end"""
 ORACLES = {
+    "greedy_labels": """with l as (select l_orderkey, list([{'rank': round(-l_extendedprice * 100)::bigint, 'hit': l_partkey * 10 + l_linenumber, 'c': [l_suppkey % 5, l_suppkey % 3, l_suppkey % 2], 'label': null::bigint}] order by round(-l_extendedprice * 100)::bigint, l_partkey * 10 + l_linenumber, l_suppkey % 5, l_suppkey % 3, l_suppkey % 2) as h from lineitem group by 1),
+        f as (select l_orderkey, list_reduce(list_prepend([{'rank': -1::bigint, 'hit': -1::bigint, 'c': []::bigint[], 'label': null::bigint}], h), lambda a, x: list_concat(a, [{'rank': x[1].rank, 'hit': x[1].hit, 'c': x[1].c, 'label': list_filter(x[1].c, lambda v: not coalesce(list_contains(list_transform(a, lambda k: k.label), v), false))[1]}])) as o from l)
+        select l_orderkey, u.hit as hit, u.label as label from (select l_orderkey, unnest(o[2:]) as u from f)""",
+    "suppressed_boxes": f"""with {SAMPLES}, b as (select object_type, floor(t)::bigint as frame, list([{{'id': track, 'c': x1 / 500, 'y1': y1, 'y2': y2}}] order by x1 desc, track, y1) as l from samples group by 1, 2),
+        k as (select object_type, frame, list_reduce(l, lambda a, x: case when list_bool_or(list_transform(a, lambda o: 20 * greatest(0, least(o.y2, x[1].y2) - greatest(o.y1, x[1].y1)) / greatest(1, 20 * (o.y2 - o.y1) + 20 * (x[1].y2 - x[1].y1) - 20 * greatest(0, least(o.y2, x[1].y2) - greatest(o.y1, x[1].y1))) >= 0.6)) then a else list_concat(a, x) end) as kept from b)
+        select object_type, frame, u.id as id, round(u.c, 6) as confidence from (select object_type, frame, unnest(kept) as u from k)""",
+    "merged_tracks": f"""with recursive {_ENDS}, sc as (select *, {_SCORE} as score from (select *, far / greatest(0.01, gap) > 2.5 or (va > 4 and vb > 4 and cosine < -0.3) as rej from r)),
+        rk as (select *, row_number() over wa as ra, score - coalesce(lead(score) over wa, -1) as na, row_number() over wb as rb, score - coalesce(lead(score) over wb, -1) as nb from sc where not rej and score >= 0.5
+            window wa as (partition by video_id, a order by score desc, b), wb as (partition by video_id, b order by score desc, a)),
+        ok as (select k.*, x.e.t as t0, y.f.t as t1 from rk k join ends x on x.track = a and x.video_id = k.video_id join ends y on y.track = b and y.video_id = k.video_id where ra = 1 and rb = 1 and na >= 0.01 and nb >= 0.01),
+        mg as (select a, b from ok where not exists (select 1 from valid s where s.video_id = ok.video_id and s.key <> a and s.key <> b and s.t > t0 and s.t < t1 and sqrt(pow((s.x1 + s.x2) / 2 - (ax + bx) / 2, 2) + pow((s.y1 + s.y2) / 2 - (ay + by_) / 2, 2)) <= greatest(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) / 2, 1))),
+        both_ as (select a as x, b as y from mg union all select b, a from mg), reach(x, y) as (select distinct key, key from valid union select r.x, m.y from reach r join both_ m on m.x = r.y)
+        select x as track, min(y) as chain from reach group by 1""",
     "eligible_pairs": f"""with {_P} select p.o_custkey, p.o_orderstatus, p.o_orderkey as prediction, l.o_orderkey as label, round({_TIOU}, 4) as tiou, round(abs(p.start - l.start), 6) as start_error, round(abs(p."end" - l."end"), 6) as end_error
         from p join l on p.o_custkey = l.o_custkey and p.o_orderstatus = l.o_orderstatus where {_TIOU} >= 0.1 or (abs(p.start - l.start) <= 2 and abs(p."end" - l."end") <= 2)""",
     "match_metrics": f"""with {_P}, mt as (select p.o_orderstatus, p.o_custkey % 2 as half, {_TIOU} as tiou, abs(p.start - l.start) as se, abs(p."end" - l."end") as ee from p join l on p.o_orderkey + 1 = l.o_orderkey and p.o_orderstatus = l.o_orderstatus),
@@ -175,8 +190,7 @@ ORACLES = {
         select s.mode as mode, t.threshold, kind, count(*) filter (s.v >= threshold) as selected, count(*) filter (s.v >= threshold and matched) as "true", round(avg(tiou) filter (s.v >= threshold and matched), 6) as tiou,
           round(count(*) filter (s.v >= threshold and matched) / nullif(count(*) filter (s.v >= threshold), 0), 6) as precision, round(count(*) filter (s.v >= threshold and matched) / nullif(count(*) filter (matched), 0), 6) as recall
         from c, (select unnest([0.35, 0.4, 0.45, 0.5, 0.55, 0.6])::double as threshold) t group by 1, 2, 3""",
-    "gap_candidates": f"""with {_ENDS} select video_id, a, b, round(gap, 6) as gap, rej as rejected, case when rej then 0 else round(0.35::double * exp(-least(far, ma, mb)) + 0.25::double * 3 / 3 + 0.20::double * greatest(0, 1 - gap / 30 * 0.5) + 0.10::double * case when va > 2 and vb > 2 then greatest(0, (cosine + 1) / 2) else 1 end
-          + 0.10::double * case when ka = kb then 1.0 else 0.75 end, 4) end as score from (select *, far / greatest(0.01, gap) > 2.5 or (va > 4 and vb > 4 and cosine < -0.3) as rej from r)""",
+    "gap_candidates": f"""with {_ENDS} select video_id, a, b, round(gap, 6) as gap, rej as rejected, {_SCORE} as score from (select *, far / greatest(0.01, gap) > 2.5 or (va > 4 and vb > 4 and cosine < -0.3) as rej from r)""",
     "manipulations": f"""with {_RUN} select video_id, person, kind, round(start, 6) as start, round("end", 6) as "end", n, round(confidence, 4) as confidence from manip""",
     "manipulations_apart": f"""with {_RUN} select kind, count(*) as n, round(sum(confidence), 4) as confidence from manip group by 1""",
 }
