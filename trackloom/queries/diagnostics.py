@@ -10,7 +10,7 @@ from trackloom.functions import hands as H
 from trackloom.operators import diagnostics as D
 from trackloom.operators import linking as L
 from trackloom.operators import motion as M
-from trackloom.queries.tracks import _SEG, GAP
+from trackloom.queries.tracks import _TRACE, GAP
 from trackloom.sources.tables import SAMPLES, samples, table
 
 _B = ["x1", "y1", "x2", "y2"]
@@ -46,7 +46,7 @@ def _keypoints() -> F.Column:
 
 def hand_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "events").select(
-        "event_id", (F.col("value") / 2).alias("y1"), (F.col("value") / 2 + 40).alias("y2"), H.joints(_keypoints(), F.lit(5.0), F.lit(2.0)).alias("joints"),
+        "event_id", (F.col("value") / 2).alias("y1"), (F.col("value") / 2 + 40).alias("y2"), H.joints(_keypoints(), F.lit(5.0), F.lit(2.013)).alias("joints"),
         F.struct((F.col("value") % 50).alias("left"), F.when(F.col("event_id") % 3 > 0, F.col("value") % 30).alias("right")).alias("contrast"))
     found = H.hand_states(people)
     return found.select("event_id", "side", "level", *[F.round(c, 6).alias(c) for c in ("rel_y", "reach", "patch", "probability")], F.array_join(F.col("region").cast("array<string>"), " ").alias("region"))
@@ -193,7 +193,7 @@ def track_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = M.state_trace(M.valid_tracks(samples(spark, sf_dir), GAP), 24.0, unit=0.05)
+    trace = M.state_trace(M.valid_tracks(samples(spark, sf_dir), GAP), unknown_gap=20.0, change=0.02)
     labels = trace.groupBy("video_id", "key").agg((F.min("t") + 20).alias("start"), (F.min("t") + 120).alias("end"))
     out = M.trace_metrics(trace, labels, ["video_id", "key"])
     return out.select("video_id", "key", "samples", "inside", *[F.round(c, 6).alias(c) for c in ("median_speed", "max_speed", "speed_before", "first_half", "second_half", "max_acceleration", "min_acceleration", "still_before", "longest_gap")])
@@ -217,8 +217,8 @@ def _around(w: str, h: str, low: str = "0") -> str:
 _W, _HT = "(x2 - x1)", "(y2 - y1)"
 _HANDS = """k as (select event_id, value as v, side, 11 - side as s0, value % 50 as dl, case when event_id % 3 > 0 then value % 30 end as dr from events, (select unnest([1, 2]) as side)),
     j as (select *, 8 + side as w, 6 + side as e, 4 + side as s, 10 + side as h from k),
-    xy as (select *, v + w * 3 + 5 as wx, v / 2 + (w * 7 + event_id) % 40 + 2 as wy, (event_id + w) % 10 / 10.0::double as wc, v + e * 3 + 5 as ex, v / 2 + (e * 7 + event_id) % 40 + 2 as ey, (event_id + e) % 10 / 10.0::double as ec,
-        v + s * 3 + 5 as sx, v / 2 + (s * 7 + event_id) % 40 + 2 as sy, (event_id + s) % 10 / 10.0::double as sc, v + h * 3 + 5 as hx, v / 2 + (h * 7 + event_id) % 40 + 2 as hy, (event_id + h) % 10 / 10.0::double as hc from j),
+    xy as (select *, v + w * 3 + 5 as wx, v / 2 + (w * 7 + event_id) % 40 + 2.013::double as wy, (event_id + w) % 10 / 10.0::double as wc, v + e * 3 + 5 as ex, v / 2 + (e * 7 + event_id) % 40 + 2.013::double as ey, (event_id + e) % 10 / 10.0::double as ec,
+        v + s * 3 + 5 as sx, v / 2 + (s * 7 + event_id) % 40 + 2.013::double as sy, (event_id + s) % 10 / 10.0::double as sc, v + h * 3 + 5 as hx, v / 2 + (h * 7 + event_id) % 40 + 2.013::double as hy, (event_id + h) % 10 / 10.0::double as hc from j),
     r as (select *, sqrt(pow(wx - sx, 2) + pow(wy - sy, 2)) as ws, sqrt(pow(wx - hx, 2) + pow(wy - hy, 2)) as wh, sqrt(pow(sx - ex, 2) + pow(sy - ey, 2)) + sqrt(pow(ex - wx, 2) + pow(ey - wy, 2)) as bones from xy where wc >= 0.3),
     a as (select *, case when hc >= 0.2 then least(1, greatest(0, (wh / 40 - 0.10::double) / 0.35::double)) when sc >= 0.2 and ws / 40 > 0.25 then least(1, ws / 40 / 0.5::double) else 0 end as r0 from r),
     c as (select *, case when ec >= 0.2 and sc >= 0.2 and bones > 1e-3 then least(1, r0 + 0.3::double * (1 - ws / bones)) else r0 end as reach, (wy - v / 2) / 40 as rel, case when case when side = 1 then dl else dr end is null then 0.5::double else least(1, case when side = 1 then dl else dr end / 40) end as patch from a),
@@ -258,6 +258,10 @@ _ACT = f"""{_FRAMED}, sp as (select video_id, track, min(frame) as a, max(frame)
     cov as (select label, count(*) as fragments, max(inside) as longest, list_sort(list(track)) as tracks from tr group by 1), fs as (select label, count(distinct frame) as frames from hit where inside group by 1)"""
 
 ORACLES = {
+    "trace_metrics": f"""with {_TRACE}, lb as (select video_id, key, min(t) + 20 as a, min(t) + 120 as b from trace group by 1, 2), j as (select trace.*, a, b, (a + b) / 2 as m, lead(t) over (partition by video_id, key order by t) - t as gap from trace join lb using (video_id, key))
+        select video_id, key, count(*) as samples, count(*) filter (t between a and b) as inside, round(median(smooth), 6) as median_speed, round(max(smooth), 6) as max_speed, round(median(smooth) filter (t >= a - 2 and t < a), 6) as speed_before,
+          round(median(smooth) filter (t >= a and t <= m), 6) as first_half, round(median(smooth) filter (t > m and t <= b), 6) as second_half, round(max(acceleration), 6) as max_acceleration, round(min(acceleration), 6) as min_acceleration,
+          round(coalesce(sum(greatest(0, least(t + dt, a) - greatest(t, a - 4))) filter (state = 'STATIONARY'), 0), 6) as still_before, round(coalesce(max(gap), 0), 6) as longest_gap from j group by video_id, key, a, b""",
     "search_regions": f"""with {SAMPLES} select video_id, track, round(t, 6) as t, {_around(f"({_W} * 1.5::double)", f"({_HT} * 1.125::double)", "0.25::double")} as lower, {_around(f"({_W} * 1.68::double)", f"({_HT} * 1.08::double)")} as interaction,
         {_around(f"({_W} * 2.7::double)", f"({_HT} * 2.1::double)", "0.1::double")} as scene, {_around(f"({_W} * 1.25::double)", f"({_HT} * 1.25::double)")} as expanded,
         {_around(f"(2 * greatest(32.0::double, {_W}))", f"(2 * greatest(32.0::double, 0.8::double * {_HT}))")} as crop from samples""",
