@@ -62,15 +62,14 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3,
     Returns ``doc_id, size, source_size, target, taken, copies``: ``taken`` counts repeats,
     ``copies`` is the number of (started) repeats. The document at the end of the budget is taken
     in part. Null texts have size 0 and are never taken; null sources are a source of their own.
-    Rows that repeat doc_id and text have the same key and follow one another; null doc_ids take
-    part like others. ``row`` names a column that tells rows apart and is returned too, so copies
+    Rows that repeat doc_id and text have the same key and follow one another; rows without a doc_id
+    draw by their text. Without rows the result is empty. The list of sources is sorted in one task. ``row`` names a column that tells rows apart and is returned too, so copies
     can be given to rows whose doc_id is null or repeated. Other columns are not read.
     """
     told = [row] if row else []
-    draw = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("mix")), 256), 1, 12), 16, 10)
+    draw = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))), F.lit("mix")), 256), 1, 12), 16, 10)
     uniform = (draw.cast("double") + 0.5) / float(16**12)
-    rows = docs.select(*told, "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"))
-    rows = rows.withColumn("rank_key", -F.log(uniform) / F.col("quality")).drop("quality")
+    rows = docs.select(*told, "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (-F.log(uniform) / quality_weight(F.col("text"))).alias("rank_key"))
     rows = durable(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.max("rank_key").alias("most"))
     sized = targets(sizes.select("source", "source_size"), list(weights), max_repeats)

@@ -102,7 +102,7 @@ ORACLES: dict[str, str] = {
         with docs as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
                    coalesce(case when length(text) > 0 then 0.1::double + 0.9::double * length(translate(text, '0123456789#*$%&|<>{}[]=_\/@', '')) / length(text) end, 0.1::double) as q,
-                   (('0x' || substr(sha256(coalesce(doc_id::varchar, 'null') || chr(31) || 'mix'), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double as u
+                   (('0x' || substr(sha256(coalesce(doc_id::varchar, 'null:' || sha256(coalesce(text, ''))) || chr(31) || 'mix'), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double as u
             from documents),
         keyed as (select *, -ln(u) / q as k from docs),
         s as (select source, sum(size)::bigint as source_size, list_value(5.0, 2.0, 1.0)[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w
