@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +64,30 @@ def ascii_words(pattern: str) -> str:
     return out
 
 
+def stems(pattern: str) -> list[str]:
+    """Literals of which a text holds one wherever it matches ``pattern``: how its alternatives begin.
+    Empty where one doesn't begin with three plain letters."""
+    found, depth, start = [], 0, 0
+    for i, c in enumerate(pattern + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            plain = re.match(r"(?:\\b)?([a-z ]*)([?*]?)", pattern[start:i])
+            literal = plain[1][:-1] if plain[2] else plain[1]
+            if len(literal) < 3:
+                return []
+            found.append(literal)
+            start = i + 1
+    return found
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
 def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(ascii_words(pattern))
+    """A plain search for the pattern's stems comes first: most long texts hold none."""
+    found, begin = text.rlike(ascii_words(pattern)), stems(pattern)
+    return F.when(holds_any(text, begin), found).otherwise(F.lit(False)) if begin else found
 
 
 def first_match(text: Column, patterns) -> Column:
@@ -77,6 +103,16 @@ def normalise(text: Column) -> Column:
     return out
 
 
+def normalised(df: DataFrame, text: str, into: str) -> DataFrame:
+    """``df`` with ``normalise`` of a lower-cased column. Each synonym is a step of its own that leaves
+    texts without its words alone."""
+    out = df.withColumn(into, F.col(text))
+    for pattern, word in SYNONYMS:
+        step = F.regexp_replace(F.col(into), ascii_words(pattern), word)
+        out = out.withColumn(into, F.when(holds_any(F.col(into), begin), step).otherwise(F.col(into)) if (begin := stems(pattern)) else step)
+    return out
+
+
 def with_event_names(normal: Column) -> Column:
     """A normalised text with the names of all events that it mentions appended, in the list's order.
     No name makes another event's pattern match, so all are tried on the text alone; give it as a
@@ -111,7 +147,7 @@ def _clock_after(q: Column, word: str) -> Column:
 def tagged(df: DataFrame, text: str = "text", into: str = "tags") -> DataFrame:
     """``df`` with a struct column of its texts' ``tags``. The lower-cased and the normalised text are
     columns of their own on the way, so long texts are rewritten once, not once for each pattern."""
-    ready = df.withColumn("__q", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("__normal", normalise(F.col("__q")))
+    ready = normalised(df.withColumn("__q", F.lower(F.coalesce(F.col(text), F.lit("")))), "__q", "__normal")
     return ready.withColumn(into, F.struct(*[c.alias(k) for k, c in tags(F.col("__q"), F.col("__normal")).items()])).drop("__q", "__normal")
 
 
