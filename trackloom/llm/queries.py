@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, exact_dedup, lm_score, minhash, mixing, pii, quality, sharding, token_counts, toxicity
+from trackloom.llm import bpe, exact_dedup, lm_score, minhash, mixing, negatives, pii, quality, sharding, token_counts, toxicity
 
 #: Where the rank file of the byte-level vocabulary lies, and the pattern that splits texts for it.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -63,6 +63,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, every=100, positives=5, negatives=5, low=0.8, high=1.0)
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
@@ -74,6 +80,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -120,4 +127,14 @@ ORACLES: dict[str, str] = {
         p as (select *, greatest(0, least(size, budget - start))::bigint as part from r)
         select doc_id, size, source_size, target, (epochs * size + part)::bigint as taken, epochs + (part > 0)::bigint as copies from p
     """,
+    "op12_hard_negatives": r"""
+        with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+                   from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as a, r.vec_id as i, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as s
+              from r a join r on a.vec_id <> r.vec_id and len(a.v) = len(r.v) where a.vec_id % 100 = 0),
+        p as (select a, i, s from (select *, row_number() over (partition by a order by s desc, i) as k from s where same) where k <= 5),
+        n as (select p.a as anchor_id, p.i as positive_id, row_number() over (partition by p.a, p.i order by s.s desc, s.i)::int as rank, s.i as negative_id, p.s as positive_score, s.s as negative_score
+              from p join s on p.a = s.a and not s.same and 80 * p.s <= 100 * s.s and 100 * s.s <= 100 * p.s)
+        select * from n where rank <= 5
+    """,
 }
