@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, exact_dedup, lm_score, minhash, mixing, negatives, packing, pii, quality, sharding, token_counts, toxicity
+from trackloom.llm import bpe, collocations, exact_dedup, lm_score, minhash, mixing, negatives, packing, pii, quality, sharding, token_counts, toxicity
 
 #: Where the rank file of the byte-level vocabulary lies, and the pattern that splits texts for it.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -74,6 +74,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(moved, every=100, positives=5, negatives=5, low=0.8, high=1.0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir), least=100, longest=5, top=2000)
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
@@ -87,6 +91,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op11_packing": op11_packing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -143,4 +148,26 @@ ORACLES: dict[str, str] = {
               from p join s on p.a = s.a and not s.same and 80 * p.s <= 100 * s.s and 100 * s.s <= 100 * p.s)
         select * from n where rank <= 5
     """,
+    "op13_collocations": r"""
+        with d as (select row_number() over () as d, coalesce(lang, 'und') as lang,
+                          string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps from documents),
+        p as (select d, lang, generate_subscripts(ps, 1) as p, unnest(ps) as piece from d),
+        q as (select d, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+        w as (select d, lang, p, generate_subscripts(ws, 1) as i, unnest(ws) as w1 from q),
+        g as (select lang, w1, lead(w1) over o as w2, lead(w1, 2) over o as w3, lead(w1, 3) over o as w4, lead(w1, 4) over o as w5 from w window o as (partition by d, p order by i)),
+        n as (select lang, count(*) as n from w group by lang),
+        f as (select lang, 1 as k, [w1] as ws, count(*) as c from g group by lang, w1 having count(*) >= 100
+              union all select lang, 2, [w1, w2], count(*) from g where w2 is not null group by lang, w1, w2 having count(*) >= 100
+              union all select lang, 3, [w1, w2, w3], count(*) from g where w3 is not null group by lang, w1, w2, w3 having count(*) >= 100
+              union all select lang, 4, [w1, w2, w3, w4], count(*) from g where w4 is not null group by lang, w1, w2, w3, w4 having count(*) >= 100
+              union all select lang, 5, [w1, w2, w3, w4, w5], count(*) from g where w5 is not null group by lang, w1, w2, w3, w4, w5 having count(*) >= 100),
+        inside as (select distinct lang, ws[i:i + m - 1] as ws, c from (select lang, ws, c, m, unnest(generate_series(1, k - m + 1)) as i
+                   from (select *, unnest(generate_series(2, k - 1)) as m from f where k > 2))),
+        c as (select f.* from f where k >= 2 and not exists (select 1 from inside x where x.lang = f.lang and x.ws = f.ws and x.c >= f.c)),
+        cut as (select c.lang, c.ws, c.c as a, j, l.c as l, r.c as r, n.n, (1000::hugeint * c.c * n.n // (l.c::hugeint * r.c))::bigint as score
+                from (select *, unnest(generate_series(1, k - 1)) as j from c) c join f l on l.lang = c.lang and l.ws = c.ws[1:j] join f r on r.lang = c.lang and r.ws = c.ws[j + 1:] join n on n.lang = c.lang),
+        best as (select * from cut qualify row_number() over (partition by lang, ws order by score, j) = 1)
+        select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(ws, ' ')) as rank, array_to_string(ws, ' ') as phrase, a, l, r, n, score
+        from best qualify rank <= 2000
+    """,
 }

@@ -102,12 +102,13 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
     """Words are maximal runs of bytes other than space, tab, line feed, vertical tab, form feed
-    and carriage return; those are never part of another UTF-8 character. ``lower``: A-Z only."""
+    and carriage return; those are never part of another UTF-8 character. ``lower``: A-Z only.
+    ``gap``: other bytes that part words."""
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~gap[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     before = np.empty(len(data), dtype=bool)
