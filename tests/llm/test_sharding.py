@@ -33,6 +33,14 @@ def test_equal_rows_and_null_ids_are_spread(spark):
     assert max(load) - min(load) <= 0.02 * np.mean(load)
 
 
+def test_equal_rows_without_ids_in_many_partitions_end(spark):
+    """Nothing but the rows' numbers tells these apart."""
+    texts = [(None, "one text for all")] * 1200
+    docs = spark.createDataFrame([(i, t, None, "x", 1, 2, "y") for i, t in texts], SCHEMA).repartition(19)
+    load = check(sharding.shards(docs, 16).collect(), texts, 16)
+    assert max(load) - min(load) <= size_of(texts[0][1])
+
+
 def test_one_huge_record_beside_many_small_ones(spark):
     texts = [(0, "x" * 300_000)] + [(i, "y" * (i % 50)) for i in range(1, 3000)]
     docs = spark.createDataFrame([(i, t, None, "x", 1, 2, "y") for i, t in texts], SCHEMA)

@@ -1,7 +1,7 @@
 """Sharding by sampled splitters: size-weighted key samples, quantile boundaries, range partition.
 
-Records are ordered by a key: the 64-bit hash of the text, then a tie of doc_id's hash and a number
-of the row, so equal texts lie together and even rows that are equal throughout can be told apart. A
+Records are ordered by a key: the 64-bit hash of the text, then the number of the row, so equal texts
+lie together and even rows that are equal throughout can be told apart. A
 sample with a chance in proportion to size gives boundaries at quantiles of the bytes, many fine
 ranges to a shard. The bytes of every fine range are then counted exactly. A range that turns out
 overfull (a group of equal texts, or an unlucky sample) is subdivided by further boundaries among
@@ -22,30 +22,27 @@ from pyspark.sql import functions as F
 
 from trackloom.plans.durable import durable
 
-#: Fine ranges to a shard that the first boundaries aim at, and bytes that a fine range holds at most
-#: then: a task sorts one fine range. What is broadcast and gathered is a few rows for each.
-FINE, RANGE_BYTES = 128, 256 << 20
+#: Fine ranges that the first boundaries aim at: so many to a shard, and so many at least. Their number
+#: doesn't grow with the records. The driver holds a few numbers for each; a task sorts one fine range,
+#: some 40 bytes for each record whatever its text, and spills.
+FINE, RANGES = 128, 2048
 #: Sampled keys for each fine range.
 SAMPLES = 16
 #: A range with more than so many times its share of bytes, its largest record aside, is subdivided.
 OVERFULL = 1.5
 #: Shards may differ by this share of their mean without ranges being moved.
 EVEN = 0.001
-#: Low bits of the tie that come from the row's number.
-ROW_BITS = 24
 
 
 def keyed(docs: DataFrame, carried: bool = False) -> DataFrame:
     """``doc_id, size, text_crc32, group_key, tie``: size is UTF-8 bytes plus 1; ``tie`` orders
-    records of equal text. Its low bits hash the row's number, which is stable only once the rows
-    are written. ``carried``: all columns of ``docs`` too, as the struct ``row``."""
+    records of equal text. It is the row's number, so no two rows share it; it is stable only once the
+    rows are written. ``carried``: all columns of ``docs`` too, as the struct ``row``."""
     text = F.col("text").cast("string")
-    high = F.shiftleft(F.shiftright(F.xxhash64(F.lit("tie"), F.col("doc_id")), ROW_BITS), ROW_BITS)
-    tie = high + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
     return docs.select(
         F.col("doc_id").cast("long"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("group_key"),
-        tie.alias("tie"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carried else []))
+        F.monotonically_increasing_id().alias("tie"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carried else []))
 
 
 def _sample(rows: DataFrame, wanted: int, total: int, salt: int) -> pd.DataFrame:
@@ -121,7 +118,7 @@ def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
     """Adds ``shard`` and ``slot`` to written rows of ``keyed``."""
     spark = rows.sparkSession
     total = rows.agg(F.sum("size")).first()[0] or 0
-    fine = max(n_shards * FINE, -(-total // RANGE_BYTES))
+    fine = max(n_shards * FINE, RANGES)
     share = total / fine if total else 1.0
     splitters = sorted(set(_quantiles(_sample(rows, fine * SAMPLES, total, 0), share)))
     turn = 0
@@ -131,7 +128,9 @@ def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
         over = stats[stats.bytes - stats.largest > OVERFULL * share]
         if over.empty:
             break
-        turn += 1  # another draw, and a denser one where earlier draws split nothing
+        # Another draw, and a denser one where earlier draws split nothing. No two records share a key, so at
+        # the latest a draw of all of a range's records splits it.
+        turn += 1
         inside = found.join(F.broadcast(spark.createDataFrame([(int(r),) for r in over.range], "range int")), "range", "left_semi")
         drawn = _sample(inside, int(over.bytes.sum() / share + 1) * SAMPLES * turn, int(over.bytes.sum()), turn)
         splitters = sorted(set(splitters) | set(_quantiles(drawn, share / 2)))
