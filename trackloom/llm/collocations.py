@@ -26,7 +26,7 @@ from trackloom.llm.words import _LOWER, BLOCK_BYTES, blocks, mix, words_of
 from trackloom.plans.durable import counted, durable
 
 #: Phrases (or words) of one trie (or dictionary): what is broadcast at a time is below 40 MB.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Numbers in a row of the stream, and pairs that a task gathers before it hands their counts on.
 STREAM, PAIRS = 1 << 20, 1 << 21
 #: Rows of one task in the first round of ranking.
@@ -156,87 +156,88 @@ def _rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """A double-array trie of equally long sequences of word numbers: from state ``s`` word ``w`` leads to
-    ``base[s] + w`` if ``check`` has ``s`` there. State 0 is the root."""
+    """A double-array trie of equally long sequences of word numbers: from state ``s`` byte ``c`` leads to
+    ``base[s] + c`` if ``check`` has ``s`` there. State 0 is the root. A word is a fixed number of bytes, as
+    children that lie no more than 256 places apart fit close together."""
 
     def __init__(self, phrases: np.ndarray, numbers: np.ndarray):
         order = np.lexsort(phrases.T[::-1])
-        phrases, numbers = phrases[order], numbers[order]
-        self.words = None  # where there are many more words than the trie has, it numbers its own
-        if phrases.max(initial=0) >= 4 * SHARD:
-            self.words, own = np.unique(phrases, return_inverse=True)
-            phrases = own.reshape(phrases.shape)
-        self.base, self.check, self.free = np.zeros(1, dtype=np.int64), np.full(1, -2, dtype=np.int64), 1
+        phrases, numbers = phrases[order].astype(np.int64), numbers[order]
+        self.bytes = max(1, (int(phrases.max(initial=0)).bit_length() + 7) // 8)
+        self.base, self.check = np.zeros(1, dtype=np.int32), np.full(1, -2, dtype=np.int32)
+        self.free, self.top, self.tried = 1, 1, 1  # no free place before, none taken from here on, tries begin here
         state = np.zeros(len(phrases), dtype=np.int64)
-        new = np.ones(len(phrases), dtype=bool)
-        for depth in range(phrases.shape[1]):
-            word = phrases[:, depth].astype(np.int64)
-            differs = word[1:] != word[:-1]
-            new[1:] = differs if depth == 0 else new[1:] | differs
-            child = np.flatnonzero(new)  # the first phrase of each new state
-            state = self._placed(state[child], word[child])[np.cumsum(new) - 1]
-        self.number = np.full(len(self.check), -1, dtype=np.int64)
+        new = np.zeros(len(phrases), dtype=bool)
+        new[:1] = True
+        for word in phrases.T:
+            for byte in self._bytes(word):
+                new[1:] |= byte[1:] != byte[:-1]
+                child = np.flatnonzero(new)  # the first phrase of each new state
+                state = self._placed(state[child], byte[child])[np.cumsum(new) - 1]
+        self.base, self.check = self.base[: self.top], self.check[: self.top]
+        self.number = np.full(self.top, -1, dtype=np.int64)
         self.number[state] = numbers
 
+    def _bytes(self, word: np.ndarray) -> Iterator[np.ndarray]:
+        for k in range(self.bytes - 1, -1, -1):
+            yield (word >> (8 * k)) & 255
+
     def _room(self, n: int) -> None:
         if n > len(self.check):
             more = max(n - len(self.check), len(self.check))
-            self.base = np.concatenate([self.base, np.zeros(more, dtype=np.int64)])
-            self.check = np.concatenate([self.check, np.full(more, -1, dtype=np.int64)])
+            self.base = np.concatenate([self.base, np.zeros(more, dtype=np.int32)])
+            self.check = np.concatenate([self.check, np.full(more, -1, dtype=np.int32)])
 
-    def _placed(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """States for children of ``parent`` (grouped) by ``word``."""
+    def _placed(self, parent: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """States for children of ``parent`` (grouped) by ``byte``."""
         first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(parent) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.concatenate([first, [len(parent)]]))
         out = np.zeros(len(parent), dtype=np.int64)
         for k in np.flatnonzero(count > 1)[np.argsort(-count[count > 1], kind="stable")].tolist():
             own = slice(first[k], first[k] + count[k])
-            base = self._fitting(word[own])
-            self._room(base + int(word[own].max()) + 1)
-            out[own] = base + word[own]
+            base = self._fitting(byte[own])
+            out[own] = base + byte[own]
             self.base[parent[first[k]]] = base
             self.check[out[own]] = parent[first[k]]
+            self.top = max(self.top, int(out[own.stop - 1]) + 1)
         single = first[count == 1]  # an only child may take any free place
-        self._room(self.free + len(single) + int((self.check[self.free :] != -1).sum()))
-        places = (np.flatnonzero(self.check[self.free :] == -1) + self.free)[: len(single)]
-        if len(places) < len(single):
-            at = len(self.check)
-            self._room(at + len(single))
-            places = (np.flatnonzero(self.check[self.free :] == -1) + self.free)[: len(single)]
+        self._room(self.top + len(single))
+        places = (np.flatnonzero(self.check[self.free : self.top + len(single)] == -1) + self.free)[: len(single)]
         out[single] = places
-        self.base[parent[single]] = places - word[single]
+        self.base[parent[single]] = places - byte[single]
         self.check[places] = parent[single]
-        taken = np.flatnonzero(self.check[self.free :] == -1)
-        self.free += int(taken[0]) if len(taken) else len(self.check) - self.free
+        self.top = max(self.top, int(places.max(initial=0)) + 1)
+        holes = np.flatnonzero(self.check[self.free : self.top] == -1)
+        self.free = int(holes[0]) + self.free if len(holes) else self.top
+        self.tried = max(self.tried, self.free)
         return out
 
-    def _fitting(self, words: np.ndarray) -> int:
-        """The first of some tried bases at which all ``words`` find free places."""
-        low, tried = self.free - int(words.min()), 0
-        while tried < 64:
-            bases = low + np.arange(tried * 16, tried * 16 + 16)
-            places = bases[:, None] + words
-            self._room(int(places.max()) + 1)
-            free = (self.check[places] == -1).all(axis=1)
-            if free.any():
-                return int(bases[np.flatnonzero(free)[0]])
-            tried += 1
-        return len(self.check) - int(words.min())  # behind everything
+    def _fitting(self, bytes_: np.ndarray) -> int:
+        """The first of some tried bases at which all bytes find free places, else one behind all places that
+        are taken."""
+        low = int(bytes_[0])
+        bases = self.tried - low + np.arange(128)
+        self._room(max(int(bases[-1]), self.top) + 257)
+        free = (self.check[bases[:, None] + bytes_] == -1).all(axis=1)
+        if free.any():
+            return int(bases[np.argmax(free)])
+        self.tried = min(self.tried + 32, self.top)
+        return self.top - low
 
     def numbers(self, stream: np.ndarray, words: int) -> np.ndarray:
         """The number of the phrase of ``words`` words that begins at each position, or -1."""
         out = np.full(len(stream), -1, dtype=np.int64)
-        if self.words is not None:
-            own = np.minimum(np.searchsorted(self.words, stream), len(self.words) - 1)
-            stream = np.where(self.words[own] == stream, own, -1)
-        at = np.arange(max(0, len(stream) - words + 1))
+        at = np.flatnonzero(stream[: max(0, len(stream) - words + 1)] >= 0)
         state = np.zeros(len(at), dtype=np.int64)
         for step in range(words):
-            word = stream[at + step].astype(np.int64)
-            after = self.base[state] + word
-            good = (word >= 0) & (after >= 0) & (after < len(self.check))
-            good[good] = self.check[after[good]] == state[good]
-            at, state = at[good], after[good]
+            word = stream[at + step]
+            keep = (word >= 0) & (word >> (8 * self.bytes) == 0)
+            at, state, word = at[keep], state[keep], word[keep]
+            for k in range(self.bytes - 1, -1, -1):
+                after = self.base[state] + ((word >> (8 * k)) & 255)
+                keep = (after >= 0) & (after < len(self.check))
+                keep[keep] = self.check[after[keep]] == state[keep]
+                at, state, word = at[keep], after[keep].astype(np.int64), word[keep]
         out[at] = self.number[state]
         return out
 
