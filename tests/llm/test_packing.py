@@ -20,6 +20,15 @@ def padded(n, length):
     return 0 if n & (n - 1) == 0 else length - n
 
 
+def flat(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def coded(words, texts):
+    return words.ids(words.text_rows(*flat(texts))[0]).tolist()
+
+
 def price(stops, penalty, length):
     return sum(padded(b - a, length) + penalty[b] + packing.SEQUENCE for a, b in zip([0, *stops], stops))
 
@@ -50,18 +59,29 @@ def test_ids_are_those_of_whole_texts():
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)]
     texts += ["it's I'LL don't!", "<|endoftext|> in a text, a<|startoftext|>b.", "x" * 5000, "...", "A.B.C. 3.14, 1,000", "Ab'S. ab's."]
     for text in texts:
-        rows = words.rows([*packing._WORD.findall(text), packing._END])
-        assert words.ids(rows).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
-        assert words.counts(rows).sum() == len(words.ids(rows))
+        assert coded(words, [text]) == [*t.encode(text, add_special_tokens=False).ids, 1], text
+    assert coded(words, texts) == [i for text in texts for i in [*t.encode(text, add_special_tokens=False).ids, 1]]
+
+
+def test_sentences_and_lines_end():
+    words = packing._Ids(open(PATH, encoding="utf-8").read(), 1)
+    rows, final = words.text_rows(*flat(["One two. three?! \"four.\" five\nsix é. seven", "x"]))
+    assert [k for k, f in enumerate(final.tolist()) if f] == [2, 4, 5, 6, 8, 10, 12] and (rows == 0).nonzero()[0].tolist() == [10, 12]
 
 
 def test_tokens_outlive_forgetting(monkeypatch):
-    monkeypatch.setattr(packing, "WORDS", 20)
     monkeypatch.setattr(packing, "PARTS", 40)
     t, words = Tokenizer.from_file(PATH), packing._Ids(open(PATH, encoding="utf-8").read(), 1)
     for k in range(60):
         text = f"word{k} Some, text {k * 7}. and? again"
-        assert words.ids(words.rows(packing._WORD.findall(text))).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert coded(words, [text]) == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_long_text_in_runs(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 50)
+    t, words = Tokenizer.from_file(PATH), packing._Ids(open(PATH, encoding="utf-8").read(), 1)
+    text = "Some words, and some. " * 30 + "x" * 300 + " end.\nlines\n" * 20
+    assert coded(words, [text]) == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
 def checked(pieces, texts, length):
@@ -100,7 +120,7 @@ def test_given_table(spark):
 def test_odd_rows(spark, monkeypatch, stretch):
     # Workers import the module anew: stretches are set in this process by running the task's function here.
     monkeypatch.setattr(packing, "STRETCH", stretch)
-    monkeypatch.setattr(packing, "GROUP_BYTES", 300)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 300)
     monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda s: 3})()))
     import pyarrow as pa
 
@@ -133,4 +153,4 @@ def test_tokenizer_that_does_not_split(spark, tmp_path):
     t = Tokenizer.from_file(os.path.join(tmp_path, "t.json"))
     words = packing._Ids(open(os.path.join(tmp_path, "t.json"), encoding="utf-8").read(), 1)
     text = "Some Words, HERE. and there!"
-    assert not words.splits and words.ids(words.rows(packing._WORD.findall(text))).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert not words.splits and coded(words, [text]) == [*t.encode(text, add_special_tokens=False).ids, 1]

@@ -26,23 +26,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.words import BLOCK_BYTES, Words, blocks, words_of
+
 #: Penalties in tokens: of a cut at the end of a sentence, of any other cut inside a document, of a sequence.
 SENTENCE, INSIDE, SEQUENCE = 8, 64, 1
 #: Where no boundary comes for so many tokens, a text may be cut at every so many of them.
 NO_BOUNDARY, EVERY = 128, 32
 #: Tokens of a stretch, and windows that are taken back at its end.
 STRETCH, TAKEN_BACK = 1 << 20, 4
-#: Bytes of text that are encoded together; words, and parts of words with their ids, that a task remembers
-#: before it starts anew. It forgets them at its end, as workers live on into other stages.
-GROUP_BYTES, WORDS, PARTS = 1 << 20, 500_000, 500_000
+#: Parts of words whose ids a task remembers before it starts anew. It forgets them at its end, as workers
+#: live on into other stages.
+PARTS = 600_000
 #: What may follow the last letter or digit of a word as a part of its own.
 _TAIL = ".,;:!?"
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+|\n")
 #: Marks that end a sentence, and what may close after them.
 _ENDS, _CLOSERS = frozenset(".!?。！？"), "\"')]”’»"
-#: Stands for the end of a document among its words; no word can be this.
-_END = "\n\n"
+
+#: Words of small letters that are the same in every normal form of one code point a letter.
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+_IS_TAIL, _ALNUM = (np.zeros(256, dtype=bool) for _ in range(2))
+_IS_TAIL[[*_TAIL.encode()]] = True
+_ALNUM[[*b"0123456789", *range(65, 91), *range(97, 123)]] = True
 
 
 def cuts(ends: np.ndarray, penalties: np.ndarray, length: int) -> np.ndarray:
@@ -107,10 +112,46 @@ def _grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), dtype=x.dtype)])
 
 
+def segments(data: np.ndarray, offsets: np.ndarray, splits: bool) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The parts of all words as ``Words``, whether a line ends before the next one, and of each text where
+    its parts end. With ``splits``, marks after the last letter or digit of a word without other
+    characters than ASCII are a part of their own."""
+    words = words_of(data, offsets)
+    start, end, n = words.start, words.end, len(words.start)
+    lines = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
+    broken = np.zeros(n, dtype=bool)
+    broken[:-1] = lines[start[1:]] > lines[end[:-1]]
+    stops = np.searchsorted(words.doc, np.arange(len(offsets) - 1), side="right")
+    if not splits or not n:
+        return words, broken, stops
+    wide = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int32)])
+    last = np.maximum.accumulate(np.where(_IS_TAIL[data], -1, np.arange(len(data))))[end - 1]  # the last byte that is no mark
+    split = (last >= start) & (last < end - 1) & _ALNUM[data[np.maximum(last, 0)]] & (wide[end] == wide[start])
+    at = np.arange(n) + np.cumsum(split) - split  # where each word's first part goes
+    firsts, lasts, breaks, doc = (np.zeros(n + int(split.sum()), dtype=x.dtype) for x in (start, end, broken, words.doc))
+    firsts[at], lasts[at], doc[at] = start, np.where(split, last + 1, end), words.doc
+    firsts[at[split] + 1], lasts[at[split] + 1], doc[at[split] + 1] = last[split] + 1, end[split], words.doc[split]
+    breaks[at + split] = broken
+    return Words(data, offsets, doc, firsts, lasts), breaks, np.searchsorted(doc, np.arange(len(offsets) - 1), side="right")
+
+
+def _long(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in runs of about a block, cut after white space."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        while end < len(data) and data[end - 1] != 32 and not 9 <= data[end - 1] <= 13:
+            ahead = data[end : end + BLOCK_BYTES]
+            gaps = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+            end += int(gaps[0]) + 1 if len(gaps) else len(ahead)
+        yield data[at:end]
+        at = end
+
+
 class _Ids:
-    """Token ids of words by their parts. The tokenizer never joins what white space parts, so a text's ids
-    are those of its words in turn. A word is a stem and the marks after it, if a trial shows that the
-    tokenizer lower-cases A-Z and splits there; else it is one part."""
+    """Token ids of words by their parts, known by 64-bit hashes. The tokenizer never joins what white space
+    parts, so a text's ids are those of its words in turn. A word is a stem and the marks after it, if a
+    trial shows that the tokenizer lower-cases A-Z and splits there; else it is one part."""
 
     def __init__(self, content: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -128,7 +169,7 @@ class _Ids:
         self.forget()
 
     def _bare(self, content: str):
-        """The model alone for words of the letters a-z, which need no normalising and are never split; and
+        """The model alone for words of small Latin letters, which need no normalising and are never split; and
         which of its tokens end a word. Nothing where its tokens don't show that, or a trial fails."""
         from tokenizers import Tokenizer
 
@@ -136,25 +177,22 @@ class _Ids:
         suffix = settings["model"].get("end_of_word_suffix")
         if not suffix:
             return None, None
-        bare = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}))
+        bare = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "CharDelimiterSplit", "delimiter": " "}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}))
         closes = np.zeros(1 + max(bare.get_vocab().values()), dtype=bool)
         closes[[i for token, i in bare.get_vocab().items() if token.endswith(suffix)]] = True
-        letters = [chr(x) for x in range(97, 123)]
-        for trial in [[x + y for x in letters for y in letters], ["".join(letters[k:] + letters[:k]) * 3 for k in range(26)]]:
+        letters = [*filter(_SIMPLE, map(chr, range(256)))]
+        for trial in [[x + y for x in letters for y in letters], ["".join(letters[k:] + letters[:k]) * 3 for k in range(len(letters))]]:
             ids = np.array(bare.encode_batch_fast([" ".join(trial)], add_special_tokens=False)[0].ids)
             if [x.tolist() for x in np.split(ids, np.flatnonzero(closes[ids])[:-1] + 1)] != [x.ids for x in self.tokenizer.encode_batch_fast(trial, add_special_tokens=False)]:
                 return None, None
         return bare, closes
 
     def forget(self) -> None:
-        """Part 0 is the end of a document, part 1 has no ids."""
-        self.part, self.pool, self.used = {_END: 0, "": 1}, np.full(1, self.end_id, dtype="<u4"), 1
-        self.first, self.count = np.array([0, 0]), np.array([1, 0])
-        self.forget_words()
-
-    def forget_words(self) -> None:
-        self.row = {_END: 0, "\n": 1}
-        self.stem, self.tail, self.final = np.array([0, 1]), np.array([1, 1]), np.array([True, True])
+        """Part 0 is the end of a document."""
+        self.known, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.pool, self.used, self.size = np.full(1, self.end_id, dtype="<u4"), 1, 1
+        self.first, self.count, self.final = np.array([0]), np.array([1]), np.array([False])
 
     def _coded_bare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], dtype="<u4")
@@ -171,56 +209,64 @@ class _Ids:
         borders = ids == self.between[1]
         return ids[~borders], np.diff(np.flatnonzero(np.concatenate([[True], borders, [True]]))) - 1
 
-    def _parts(self, parts: list[str]) -> np.ndarray:
-        missing = sorted(set(parts).difference(self.part))
-        if missing:
-            simple = [w for w in missing if self.bare and w.isascii() and w.isalpha() and w.islower()]
-            others = sorted(set(missing).difference(simple)) if simple else missing
-            ids, count = (np.concatenate(x) for x in zip(self._coded_bare(simple), self._coded(others), strict=True))
-            missing = simple + others
-            at, n = len(self.part), len(missing)
-            self.first, self.count = _grown(self.first, at + n), _grown(self.count, at + n)
-            self.first[at : at + n] = self.used + np.cumsum(count) - count
-            self.count[at : at + n] = count
-            self.pool = _grown(self.pool, self.used + len(ids))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.part.update(zip(missing, range(at, at + n), strict=True))
-        return np.fromiter(map(self.part.__getitem__, parts), np.int64, len(parts))
-
-    def _split(self, word: str) -> tuple[str, str]:
-        if word[-1].isalnum() or not self.splits:
-            return word.lower() if self.splits and word.isascii() else word, ""
-        if word.isascii():
-            lower = word.lower()
-            stem = lower.rstrip(_TAIL)
-            if stem and stem[-1].isalnum():
-                return stem, lower[len(stem) :]
-        return word, ""
-
-    def rows(self, found: list[str]) -> np.ndarray:
-        """The place of each word in ``stem``, ``tail`` and ``final``."""
-        if len(self.part) > PARTS:
+    def _learn(self, parts: list[str]) -> np.ndarray:
+        """Places for new parts."""
+        plain = [w.lower() if self.splits and w.isascii() else w for w in parts]
+        simple, others = [], []
+        for k, w in enumerate(plain):
+            (simple if self.bare is not None and _SIMPLE(w) else others).append(k)
+        simple.sort(key=plain.__getitem__), others.sort(key=plain.__getitem__)  # like words after one another are faster
+        order = simple + others
+        ids, count = (np.concatenate(x) for x in zip(self._coded_bare([plain[k] for k in simple]), self._coded([plain[k] for k in others]), strict=True))
+        at, n = self.size, len(parts)
+        self.first, self.count, self.final = (_grown(x, at + n) for x in (self.first, self.count, self.final))
+        self.first[at : at + n], self.count[at : at + n] = self.used + np.cumsum(count) - count, count
+        self.final[at : at + n] = [parts[k].rstrip(_CLOSERS)[-1:] in _ENDS for k in order]
+        self.pool = _grown(self.pool, self.used + len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used, self.size = self.used + len(ids), at + n
+        places = np.empty(n, dtype=np.int64)
+        places[order] = np.arange(at, at + n)
+        return places
+
+    def rows(self, parts: Words) -> np.ndarray:
+        """The place of each part in ``first``, ``count`` and ``final``."""
+        hashes, first, back = np.unique(parts.hashes(), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        held = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)
+        row = np.zeros(len(hashes), dtype=np.int64)
+        row[held] = self.row[at[held]] if len(self.known) else 0
+        new = np.flatnonzero(~held)
+        if len(new):
+            raw = parts.data.tobytes()
+            row[new] = self._learn([raw[a:b].decode() for a, b in zip(parts.start[first[new]].tolist(), parts.end[first[new]].tolist(), strict=True)])
+            known = np.concatenate([self.known, hashes[new]])
+            order = np.argsort(known, kind="stable")  # two sorted runs
+            self.known, self.row = known[order], np.concatenate([self.row, row[new]])[order]
+        return row[back]
+
+    def text_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of texts in turn, each text with part 0 at its end, and after which of them a sentence or a
+        line ends."""
+        if self.size > PARTS:
             self.forget()
-        elif len(self.row) > WORDS:
-            self.forget_words()
-        missing = list(set(found).difference(self.row))
-        if missing:
-            at, n = len(self.row), len(missing)
-            self.stem, self.tail, self.final = (_grown(x, at + n) for x in (self.stem, self.tail, self.final))
-            parts = self._parts([p for w in missing for p in self._split(w)])
-            self.stem[at : at + n], self.tail[at : at + n] = parts[::2], parts[1::2]
-            self.final[at : at + n] = [w.rstrip(_CLOSERS)[-1:] in _ENDS for w in missing]
-            self.row.update(zip(missing, range(at, at + n), strict=True))
-        return np.fromiter(map(self.row.__getitem__, found), np.int64, len(found))
-
-    def counts(self, rows: np.ndarray) -> np.ndarray:
-        return self.count[self.stem[rows]] + self.count[self.tail[rows]]
+        if len(offsets) > 2 or len(data) <= 2 * BLOCK_BYTES:
+            parts, broken, stops = segments(data, offsets, self.splits)
+            rows = self.rows(parts)
+            final = self.final[rows] | broken
+        else:
+            rows, final = [], []
+            for run in _long(data):
+                parts, broken, _ = segments(run, np.array([0, len(run)]), self.splits)
+                rows.append(self.rows(parts))
+                final.append(self.final[rows[-1]] | broken)
+            rows, final = np.concatenate(rows), np.concatenate(final)
+            stops = np.array([len(rows)])
+        return np.insert(rows, stops, 0), np.insert(final, stops, True)
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
-        parts = np.stack([self.stem[rows], self.tail[rows]], axis=1).ravel()
-        count = self.count[parts]
-        return self.pool[np.repeat(self.first[parts] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        count = self.count[rows]
+        return self.pool[np.repeat(self.first[rows] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
 @lru_cache(maxsize=1)
@@ -237,10 +283,10 @@ class _Run:
         self.first = self.tokens = self.ends = self.penalties = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype="<u4")
 
-    def add(self, doc_ids: list[int | None], words: _Ids, rows: np.ndarray) -> None:
-        """Documents by their words; each ends with the word of row 0."""
-        count, document = words.counts(rows), rows == 0
-        ends, penalties = boundaries(count, words.final[rows], document)
+    def add(self, doc_ids: list[int | None], words: _Ids, rows: np.ndarray, final: np.ndarray) -> None:
+        """Documents by their parts; each ends with part 0."""
+        count, document = words.count[rows], rows == 0
+        ends, penalties = boundaries(count, final, document)
         stop = np.cumsum(count)[document]
         first = np.concatenate([[0], stop[:-1]])
         self.doc_ids += doc_ids
@@ -280,15 +326,9 @@ def _pack(content: str, end_id: int, length: int):
         words, run = _ids(content, end_id), _Run(length, TaskContext.get().partitionId())
         try:
             for batch in batches:
-                doc_ids, texts, at = batch.column("doc_id").to_pylist(), batch.column("text"), 0
-                while at < len(doc_ids):
-                    begin, size, found = at, 0, []
-                    while at < len(doc_ids) and size < GROUP_BYTES:
-                        text = texts[at].as_py() or ""
-                        found += _WORD.findall(text)
-                        found.append(_END)
-                        size, at = size + len(text), at + 1
-                    run.add(doc_ids[begin:at], words, words.rows(found))
+                doc_ids = batch.column("doc_id").to_pylist()
+                for first, end, data, offsets in blocks(batch.column("text")):
+                    run.add(doc_ids[first:end], words, *words.text_rows(data, offsets))
                     if run.size >= STRETCH and (out := run.give(False)) is not None:
                         yield out
             if (out := run.give(True)) is not None:
