@@ -38,12 +38,14 @@ STRETCH, TAKEN_BACK = 1 << 20, 4
 #: live on into other stages.
 PARTS = 600_000
 #: What may follow the last letter or digit of a word as a part of its own.
-_TAIL = ".,;:!?"
+_TAIL = ".,;:!?*%$#&)\""
 #: Marks that end a sentence, and what may close after them.
 _ENDS, _CLOSERS = frozenset(".!?。！？"), "\"')]”’»"
-
-#: Words of small letters that are the same in every normal form of one code point a letter.
+#: Words of small letters that are the same in every normal form of one code point a letter, and the characters
+#: that byte-level vocabularies write for the two UTF-8 bytes of those that have two: bytes below 0xA1 and
+#: 0xAD, which no character shows, follow one another from U+0100.
 _SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_WRITTEN = {c: "".join(chr(256 + b - 94 if b <= 0xA0 else 323 if b == 0xAD else b) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 _IS_TAIL, _ALNUM = (np.zeros(256, dtype=bool) for _ in range(2))
 _IS_TAIL[[*_TAIL.encode()]] = True
@@ -114,8 +116,8 @@ def _grown(x: np.ndarray, n: int) -> np.ndarray:
 
 def segments(data: np.ndarray, offsets: np.ndarray, splits: bool) -> tuple[Words, np.ndarray, np.ndarray]:
     """The parts of all words as ``Words``, whether a line ends before the next one, and of each text where
-    its parts end. With ``splits``, marks after the last letter or digit of a word without other
-    characters than ASCII are a part of their own."""
+    its parts end. With ``splits``, marks after the last letter or digit of a word are a part of their own,
+    if that is in ASCII or a small letter of two bytes that begin with 0xC3."""
     words = words_of(data, offsets)
     start, end, n = words.start, words.end, len(words.start)
     lines = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
@@ -124,9 +126,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, splits: bool) -> tuple[Words
     stops = np.searchsorted(words.doc, np.arange(len(offsets) - 1), side="right")
     if not splits or not n:
         return words, broken, stops
-    wide = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int32)])
     last = np.maximum.accumulate(np.where(_IS_TAIL[data], -1, np.arange(len(data))))[end - 1]  # the last byte that is no mark
-    split = (last >= start) & (last < end - 1) & _ALNUM[data[np.maximum(last, 0)]] & (wide[end] == wide[start])
+    letter = data[np.maximum(last, 0)]
+    known = _ALNUM[letter] | (data[np.maximum(last - 1, 0)] == 0xC3) & (last > start) & (letter >= 0x9F) & (letter != 0xB7)
+    split = (last >= start) & (last < end - 1) & known
     at = np.arange(n) + np.cumsum(split) - split  # where each word's first part goes
     firsts, lasts, breaks, doc = (np.zeros(n + int(split.sum()), dtype=x.dtype) for x in (start, end, broken, words.doc))
     firsts[at], lasts[at], doc[at] = start, np.where(split, last + 1, end), words.doc
@@ -164,7 +167,8 @@ class _Ids:
         lower, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         capitals = "".join(map(chr, range(65, 91)))
         self.splits = lower is not None and split is not None and lower.normalize_str(capitals) == capitals.lower() and all(
-            len(split.pre_tokenize_str(x + c)) == 2 and plain(x + c) == plain(x) + plain(c) for x in "az09" for c in _TAIL)
+            len(split.pre_tokenize_str(x + c)) == 2 and plain(x + c) == plain(x) + plain(c) for x in "az09éß" for c in _TAIL) and not any(
+            c in t.content for t in self.tokenizer.get_added_tokens_decoder().values() for c in _TAIL)
         self.bare, self.closes = self._bare(content) if self.splits else (None, None)
         self.forget()
 
@@ -177,13 +181,12 @@ class _Ids:
         suffix = settings["model"].get("end_of_word_suffix")
         if not suffix:
             return None, None
-        bare = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
-            {"type": "CharDelimiterSplit", "delimiter": " "}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}))
+        bare = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}))
         closes = np.zeros(1 + max(bare.get_vocab().values()), dtype=bool)
         closes[[i for token, i in bare.get_vocab().items() if token.endswith(suffix)]] = True
         letters = [*filter(_SIMPLE, map(chr, range(256)))]
         for trial in [[x + y for x in letters for y in letters], ["".join(letters[k:] + letters[:k]) * 3 for k in range(len(letters))]]:
-            ids = np.array(bare.encode_batch_fast([" ".join(trial)], add_special_tokens=False)[0].ids)
+            ids = np.array(bare.encode_batch_fast([" ".join(trial).translate(_WRITTEN)], add_special_tokens=False)[0].ids)
             if [x.tolist() for x in np.split(ids, np.flatnonzero(closes[ids])[:-1] + 1)] != [x.ids for x in self.tokenizer.encode_batch_fast(trial, add_special_tokens=False)]:
                 return None, None
         return bare, closes
@@ -195,7 +198,7 @@ class _Ids:
         self.first, self.count, self.final = np.array([0]), np.array([1]), np.array([False])
 
     def _coded_bare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], dtype="<u4")
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words).translate(_WRITTEN)], add_special_tokens=False)[0].ids if words else [], dtype="<u4")
         return ids, np.diff(np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])) if words else np.zeros(0, dtype=np.int64)
 
     def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
