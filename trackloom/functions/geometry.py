@@ -68,7 +68,7 @@ def temporal_iou(a: Column, b: Column, c: Column, d: Column, same_start: bool =
     union = F.greatest(b, d) - F.least(a, c)
     shared = F.greatest(F.lit(0.0), F.least(b, d) - F.greatest(a, c))
     empty = F.when(a == c, F.lit(1.0)).otherwise(F.lit(0.0)) if same_start else F.lit(0.0)
-    return F.when(union > 0, shared / union).otherwise(empty)
+    return F.when(union > 0, shared / union).when(union == 0, empty).otherwise(F.lit(0.0))  # less than 0: both are reversed
 
 
 def endpoint_errors(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:

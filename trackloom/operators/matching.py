@@ -17,13 +17,14 @@ def eligible(predictions: DataFrame, labels: DataFrame, keys: list[str], least_i
     """Pairs that may match: equal ``keys`` (camera, video, type), and temporal IoU of ``least_iou`` (more
     than 0) or both endpoints within ``tolerance`` seconds. ``predictions(prediction, start, end)``,
     ``labels(label, start, end)``; adds ``tiou``, ``start_error``, ``end_error``, ``weight``. Such pairs
-    overlap or are ``tolerance`` apart, so they meet in time buckets of ``width``; reversed intervals
-    match nothing."""
+    overlap or are ``tolerance`` apart, so they meet in time buckets of ``width``. A reversed interval
+    shares no time with another, so its pairs start within ``tolerance`` and meet by their starts."""
     if least_iou <= 0:
         raise ValueError("least_iou is more than 0: else every pair of a key may match")
-    p = predictions.select(*keys, "prediction", F.col("start").alias("start1"), F.col("end").alias("end1"))
-    pairs = interval_join(p, labels.select(*keys, "label", F.col("start").alias("start2"), F.col("end").alias("end2")), "near", tolerance, width, keys)
-    pairs = pairs.withColumnsRenamed({"start1": "a", "end1": "b", "start2": "c", "end2": "d"})
+    p = predictions.select(*keys, "prediction", F.col("start").alias("a"), F.col("end").alias("b"), F.col("start").alias("start1"))
+    q = labels.select(*keys, "label", F.col("start").alias("c"), F.col("end").alias("d"), F.col("start").alias("start2"))
+    met = lambda x, y, end1, end2: interval_join(x.withColumn("end1", F.col(end1)), y.withColumn("end2", F.col(end2)), "near", tolerance, width, keys)
+    pairs = met(p, q, "b", "d").unionByName(met(p.where("a > b"), q, "a", "c")).unionByName(met(p.where("a <= b"), q.where("c > d"), "a", "c")).drop("start1", "end1", "start2", "end2")
     a, b, c, d = (F.col(x) for x in "abcd")
     one, two = G.endpoint_errors(a, b, c, d)
     pairs = pairs.withColumn("tiou", G.temporal_iou(a, b, c, d)).withColumn("start_error", one).withColumn("end_error", two)

@@ -231,7 +231,7 @@ def frame_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, v = F.col("event_id"), F.col("value")
     pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     box = F.when(k % 5 > 0, F.array(v, v / 2, v + 10, v / 2 + 10))
-    one = F.struct(F.when(k % 6 == 0, F.concat(F.lit("UNRESOLVED-"), k)).otherwise(F.concat(F.lit("O"), k)).alias("object_id"), pick("person", "bag", "dog").alias("class_label"), pick("visible", "occluded", "not_visible", "partial").alias("visibility"), pick("none", "heavy", "partial", "uncertain", "none").alias("occlusion"), pick("high", "uncertain").alias("identity_confidence"), box.alias("bbox_xyxy"), F.lit("").alias("annotator_note"))
+    one = F.struct(F.when(k % 6 == 0, F.concat(F.lit("UNRESOLVED-"), k)).otherwise(F.concat(F.lit("O"), k)).alias("object_id"), pick("person", "bag", "dog").alias("class_label"), F.when(k % 20 == 3, "partial").otherwise(pick("visible", "occluded", "not_visible", "partially_visible")).alias("visibility"), pick("none", "heavy", "partial", "uncertain", "none").alias("occlusion"), pick("high", "uncertain").alias("identity_confidence"), box.alias("bbox_xyxy"), F.lit("").alias("annotator_note"), F.lit(None).cast("string").alias("reidentification_note"))
     records = e.select(
         F.lit("1").alias("dataset_version"), (F.col("user_id") + 1).alias("clip_id"), F.lit("v").alias("video_id"), F.when(k % 9 == 0, "d").otherwise("c").alias("camera_id"), F.lit("s").alias("source_sha256"), (k % 40).cast("int").alias("frame_index"),
         (k % 40 / 30.0 + F.when(k % 8 == 0, 0.1).otherwise(0.0)).alias("timestamp_seconds"), pick("complete", "partial", "done").alias("review_state"), F.lit("").alias("review_note"), F.when(k % 4 > 0, F.array(one)).otherwise(F.array().cast(f"array<{V.ANNOTATION}>")).alias("annotations"), k.alias("k"))
@@ -354,9 +354,9 @@ ORACLES = {
         u as (select clip_id, v, unnest(range(f, f + st * 4 + 1, st)) as frame from c), d as (select distinct clip_id from u qualify count(*) over (partition by v, frame) > 1)
         select clip_id, {_RULES([("camera", "ln <> 7"), ("consecutive", "st = 15"), ("in range", "f + st * 4 < p_size * 20"), ("duration", "ln <> 5"), ("apart", "clip_id not in (select clip_id from d)")])} as errors from c""",
     "frame_errors": """with r as (select event_id as k, value as v, user_id, p_size, p_partkey is not null as clip from events left join part on p_partkey = user_id + 1),
-        a as (select *, k % 4 > 0 as has, list_value('person', 'bag', 'dog')[(k % 3 + 1)::int] as cl, list_value('visible', 'occluded', 'not_visible', 'partial')[(k % 4 + 1)::int] as vi, list_value('none', 'heavy', 'partial', 'uncertain', 'none')[(k % 5 + 1)::int] as oc, list_value('high', 'uncertain')[(k % 2 + 1)::int] as ic from r),
+        a as (select *, k % 4 > 0 as has, list_value('person', 'bag', 'dog')[(k % 3 + 1)::int] as cl, case when k % 20 = 3 then 'partial' else list_value('visible', 'occluded', 'not_visible', 'partially_visible')[(k % 4 + 1)::int] end as vi, list_value('none', 'heavy', 'partial', 'uncertain', 'none')[(k % 5 + 1)::int] as oc, list_value('high', 'uncertain')[(k % 2 + 1)::int] as ic from r),
         e as (select unnest(case when len(f) = 0 then [null] else f end) as rule from (select list_filter([case when not clip then 'clip' end, case when not coalesce(k % 40 <= p_size, false) then 'frame' end, case when not (clip and k % 9 > 0) then 'source' end, case when not (clip and k % 8 > 0) then 'timestamp' end,
-          case when k % 3 = 2 then 'state' end, case when k % 3 = 0 and not has then 'empty is confirmed' end, case when has and cl = 'dog' then 'class' end,
+          case when k % 3 = 2 then 'state' end, case when k % 3 = 0 and not has then 'empty is confirmed' end, case when has and cl = 'dog' then 'class' end, case when has and vi not in ('visible', 'partially_visible', 'occluded', 'not_visible', 'uncertain') then 'visibility' end,
           case when has and not (case when vi = 'not_visible' then k % 5 = 0 else coalesce(clip and k % 5 > 0 and v >= 0 and v + 10 <= 100 and v / 2 + 10 <= 90, false) end) then 'box' end, case when has and vi = 'visible' and oc not in ('none', 'uncertain') then 'visible, not occluded' end,
           case when has and vi = 'occluded' and oc not in ('heavy', 'partial') then 'occluded, and how' end, case when has and k % 6 = 0 and ic <> 'uncertain' then 'unresolved is uncertain' end], lambda x: x is not null) as f from a))
         select rule, count(*) as n from e group by 1""",

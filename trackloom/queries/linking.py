@@ -132,7 +132,7 @@ QUERIES = {"eligible_pairs": eligible_pairs, "one_to_one_matches": one_to_one_ma
            "gap_candidates": gap_candidates, "merged_tracks": merged_tracks, "manipulations": manipulations, "manipulations_apart": manipulations_apart}
 
 _P = f"""{ORDER_INTERVALS}, p as (select * from order_intervals where o_orderkey % 2 = 0), l as (select * from order_intervals where o_orderkey % 2 = 1)"""
-_TIOU = """case when greatest(p."end", l."end") - least(p.start, l.start) > 0 then greatest(0, least(p."end", l."end") - greatest(p.start, l.start)) / (greatest(p."end", l."end") - least(p.start, l.start)) else (p.start = l.start)::int end"""
+_TIOU = """case when greatest(p."end", l."end") - least(p.start, l.start) > 0 then greatest(0, least(p."end", l."end") - greatest(p.start, l.start)) / (greatest(p."end", l."end") - least(p.start, l.start)) when greatest(p."end", l."end") = least(p.start, l.start) then (p.start = l.start)::int else 0 end"""
 _ENDS = f"""{_SEG}, trk as (select video_id, key as track, case when object_type = 'bag' then 'truck' else 'car' end as kind, t, x1, y1, x2, y2,
         row_number() over (partition by video_id, key order by t) as i, row_number() over (partition by video_id, key order by t desc) as j, n from valid),
     h as (select video_id, track, arg_min(kind, t) as kind, arg_min(s, s.t) as f, arg_max(s, s.t) as e, arg_max(s, s.t) filter (i <= 3) as h3, arg_max(s, s.t) filter (i <= 2) as h2, arg_min(s, s.t) filter (j <= 3) as t3, arg_min(s, s.t) filter (j <= 2) as t2 from trk s group by 1, 2),

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.operators.evidence import split_valid
+from trackloom.plans.published import publish
 
 VIDEO = "video_id string, filename string, local_path string, camera_id string, recording_start string, fps double, frame_count int, duration double, width int, height int, sha256 string, annotation_path string"
 #: A camera's dataset names each of these once.
@@ -175,8 +176,9 @@ def sample_plan(starts: DataFrame, videos: DataFrame, seconds: int = 5, sample_f
 
 
 def write_snapshot(df: DataFrame, path: str, keys: list[str]) -> None:
-    """JSON lines in key order; Spark's commit makes it all or nothing."""
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
+    """JSON lines in key order as a new version under ``path``, all or nothing: until the last file is there,
+    ``published`` reads the snapshot before."""
+    publish(df.repartitionByRange(*keys).sortWithinPartitions(*keys), path, "json")
 
 
 def flat_report(rows: DataFrame) -> DataFrame:

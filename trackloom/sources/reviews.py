@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.operators.evidence import failed_rules, split_valid
+from trackloom.plans.published import add_once, publish
 from trackloom.sources.annotations import LABELS
 
-ANNOTATION = "struct<object_id: string, class_label: string, visibility: string, occlusion: string, identity_confidence: string, bbox_xyxy: array<double>, annotator_note: string>"
+ANNOTATION = "struct<object_id: string, class_label: string, visibility: string, occlusion: string, identity_confidence: string, bbox_xyxy: array<double>, annotator_note: string, reidentification_note: string>"
 FRAME = f"dataset_version string, clip_id string, video_id string, camera_id string, source_sha256 string, frame_index int, timestamp_seconds double, review_state string, review_note string, annotations array<{ANNOTATION}>"
 # What a reviewed frame may say.
 CLASSES = ("person", "vehicle", "bag", "bottle", "cup", "phone", "other_visible_object", "unknown_object")
-VISIBILITIES, OCCLUSIONS = ("visible", "partial", "occluded", "not_visible", "uncertain"), ("none", "partial", "heavy", "uncertain")
+VISIBILITIES, OCCLUSIONS = ("visible", "partially_visible", "occluded", "not_visible", "uncertain"), ("none", "partial", "heavy", "uncertain")
 CONFIDENCES, STATES, EMPTY = ("high", "medium", "uncertain"), ("partial", "complete"), "EMPTY_SCENE_CONFIRMED"
 RUN = "video_id string, source_sha256 string, sampled_frames int, model_sha256 string, imgsz int, confidence double"
 
@@ -28,14 +29,17 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return told.where("__n = 1").drop("__n"), told.where("__n > 1").drop("__n")
 
 
-def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Search labels from CSV; a missing column of the header is an error that names it."""
-    header = spark.read.option("header", True).csv(path).columns
-    wanted = [x.split()[0] for x in LABELS.split(", ")]
-    if missing := [c for c in wanted if c not in header]:
-        raise ValueError(f"the label table lacks {', '.join(missing)}")
+def read_label_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Search labels from CSV: (labels, rows that hold what can't be read, as text, with those columns in
+    ``unreadable``). A missing column of the header is an error that names it; empty fields are null."""
     text = spark.read.option("header", True).csv(path)
-    return text.select(*[F.expr(f"try_cast(nullif(trim(`{name}`), '') as {kind})").alias(name) for name, kind in (x.split() for x in LABELS.split(", "))])
+    columns = [x.split() for x in LABELS.split(", ")]
+    if missing := [name for name, _ in columns if name not in text.columns]:
+        raise ValueError(f"the label table lacks {', '.join(missing)}")
+    value = {name: F.expr(f"try_cast(nullif(trim(`{name}`), '') as {kind})") for name, kind in columns}
+    lost = F.array_compact(F.array(*[F.when((F.length(F.trim(F.col(name))) > 0) & v.isNull(), F.lit(name)) for name, v in value.items()]))
+    told = text.withColumn("unreadable", lost)
+    return told.where(F.size("unreadable") == 0).select(*[v.alias(name) for name, v in value.items()]), told.where(F.size("unreadable") > 0)
 
 
 def runtime_videos(runs: DataFrame, videos: DataFrame, config: dict) -> DataFrame:
@@ -126,10 +130,11 @@ def timing_errors(rows: DataFrame) -> DataFrame:
     return failed_rules(told, rules).drop("__n")
 
 
-def append_timings(rows: DataFrame, path: str) -> DataFrame:
-    """Append the rows that break no rule; returns the others."""
+def append_timings(rows: DataFrame, path: str, batch: str) -> DataFrame:
+    """Add the rows that break no rule as the batch of that name, once however often it is run; returns the
+    others."""
     checked = timing_errors(rows)
-    checked.where(F.size("errors") == 0).drop("errors").write.mode("append").option("header", True).csv(path)
+    add_once(checked.where(F.size("errors") == 0).drop("errors"), path, batch)
     return checked.where(F.size("errors") > 0)
 
 
@@ -145,16 +150,11 @@ def case_metadata(cases: DataFrame, phrases: DataFrame, diagnostics: DataFrame,
     return rows.select("case_id", *[F.coalesce(f"m.{c}", F.lit("UNKNOWN")).alias(c) for c in ("category", "visibility", "occlusion")], (F.col("width") < small).alias("small")).join(diagnostics, "case_id", "left")
 
 
-def reason_counts(traces: DataFrame) -> DataFrame:
-    """How often each reason occurs in each run's trace: ``run, reason, n`` (null reasons apart)."""
-    return traces.groupBy("run", "reason").agg(F.count("*").alias("n"))
-
-
 def write_report(traces: DataFrame, path: str) -> DataFrame:
-    """Write traces as JSON and CSV under ``path``, and their reasons by run beside them."""
-    traces.write.mode("overwrite").json(f"{path}/trace_json")
-    counts = reason_counts(traces)
-    counts.write.mode("overwrite").option("header", True).csv(f"{path}/reasons_csv")
+    """Publish traces and their reasons by run under ``path``; a failed write leaves those before in force."""
+    publish(traces, f"{path}/trace", "json")
+    counts = traces.groupBy("run", "reason").agg(F.count("*").alias("n"))
+    publish(counts, f"{path}/reasons", "json")
     return counts
 
 
