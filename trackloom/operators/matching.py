@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
+from trackloom.operators.diagnostics import label_compatible
 from trackloom.operators.intervals import interval_join
 from trackloom.plans.components import components
 
@@ -33,44 +37,74 @@ def eligible(predictions: DataFrame, labels: DataFrame, keys: list[str], least_i
     return pairs.where((F.col("tiou") >= least_iou) | near).withColumn("weight", weight).drop("a", "b", "c", "d")
 
 
-def assign(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a one-to-one assignment over the finite entries: as many as possible,
-    then the greatest sum. Shortest augmenting paths with dual prices."""
-    rows, columns = weight.shape
-    n = rows + columns  # a place to stay alone for every row and column
-    finite = np.isfinite(weight)
-    big = 2.0 * (np.abs(weight[finite]).sum() + 1.0)
-    cost = np.zeros((n, n))
-    cost[:rows, :columns] = np.where(finite, -big - np.where(finite, weight, 0.0), big * n)
-    price_row, price_column, owner = np.zeros(n), np.zeros(n + 1), np.full(n + 1, -1)
-    for r in range(n):
-        owner[n], at = r, n
-        least, came, seen = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, dtype=bool)
-        while owner[at] >= 0:
-            seen[at] = True
-            i = owner[at]
-            step = cost[i] - price_row[i] - price_column[:n] + 0.0
-            better = ~seen[:n] & (step < least)
-            least[better], came[better] = step[better], at
-            open_ = np.where(seen[:n], np.inf, least)
-            nxt = int(open_.argmin())
-            delta = open_[nxt]
-            used = np.flatnonzero(seen)
-            price_row[owner[used]] += delta
-            price_column[used] -= delta
-            least[~seen[:n]] -= delta
-            at = nxt
-        while at != n:
-            owner[at] = owner[came[at]]
-            at = came[at]
-    return [(int(owner[c]), c) for c in range(columns) if owner[c] < rows and finite[owner[c], c]]
-
-
-def one_to_one(pairs: DataFrame, left: str = "prediction", right: str = "label", weight: str = "weight") -> DataFrame:
-    """A one-to-one subset of ``pairs``: most pairs first, then greatest total weight.
-
-    Connected components of the pairs are independent, so each is solved alone; a pair that is its
-    own component needs no solving. Only components with a choice reach Python.
+def assign(left: np.ndarray, right: np.ndarray, weight: np.ndarray, most: bool = True) -> np.ndarray:
+    """Which edges of a bipartite graph form the best one-to-one assignment: as many as possible, then the
+    greatest sum of weights; without ``most`` the greatest sum alone.
+
+    ``left``, ``right``: vertices from 0, ``weight`` of each edge. Left vertices join one at a time by the
+    cheapest path that alternates between open and chosen edges and ends at a free right vertex, or at a left
+    one that stays alone; prices keep all costs at least 0, so a heap finds it and stops there. Memory
+    is that of the edges."""
+    n, m = (int(x.max()) + 1 if len(x) else 0 for x in (left, right))
+    best = np.lexsort((-weight, right, left))  # of repeated edges the heaviest
+    best = best[np.concatenate([[True], (np.diff(left[best]) != 0) | (np.diff(right[best]) != 0)])] if len(best) else best
+    if not most:
+        best = best[weight[best] > 0]
+    first = np.searchsorted(left[best], np.arange(n + 1)).tolist()
+    bonus = 2.0 * (float(np.abs(weight).sum()) + 1.0) if most else 0.0
+    cost, to = (-(bonus + weight[best])).tolist(), right[best].tolist()
+    start = left[best].tolist()
+    price_left = [min([0.0, *cost[first[i] : first[i + 1]]]) for i in range(n)]  # a left vertex alone costs 0
+    price_right, chosen, held = [0.0] * m, [-1] * m, [-1] * n  # a right vertex's edge, a left one's right vertex
+    for vertex in range(n):
+        least, came, settled, heap = {}, {}, [], []
+        end, alone, length, i, at = -1, -1, float("inf"), vertex, 0.0
+        while True:
+            if at - price_left[i] < length:
+                length, end, alone = at - price_left[i], -1, i
+            for e in range(first[i], first[i + 1]):
+                far = at + max(0.0, cost[e] - price_left[i] - price_right[to[e]])
+                if far < length and far < least.get(to[e], float("inf")):
+                    least[to[e]], came[to[e]] = far, e
+                    heapq.heappush(heap, (far, to[e]))
+            while heap and heap[0][0] > least[heap[0][1]]:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= length:
+                break
+            at, j = heapq.heappop(heap)
+            if chosen[j] < 0:
+                length, end = at, j
+                break
+            settled.append((j, at))
+            least[j] = -1.0  # done
+            i = start[chosen[j]]
+        price_left[vertex] += length
+        for j, far in settled:
+            price_right[j] -= length - far
+            price_left[start[chosen[j]]] += length - far
+        if end < 0:  # ``alone`` gives up what it held
+            end, held[alone] = held[alone], -1
+        while end >= 0:
+            chosen[end] = came[end]
+            i = start[came[end]]
+            held[i], end = end, held[i]
+    out = np.zeros(len(weight), dtype=bool)
+    out[best[[e for e in chosen if e >= 0]]] = True
+    return out
+
+
+def _solved(found: pd.DataFrame, left: str, right: str, weight: str, most: bool) -> np.ndarray:
+    number = lambda c: pd.factorize(found[c], sort=True)[0]
+    return assign(number(left), number(right), found[weight].to_numpy(np.float64), most)
+
+
+def one_to_one(pairs: DataFrame, left: str = "prediction", right: str = "label", weight: str = "weight", most: bool = True) -> DataFrame:
+    """A one-to-one subset of ``pairs``: most pairs first, then greatest total weight; without ``most`` the
+    greatest total weight alone.
+
+    Connected components of the pairs are independent, so each is solved alone, in memory of the order of
+    its pairs; a pair that is its own component needs no solving. Only components with a choice reach
+    Python. Ids of one side are of one type and not null; of repeated pairs one is chosen.
     """
     ids = pairs.select(F.concat(F.lit("p"), F.col(left).cast("string")).alias("u"), F.concat(F.lit("q"), F.col(right).cast("string")).alias("v"))
     labels = components(ids).withColumnRenamed("id", "u")
@@ -79,19 +113,44 @@ def one_to_one(pairs: DataFrame, left: str = "prediction", right: str = "label",
     schema = pairs.schema
 
     def solve(found: pd.DataFrame) -> pd.DataFrame:
-        p, q = sorted(found[left].unique()), sorted(found[right].unique())
-        table = np.full((len(p), len(q)), -np.inf)
-        i, j = {x: k for k, x in enumerate(p)}, {x: k for k, x in enumerate(q)}
-        for a, b, w in zip(found[left], found[right], found[weight], strict=True):
-            table[i[a], j[b]] = w
-        chosen = {(p[a], q[b]) for a, b in assign(table)}
-        keep = [x in chosen for x in zip(found[left], found[right], strict=True)]
-        return found.loc[keep, [f.name for f in schema]]
-
-    alone = placed.where("__n = 1").select(*pairs.columns)
+        return found.loc[_solved(found, left, right, weight, most), [f.name for f in schema]]
+
+    alone = placed.where("__n = 1")
+    alone = (alone if most else alone.where(F.col(weight) > 0)).select(*pairs.columns)
     return alone.unionByName(placed.where("__n > 1").groupBy("component").applyInPandas(solve, schema))
 
 
+def match_boxes(left: DataFrame, right: DataFrame, keys: list[str], least_iou: float, compatible: Callable[[Column, Column], Column] | None = None, kind: str = "area_zero") -> DataFrame:
+    """One-to-one matches of the boxes of each frame: ``keys, left, right, iou``, by the greatest sum of
+    ``1 + iou`` over pairs of at least ``least_iou`` whose classes agree.
+
+    ``left(keys, left, class, x1..y2)``, ``right(keys, right, class, x1..y2)``; ``keys`` name a frame;
+    ``compatible`` tells from both classes whether a pair may match (``None``: any). Boxes that are null
+    match nothing. A frame's pairs are solved in one task, frames apart from each other."""
+    box = ("x1", "y1", "x2", "y2")
+    other = right.select(*keys, "right", F.col("class").alias("__class"), *[F.col(c).alias(f"r_{c}") for c in box])
+    pairs = left.select(*keys, "left", "class", *box).join(other, keys)
+    if compatible is not None:
+        pairs = pairs.where(compatible(F.col("class"), F.col("__class")))
+    pairs = pairs.withColumn("iou", G.iou(G.box(), G.box("r_"), kind)).where(F.col("iou") >= least_iou).select(*keys, "left", "right", "iou")
+
+    def solve(found: pd.DataFrame) -> pd.DataFrame:
+        return found[_solved(found.assign(__weight=1.0 + found.iou), "left", "right", "__weight", False)]
+
+    return pairs.groupBy(*keys).applyInPandas(solve, pairs.schema)
+
+
+def match_annotations(annotations: DataFrame, detections: DataFrame, keys: list[str], least_iou: float = 0.5) -> DataFrame:
+    """Reviewed boxes against detections, frame by frame: those that are visible and have a box, classes by
+    ``label_compatible``. ``annotations(keys, left, class, visibility, x1..y2)``."""
+    return match_boxes(annotations.where("visibility <> 'not_visible' and x1 is not null"), detections, keys, least_iou, label_compatible)
+
+
+def match_references(detections: DataFrame, references: DataFrame, keys: list[str], least_iou: float = 0.3, compatible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Detections against reference actors, frame by frame, so that none claims two actors."""
+    return match_boxes(detections, references, keys, least_iou, compatible)
+
+
 def greedy(hits: DataFrame, keys: list[str], order: list[str], candidates: str = "candidates") -> DataFrame:
     """Each hit, in rank order inside its group, takes the first label of its array ``candidates``
     that no earlier hit took; ``label`` is null without one."""

@@ -31,6 +31,27 @@ def one_to_one_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.one_to_one(pairs).select("prediction", "label", F.round("weight", 6).alias("weight"))
 
 
+def one_to_one_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and weight of the one-to-one matches of each customer and status of whom at most four labels
+    may match: several assignments may be as good, their sums are not."""
+    pairs = M.eligible(*_sides(spark, sf_dir), ["o_custkey", "o_orderstatus"], 0.1, 2.0)
+    few = pairs.groupBy("o_custkey", "o_orderstatus").agg(F.count_distinct("label").alias("n")).where("n <= 4").drop("n")
+    found = M.one_to_one(pairs).join(few, ["o_custkey", "o_orderstatus"])
+    return found.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("pairs"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+def frame_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as boxes of their order's frame, odd lines against even ones: the sum of 1 + IoU of each
+    frame's best matches."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y = F.col("l_partkey") % 20, F.col("l_suppkey") % 10
+    boxes = li.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("k"), F.when(F.col("l_returnflag") == "N", "person").otherwise("car").alias("class"),
+                      x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 15).cast("double").alias("x2"), (y + 12).cast("double").alias("y2")).dropDuplicates(["frame", "k"])
+    same = lambda a, b: a == b
+    found = M.match_references(boxes.where("k % 2 = 1").withColumnRenamed("k", "left"), boxes.where("k % 2 = 0").withColumnRenamed("k", "right"), ["frame"], 0.3, same)
+    return found.groupBy("frame").agg(F.round(F.sum(1 + F.col("iou")), 6).alias("weight"))
+
+
 def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics where a prediction matches the label of the next order key and equal status."""
     p, t = _sides(spark, sf_dir)
@@ -127,7 +148,7 @@ def manipulations_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.without_overlaps(found.drop("run"), ["video_id", "person", "kind"]).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
-QUERIES = {"eligible_pairs": eligible_pairs, "one_to_one_matches": one_to_one_matches, "match_metrics": match_metrics, "nearest_misses": nearest_misses, "retrieval_metrics": retrieval_metrics,
+QUERIES = {"eligible_pairs": eligible_pairs, "one_to_one_matches": one_to_one_matches, "one_to_one_totals": one_to_one_totals, "frame_matches": frame_matches, "match_metrics": match_metrics, "nearest_misses": nearest_misses, "retrieval_metrics": retrieval_metrics,
            "paired_reduction": paired_reduction, "threshold_sweep": threshold_sweep, "greedy_labels": greedy_labels, "suppressed_boxes": suppressed_boxes, "object_tracks": object_tracks,
            "gap_candidates": gap_candidates, "merged_tracks": merged_tracks, "manipulations": manipulations, "manipulations_apart": manipulations_apart}
 
@@ -173,6 +194,22 @@ ORACLES = {
         select x as track, min(y) as chain from reach group by 1""",
     "eligible_pairs": f"""with {_P} select p.o_custkey, p.o_orderstatus, p.o_orderkey as prediction, l.o_orderkey as label, round({_TIOU}, 4) as tiou, round(abs(p.start - l.start), 6) as start_error, round(abs(p."end" - l."end"), 6) as end_error
         from p join l on p.o_custkey = l.o_custkey and p.o_orderstatus = l.o_orderstatus where {_TIOU} >= 0.1 or (abs(p.start - l.start) <= 2 and abs(p."end" - l."end") <= 2)""",
+    "one_to_one_totals": f"""with recursive {_P}, e as (select p.o_custkey, p.o_orderstatus, p.o_orderkey as prediction, l.o_orderkey as label, {_TIOU} + 0.001::double / (1 + abs(p.start - l.start) + abs(p."end" - l."end")) as weight
+          from p join l on p.o_custkey = l.o_custkey and p.o_orderstatus = l.o_orderstatus where {_TIOU} >= 0.1 or (abs(p.start - l.start) <= 2 and abs(p."end" - l."end") <= 2)),
+        b as (select o_custkey, o_orderstatus, count(distinct label) as n from e group by all having n <= 4),
+        o as (select e.*, dense_rank() over (partition by o_custkey, o_orderstatus order by label) as k, n from e join b using (o_custkey, o_orderstatus)),
+        s as (select o_custkey, o_orderstatus, n, 1 as k, []::bigint[] as used, 0::bigint as pairs, 0::double as weight from b
+              union all select s.o_custkey, s.o_orderstatus, s.n, s.k + 1, case when c.prediction is null then used else list_append(used, c.prediction) end, pairs + (c.prediction is not null)::bigint, s.weight + coalesce(c.weight, 0)
+              from s join (select o_custkey, o_orderstatus, k, prediction, weight from o union all select distinct o_custkey, o_orderstatus, k, null::bigint, 0::double from o) c
+                on c.o_custkey = s.o_custkey and c.o_orderstatus = s.o_orderstatus and c.k = s.k where c.prediction is null or not list_contains(used, c.prediction))
+        select o_custkey, o_orderstatus, pairs, round(weight, 6) as weight from s where k = n + 1 qualify row_number() over (partition by o_custkey, o_orderstatus order by pairs desc, s.weight desc) = 1""",
+    "frame_matches": """with recursive bx as (select l_orderkey as frame, l_linenumber as k, any_value(l_returnflag = 'N') as cl, any_value(l_partkey % 20)::double as x, any_value(l_suppkey % 10)::double as y from lineitem group by all),
+        i as (select p.frame, p.k as a, q.k as b, greatest(0, 15 - abs(p.x - q.x)) * greatest(0, 12 - abs(p.y - q.y)) as shared from bx p join bx q on p.frame = q.frame and p.k % 2 = 1 and q.k % 2 = 0 and p.cl = q.cl),
+        e as (select frame, a, b, 1 + shared / (360 - shared) as w from i where shared / (360 - shared) >= 0.3),
+        s as (select distinct frame, 1 as k, []::int[] as used, 0::double as weight from e
+              union all select s.frame, s.k + 2, case when c.b is null then used else list_append(used, c.b::int) end, s.weight + c.w
+              from s join (select frame, a, b, w from e union all select distinct frame, unnest([1, 3, 5, 7]), null, 0 from e) c on c.frame = s.frame and c.a = s.k where c.b is null or not list_contains(used, c.b::int))
+        select frame, round(max(weight), 6) as weight from s where k = 9 group by 1""",
     "match_metrics": f"""with {_P}, mt as (select p.o_orderstatus, p.o_custkey % 2 as half, {_TIOU} as tiou, abs(p.start - l.start) as se, abs(p."end" - l."end") as ee from p join l on p.o_orderkey + 1 = l.o_orderkey and p.o_orderstatus = l.o_orderstatus),
         r as (select o_orderstatus, o_custkey % 2 as half, 1 as p, 0 as l, 0 as m, null::double as tiou, null::double as se, null::double as ee from p union all select o_orderstatus, o_custkey % 2, 0, 1, 0, null, null, null from l union all select o_orderstatus, half, 0, 0, 1, tiou, se, ee from mt)
         select o_orderstatus, half, sum(m)::bigint as tp, (sum(p) - sum(m))::bigint as fp, (sum(l) - sum(m))::bigint as fn, round(sum(m) / nullif(sum(p), 0), 6) as precision, round(sum(m) / nullif(sum(l), 0), 6) as recall,
