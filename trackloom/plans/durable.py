@@ -25,13 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _MADE.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+#: Files of a durable table for each core of the cluster, at most.
+FILES_A_CORE = 4
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and read it from there. Unlike a local
-    checkpoint, the rows outlive a lost executor."""
+    checkpoint, the rows outlive a lost executor. A file for each of many small partitions would cost
+    more to make than to fill, so a task takes several in turn where they outnumber ``FILES_A_CORE``."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return df.coalesce(FILES_A_CORE * sc.defaultParallelism).checkpoint(eager=True)
 
 
 #: Rows that a task takes at least when a small durable table is read.
