@@ -26,6 +26,11 @@ SCOPE = ("camera", "category", "entity_id")
 LEAVING = ("exited", "disappeared")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key``, so that work on whole texts is even and later groups by key stay in place."""
+    return df.repartition(max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def terms(texts: DataFrame, key: str) -> DataFrame:
     """``(key, term, tf)`` of ``texts(key, text)``: words of two or more characters and pairs of
     neighbours, each known by a 64-bit hash, ``tf = 1 + ln(count)``."""
@@ -36,37 +41,74 @@ def terms(texts: DataFrame, key: str) -> DataFrame:
     return every.groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
 
 
+def _log_df(df: Column) -> Column:
+    return F.log(1.0 + df)
+
+
+def _norms(own: DataFrame, total: int, members: DataFrame | None, sizes: DataFrame, n_docs: int) -> DataFrame:
+    """``scope, doc_id, base``: squared norms of the documents of each scope.
+
+    With ``a = ln(2 + n) + 1`` a term weighs ``tf * (a - ln(1 + df))``, so a norm follows from three sums
+    over a document's terms: of ``tf^2``, and of it times ``ln(1 + df)`` once and twice. These are taken
+    once for all documents. A scope corrects the last two by the terms whose df differs in it. No term
+    of a single document does, so only the others' postings are written again, once for all scopes."""
+    common, _ = counted(own.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2"))
+    w, l = F.pow("tf", 2), _log_df(F.coalesce("df", F.lit(1)))
+    sums, _ = counted(attach(own, common, ["term"], "df", total, "left").groupBy("doc_id").agg(F.sum(w).alias("s0"), F.sum(w * l).alias("s1"), F.sum(w * l * l).alias("s2")))
+    a = F.log(2.0 + F.col("n")) + 1
+    base = F.pow(a, 2) * F.col("s0") - 2 * a * F.col("s1") + F.col("s2")
+    if members is None:
+        return sums.crossJoin(F.broadcast(sizes)).select("scope", "doc_id", base.alias("base"))  # one row of sizes
+    parts = sizes.where(F.col("n") < n_docs).select("scope")
+    repeated, n_repeated = counted(attach(own, common, ["term"], "df", total))
+    inside, n_inside = counted(members.join(parts, "scope", "left_semi"))
+    if n_inside:
+        held = repeated.join(inside, "doc_id")
+        own_df, _ = counted(held.groupBy("scope", "term").agg(F.count("*").alias("own"), F.max("df").alias("all")).where("own < all").drop("all"))
+        move = attach(held, own_df, ["scope", "term"], "own", n_repeated)
+        here, there = _log_df(F.col("own")), _log_df(F.col("df"))
+        moved = move.groupBy("scope", "doc_id").agg(F.sum(w * (there - here)).alias("d1"), F.sum(w * (there * there - here * here)).alias("d2"))
+    else:
+        moved = inside.withColumns({"d1": F.lit(0.0), "d2": F.lit(0.0)})
+    every = members.join(sums, "doc_id").join(sizes, "scope").join(moved, ["scope", "doc_id"], "left")
+    less = lambda s, d: F.col(s) - F.coalesce(d, F.lit(0.0))
+    return every.select("scope", "doc_id", (F.pow(a, 2) * F.col("s0") - 2 * a * less("s1", "d1") + less("s2", "d2")).alias("base"))
+
+
 def tfidf(docs: DataFrame, queries: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Cosine of every query with every document of its scope that shares a term: ``query_id,
     doc_id, score``.
 
     The model of a query is fitted on the documents of its scope plus the query: ``idf = ln((2 + N)
-    / (1 + df)) + 1`` with ``df`` one higher for the query's terms. A document's norm is computed
-    once for each scope; a query changes it only by their shared terms, so nothing is computed for
-    pairs that share none. Terms are counted once; a term that most documents hold is spread.
+    / (1 + df)) + 1`` with ``df`` one higher for the query's terms. A document's norm in a scope comes
+    from that in all documents and what differs (``_norms``); a query changes it only by their shared
+    terms, so nothing is computed for pairs that share none. Terms are counted once; of all postings
+    only those of the queries' terms meet queries.
 
     ``docs(doc_id, text)``, ``queries(query_id, text[, scope])``, ``members(scope, doc_id)``: the
-    documents of each scope, which may overlap; without it all are of one.
+    documents of each scope, which may overlap; without it all are of one. Documents dealt by their id
+    (``spread``) are counted without a shuffle of their terms.
     """
     own, total = counted(terms(docs, "doc_id"))
-    asked = terms(queries, "query_id").withColumnRenamed("tf", "qf")
+    asked, _ = counted(terms(queries, "query_id").withColumnRenamed("tf", "qf"))
+    n_docs = docs.count()
+    few, n_few = counted(own.join(asked.select("term").distinct(), "term"))  # of the queries' terms only
     if members is None:
-        own, asked = own.withColumn("scope", F.lit(0)), asked.withColumn("scope", F.lit(0))
-        sizes = docs.agg(F.count("*").alias("n")).withColumn("scope", F.lit(0))
+        few, asked = few.withColumn("scope", F.lit(0)), asked.withColumn("scope", F.lit(0))
+        sizes = docs.sparkSession.createDataFrame([(0, n_docs)], "scope int, n long")
     else:
-        own, total = counted(own.join(members, "doc_id"))
+        few = few.join(members, "doc_id")
         asked = asked.join(queries.select("query_id", "scope"), "query_id")
-        sizes = members.groupBy("scope").agg(F.count("*").alias("n"))
+        sizes, _ = counted(members.groupBy("scope").agg(F.count("*").alias("n")))
     key = ["scope", "term"]
-    df, _ = counted(own.groupBy(*key).agg(F.count("*").alias("df")))
+    df, _ = counted(few.groupBy(*key).agg(F.count("*").alias("df")))
+    base = _norms(own, total, members, sizes, n_docs)
     idf = lambda d: F.log((2.0 + F.col("n")) / (1.0 + d)) + 1
-    held = attach(own, df.join(sizes, "scope"), key, "df", total).withColumn("w2", F.pow(F.col("tf") * idf(F.col("df")), 2))
-    base = held.groupBy("scope", "doc_id").agg(F.sum("w2").alias("base"))
-    asked = asked.join(sizes, "scope").join(df, key, "left").withColumn("idf1", idf(F.coalesce("df", F.lit(0)) + 1))
+    asked = asked.join(sizes, "scope").join(df, key, "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("idf1", idf(F.col("df") + 1))
     qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf1"), 2))).alias("qnorm"))
-    few = own.join(asked.select(*key, F.coalesce("df", F.lit(0)).alias("df"), "n").distinct(), key)  # of the queries' terms only
-    shared = few.withColumn("w2", F.pow(F.col("tf") * idf(F.col("df")), 2)).join(asked.select("query_id", *key, "qf", "idf1"), key).groupBy("query_id", "doc_id", "scope").agg(
-        F.sum(F.col("tf") * F.col("qf") * F.pow("idf1", 2)).alias("dot"), F.sum(F.pow(F.col("tf") * F.col("idf1"), 2) - F.col("w2")).alias("more"))
+    more = F.pow(F.col("tf") * F.col("idf1"), 2) - F.pow(F.col("tf") * idf(F.col("df")), 2)
+    shared = few.join(asked.select("query_id", *key, "qf", "idf1", "df", "n"), key).groupBy("query_id", "doc_id", "scope").agg(
+        F.sum(F.col("tf") * F.col("qf") * F.pow("idf1", 2)).alias("dot"), F.sum(more).alias("more"))
     scored = shared.join(base, ["scope", "doc_id"]).join(qnorm, "query_id")
     return scored.select("query_id", "doc_id", (F.col("dot") / F.col("qnorm") / F.sqrt(F.col("base") + F.col("more"))).alias("score"))
 
@@ -151,7 +193,7 @@ def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float
     queries, members = scopes(events, queries.where("unsupported is null"))
     members, _ = counted(members)
     ready = lambda df, key: df.select(F.col(key), T.normalise(F.coalesce("text", F.lit(""))).alias("normal")).select(F.col(key), T.with_event_names(F.col("normal")).alias("text"))
-    texts = ready(events, "event_id").withColumnRenamed("event_id", "doc_id")
+    texts = ready(spread(events.select("event_id", "text"), "event_id"), "event_id").withColumnRenamed("event_id", "doc_id")
     text, _ = counted(tfidf(texts, ready(queries, "query_id").join(queries.select("query_id", "scope"), "query_id"), members.withColumnRenamed("event_id", "doc_id")).withColumnRenamed("doc_id", "event_id"))
     asked = lambda *cs: F.coalesce(*[F.col(c).cast("string") for c in cs]).isNotNull()
     structured = asked("entity", "event", "colour", "location", "camera", "entity_id", "reference")
@@ -174,9 +216,13 @@ def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float
     told = F.array_compact(F.array(
         F.concat(F.lit("text cosine: "), F.format_number("semantic", 3)), F.concat(F.lit("kind satisfies "), F.col("event")), F.concat(F.lit("recorded colour: "), F.col("colour")),
         F.when(asked("location"), F.concat(F.lit("location: "), F.col("place"))), F.concat(F.lit("relation held to "), F.array_join(F.col("temporal_evidence").cast("array<string>"), ", "))))
-    scored = found.select("query_id", "event_id", "start_s", F.round(weighted_mean(signals, weights) + 1e-9, 4).alias("score"), F.struct(*[v.alias(k) for k, v in signals.items()]).alias("signals"), told.alias("explanations"), "temporal_evidence")
-    scored = scored.withColumn("total", F.count("*").over(W.partitionBy("query_id")))
-    return top(scored, "query_id", limit, F.desc("score"), F.col("start_s"), F.col("event_id")).select("query_id", "event_id", "score", "rank", "total", "signals", "explanations", "temporal_evidence")
+    scored = found.select(
+        "query_id", "event_id", "start_s", "place", "colour", "event", "location", "semantic", "temporal_evidence",
+        F.round(weighted_mean(signals, weights) + 1e-9, 4).alias("score"), F.struct(*[v.alias(k) for k, v in signals.items()]).alias("signals"))
+    hits, _ = counted(scored)
+    first = top(hits, "query_id", limit, F.desc("score"), F.col("start_s"), F.col("event_id"))
+    totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
+    return first.join(totals, "query_id").select("query_id", "event_id", "score", "rank", "total", "signals", told.alias("explanations"), "temporal_evidence")
 
 
 def coverage(videos: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:
