@@ -121,23 +121,25 @@ def merged(intervals: DataFrame, keys: list[str], start: str = "start", end: str
     return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def covers(recorded: DataFrame, asked: DataFrame, group: list[str], width: float = 30.0) -> DataFrame:
+def covers(recorded: DataFrame, asked: DataFrame, group: list[str], width: float = 30.0, keys: list[str] = ()) -> DataFrame:
     """For each ``asked(id, after, before)``: whether one group's united intervals cover it. Nothing
-    covers a reversed interval; an empty one is covered as soon as any recording exists.
+    covers a reversed interval; an empty one is covered as soon as any recording exists. With ``keys``,
+    columns of both, only recordings of equal keys count.
 
     A range is covered if of the united intervals that start up to ``after`` the farthest end reaches
     ``before``. That running maximum is taken inside buckets of ``width`` and over the buckets' maxima.
     """
-    united = merged(recorded, group)
+    keys = list(keys)
+    united = merged(recorded, [*keys, *group])
     bucket = F.floor(F.col("t") / width)
-    rows = united.select(F.col("start").alias("t"), F.lit(0).alias("__side"), F.col("end").alias("__end"), F.lit(None).cast(asked.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("before")).unionByName(
-        asked.where("before > after").select(F.col("after").cast("double").alias("t"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__end"), "id", F.col("before").cast("double").alias("before")))
+    rows = united.select(*keys, F.col("start").alias("t"), F.lit(0).alias("__side"), F.col("end").alias("__end"), F.lit(None).cast(asked.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("before")).unionByName(
+        asked.where("before > after").select(*keys, F.col("after").cast("double").alias("t"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__end"), "id", F.col("before").cast("double").alias("before")))
     rows = rows.withColumn("__b", bucket)
-    tops = rows.groupBy("__b").agg(F.max("__end").alias("__top"))  # as many rows as there are buckets of time
-    earlier = tops.select("__b", F.max("__top").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    inside = F.max("__end").over(W.partitionBy("__b").orderBy("t", "__side").rowsBetween(W.unboundedPreceding, 0))
-    reach = rows.withColumn("__in", inside).where("__side = 1").join(earlier, "__b").withColumn("__reach", F.greatest("__in", "__before"))
+    tops = rows.groupBy(*keys, "__b").agg(F.max("__end").alias("__top"))  # as many rows as there are buckets of time
+    earlier = tops.select(*keys, "__b", F.max("__top").over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    inside = F.max("__end").over(W.partitionBy(*keys, "__b").orderBy("t", "__side").rowsBetween(W.unboundedPreceding, 0))
+    reach = rows.withColumn("__in", inside).where("__side = 1").join(earlier, [*keys, "__b"]).withColumn("__reach", F.greatest("__in", "__before"))
     hit = reach.select("id", F.coalesce(F.col("__reach") >= F.col("before"), F.lit(False)).alias("__hit"))
-    some = recorded.limit(1).select(F.lit(True).alias("__any"))
-    out = asked.join(hit, "id", "left").join(some, F.lit(True), "left")
+    some = recorded.select(*keys, F.lit(True).alias("__any")).distinct() if keys else recorded.limit(1).select(F.lit(True).alias("__any"))
+    out = asked.join(hit, "id", "left").join(some, keys or F.lit(True), "left")
     return out.select("id", F.when(F.col("before") == F.col("after"), F.coalesce("__any", F.lit(False))).otherwise(F.coalesce("__hit", F.lit(False))).alias("covered"))

@@ -15,6 +15,7 @@ from trackloom.functions import geometry as G
 from trackloom.operators.diagnostics import label_compatible
 from trackloom.operators.intervals import interval_join
 from trackloom.plans.components import components
+from trackloom.plans.durable import counted
 
 
 def eligible(predictions: DataFrame, labels: DataFrame, keys: list[str], least_iou: float = 0.1, tolerance: float = 2.0, width: float = 60.0) -> DataFrame:
@@ -206,12 +207,45 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
     return per_query.agg(*[F.avg(c).alias(c) for c in ("p_at_1", "p_at_5", "r_at_5", "reciprocal_rank", "ap_at_5")], F.avg(F.col("false_positive").cast("double")).alias("false_positive_rate"))
 
 
+#: By how much the search for a nearest row widens at a time, and how often before it spans everything.
+WIDER, ROUNDS = 8, 3
+
+
 def nearest_miss(unmatched: DataFrame, others: DataFrame, keys: list[str], by_end: bool = True) -> DataFrame:
     """For each unmatched row the other side's row with the least start (plus end) error; equal errors
-    take the lowest id. ``id, start, end`` on both sides."""
-    o = others.select(*keys, F.col("id").alias("other"), F.col("start").alias("c"), F.col("end").alias("d"))
-    error = F.abs(F.col("start") - F.col("c")) + (F.abs(F.col("end") - F.col("d")) if by_end else F.lit(0.0))
-    return unmatched.join(o, keys, "left").groupBy(*keys, "id").agg(F.min(F.when(F.col("other").isNotNull(), F.struct(error.alias("error"), "other"))).alias("m")).select(*keys, "id", "m.error", "m.other")
+    take the lowest id. ``id, start, end`` on both sides; ``error`` and ``other`` are null where a key has no
+    other row or a row no times.
+
+    The sum of both errors is the greater of the differences in (start + end) and in (start - end), so it is
+    at most r only between neighbouring cells of a grid of width r. Rows whose best lies within r are
+    done; the rest try a wider grid. Rows at equal times count once, so no round makes all pairs of a key."""
+    at = [F.col("start") + F.col("end"), F.col("start") - F.col("end")] if by_end else [F.col("start")]
+    axes = [f"__x{k}" for k in range(len(at))]
+    placed = lambda df, *rest: df.select(*keys, *rest, *[x.cast("double").alias(a) for x, a in zip(at, axes, strict=True)]).where(" and ".join(f"{a} is not null" for a in axes))
+    points, _ = counted(placed(others, "id").groupBy(*keys, *axes).agg(F.min("id").alias("other")))
+    left, n_left = counted(placed(unmatched, "id"))
+    ends = points.select(*axes).union(left.select(*axes)).agg(*[f(a) for a in axes for f in (F.min, F.max)]).first()
+    extent = max([1e-9, *(high - low for low, high in zip(ends[::2], ends[1::2], strict=True) if low is not None)])
+    cells = [f"__c{k}" for k in range(len(axes))]
+    parts = []
+    for k in range(ROUNDS, -1, -1):
+        width = extent * (1 + 1e-9) / WIDER**k
+        cell = lambda a: F.floor(F.col(a) / width).cast("long")  # noqa: E731, B023
+        near = left
+        for a, c in zip(axes, cells, strict=True):
+            near = near.withColumn(c, F.explode(F.sequence(cell(a) - 1, cell(a) + 1)))
+        grid = points.select(*keys, "other", *[F.col(a).alias(f"{a}o") for a in axes], *[cell(a).alias(c) for a, c in zip(axes, cells, strict=True)])
+        error = F.greatest(*[F.abs(F.col(a) - F.col(f"{a}o")) for a in axes], F.lit(0.0))
+        best = near.join(grid, [*keys, *cells]).groupBy(*keys, "id").agg(F.min(F.struct(error.alias("error"), "other")).alias("m")).where(F.col("m.error") <= width)
+        done, _ = counted(best.select(*keys, "id", "m.error", "m.other"))
+        parts.append(done)
+        left, n_left = counted(left.join(done.select(*keys, "id"), [*keys, "id"], "left_anti"))
+        if not n_left:
+            break
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return unmatched.select(*keys, "id").join(found, [*keys, "id"], "left")
 
 
 def paired_reduction(rows: DataFrame, keys: list[str], mode: str, measures: list[str], manual: str = "manual", assisted: str = "assisted") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.functions import geometry as G
+
 from trackloom.operators.intervals import sums_before
 
 
@@ -82,6 +84,67 @@ def failure_stage(stages: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(label)) for c, label in stages.items()], F.lit("success"))
 
 
+def contact_limit(persons: Column, hands: Column, contacts: Column, persistent: Column, matched: Column, small: Column) -> Column:
+    """What limits a contact case: the first count that is 0, then no match, then a box under 40 pixels."""
+    return (
+        F.when(persons == 0, "A_PERSON_DETECTION_ABSENT").when(hands == 0, "B_HAND_VISIBILITY_LIMIT").when(contacts == 0, "C_CONTACT_VISIBILITY_LIMIT").when(persistent == 0, "D_TEMPORAL_SPARSITY_2FPS")
+        .when(~matched, "E_FALSE_PROGRESSION_REJECTED").when(small, "F_SUB_40PX_RESOLUTION_AMBIGUOUS").otherwise("G_SUCCESSFUL_CONTACT_DETECTION"))
+
+
+def manipulation_failure(matched: Column, detected: Column, portable: Column, best_class: Column, tracklet: Column, person: Column, inferred: Column, reason: Column) -> Column:
+    """The stage at which a manipulation case was lost; names the class or the rule that lost it."""
+    return (
+        F.when(matched, "MATCHED").when(~detected, "DETECTION_ABSENCE").when(~portable, F.concat(F.lit("UNSUPPORTED_CLASS_"), F.upper(best_class))).when(~tracklet, "TRACKLET_INSTABILITY")
+        .when(~person, "ASSOCIATION_FAILURE").when(~inferred, F.concat(F.lit("INTERACTION_RULE_"), F.upper(reason))).otherwise("TEMPORAL_WINDOW_MISMATCH"))
+
+
+def vehicle_failure(m: Column, starts: Column, candidates: Column, start: Column, end: Column, matched: Column) -> Column:
+    """Why a vehicle's start or stop was not found.
+
+    ``m``: struct of its track's ``sample_count, track_duration, longest_gap, track_start, track_end,
+    stationary_before, stationary_after, speed_before, speed_after, speed_event_first_half,
+    speed_event_second_half``; ``starts``: whether the label is a start, else a stop; ``candidates``: array of
+    ``struct<kind, start, end>``; ``start``, ``end`` of the label."""
+    f = m.getField
+    same = F.filter(candidates, lambda c: c.getField("kind") == F.when(starts, "started_moving").otherwise("stopped"))
+    near = F.exists(same, lambda c: (c.getField("start") <= end + 2) & (c.getField("end") >= start - 2))
+    fastest = lambda a, b: F.greatest(F.coalesce(f(a), F.lit(0.0)), F.coalesce(f(b), F.lit(0.0)))
+    start_lost = F.when((f("track_start") > start + 1) | (f("stationary_before") < 1), "NO_STATIONARY_PRECEDING_START").when(fastest("speed_event_second_half", "speed_after") < 0.28, "NO_SUSTAINED_MOVEMENT")
+    stop_lost = F.when((f("track_end") < end - 1) | (f("stationary_after") < 1), "NO_STATIONARY_AFTER_STOP").when(fastest("speed_before", "speed_event_first_half") < 0.28, "MOVEMENT_TOO_SLOW_OR_UNOBSERVED")
+    return (
+        F.when(matched, "MATCHED").when(near, "EVENT_BOUNDARY_OR_SPATIAL_MISMATCH").when(F.size(same) > 0, "TEMPORAL_WINDOW_MISMATCH")
+        .when((f("sample_count") < 7) | (f("track_duration") < 3), "INSUFFICIENT_TRACK_DURATION").when(f("longest_gap") > 1.5, "DETECTION_GAP")
+        .otherwise(F.coalesce(F.when(starts, start_lost).otherwise(stop_lost), F.lit("RULE_ABSTENTION"))))
+
+
+#: Columns of predictions that no public report shows.
+HEAVY = ("supporting_tracks", "spatial_scores")
+
+
+def public(predictions: DataFrame) -> DataFrame:
+    """Predictions without their heavy columns."""
+    return predictions.drop(*HEAVY)
+
+
+def review_records(predictions: DataFrame, labels: DataFrame, pairs: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Predictions and labels side by side for review: ``kind, prediction, ground_truth, reason, temporal_iou,
+    start_error, end_error, spatial_iou``, the first two as structs of the public columns.
+
+    ``predictions(prediction, start, end, ...)``, ``labels(label, start, end, ...)``; ``pairs(prediction,
+    label, kind, spatial)``: either id may be null (a false positive or a miss; errors are then null too);
+    ``reasons(kind, reason)``. For CSV see ``flat_report``, which names columns ``prediction_x`` and
+    ``ground_truth_x``."""
+    shown = public(predictions)
+    one = shown.select(F.col("prediction").alias("__p"), F.struct(*shown.columns).alias("prediction"))
+    two = labels.select(F.col("label").alias("__l"), F.struct(*labels.columns).alias("ground_truth"))
+    rows = pairs.withColumnsRenamed({"prediction": "__p", "label": "__l"}).join(one, "__p", "left").join(two, "__l", "left").join(reasons, "kind", "left")
+    a, b, c, d = (F.col(f"{s}.{e}") for s in ("prediction", "ground_truth") for e in ("start", "end"))
+    both = F.col("__p").isNotNull() & F.col("__l").isNotNull()
+    start_error, end_error = G.endpoint_errors(a, b, c, d)
+    return rows.select("kind", "prediction", "ground_truth", "reason", F.when(both, G.temporal_iou(a, b, c, d)).alias("temporal_iou"), F.when(both, start_error).alias("start_error"),
+                       F.when(both, end_error).alias("end_error"), F.when(both, F.coalesce("spatial", F.lit(0.0))).alias("spatial_iou"))
+
+
 def diagnosis(labels: DataFrame, by: str = "kind") -> DataFrame:
     """By type: labels, matches, recall, mean and median errors, mean coverage, and success among the
     covered. ``labels(kind, matched, start_error, end_error, coverage)``."""

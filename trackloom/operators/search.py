@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import tagging as T
 from trackloom.functions.geometry import weighted_mean
-from trackloom.operators.intervals import OPERATORS, holds
+from trackloom.operators.intervals import OPERATORS, covers, holds
 from trackloom.plans.durable import counted
 from trackloom.plans.hot_keys import attach
 
@@ -22,6 +22,10 @@ WEIGHTS = {"semantic": 0.35, "attributes": 0.20, "temporal": 0.15, "spatial": 0.
 FLOOR = 0.12
 #: Constraints that choose the events on which a query's text model is fitted.
 SCOPE = ("camera", "category", "entity_id")
+#: Terms of queries that are broadcast, at most; more meet postings by a shuffle.
+FEW_TERMS = 200_000
+#: Seconds of a time bucket in which events and the targets of a relation meet.
+BUCKET = 60.0
 #: Kinds of events that a relation refers to where a query names no event.
 LEAVING = ("exited", "disappeared")
 
@@ -90,9 +94,10 @@ def tfidf(docs: DataFrame, queries: DataFrame, members: DataFrame | None = None)
     (``spread``) are counted without a shuffle of their terms.
     """
     own, total = counted(terms(docs, "doc_id"))
-    asked, _ = counted(terms(queries, "query_id").withColumnRenamed("tf", "qf"))
+    asked, n_asked = counted(terms(queries, "query_id").withColumnRenamed("tf", "qf"))
+    small = (lambda x: F.broadcast(x)) if n_asked <= FEW_TERMS else (lambda x: x)
     n_docs = docs.count()
-    few, n_few = counted(own.join(asked.select("term").distinct(), "term"))  # of the queries' terms only
+    few, _ = counted(own.join(small(asked.select("term").distinct()), "term"))  # of the queries' terms only
     if members is None:
         few, asked = few.withColumn("scope", F.lit(0)), asked.withColumn("scope", F.lit(0))
         sizes = docs.sparkSession.createDataFrame([(0, n_docs)], "scope int, n long")
@@ -107,7 +112,7 @@ def tfidf(docs: DataFrame, queries: DataFrame, members: DataFrame | None = None)
     asked = asked.join(sizes, "scope").join(df, key, "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("idf1", idf(F.col("df") + 1))
     qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf1"), 2))).alias("qnorm"))
     more = F.pow(F.col("tf") * F.col("idf1"), 2) - F.pow(F.col("tf") * idf(F.col("df")), 2)
-    shared = few.join(asked.select("query_id", *key, "qf", "idf1", "df", "n"), key).groupBy("query_id", "doc_id", "scope").agg(
+    shared = few.join(small(asked.select("query_id", *key, "qf", "idf1", "df", "n")), key).groupBy("query_id", "doc_id", "scope").agg(
         F.sum(F.col("tf") * F.col("qf") * F.pow("idf1", 2)).alias("dot"), F.sum(more).alias("more"))
     scored = shared.join(base, ["scope", "doc_id"]).join(qnorm, "query_id")
     return scored.select("query_id", "doc_id", (F.col("dot") / F.col("qnorm") / F.sqrt(F.col("base") + F.col("more"))).alias("score"))
@@ -153,15 +158,24 @@ def _routed(events: DataFrame, members: DataFrame, queries: DataFrame) -> DataFr
 
 def _with_targets(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Adds ``temporal_evidence``: ids of the events that a query's relation holds to, null without a
-    relation. Targets are the query's reference, or leaving events that share an entity."""
+    relation. Targets are the query's reference, or leaving events that share an entity. Those meet in time
+    buckets that an event reaches by its window, each pair in the first they share; a relation without a
+    bound has none and meets all leaving events of the entity."""
     target = events.select(F.col("event_id").alias("target"), F.col("start_s").alias("c"), F.col("end_s").alias("d"), "kind", F.col("entity_ids").alias("theirs"))
     related = pairs.where("relation is not null").select("query_id", "event_id", "start_s", "end_s", "entity_ids", "relation", "window", "reference")
-    shared = related.where("reference is null").withColumn("__entity", F.explode(F.array_distinct("entity_ids")))
-    leaving = target.where(F.col("kind").isin(*LEAVING)).withColumn("__entity", F.explode(F.array_distinct("theirs")))
+    window = F.coalesce("window", F.lit(0))
+    endless = F.col("relation").isin("before", "followed_by", "after") & (window < 0)
+    shared = related.where("reference is null").withColumn("__entity", F.explode(F.array_distinct("entity_ids"))).drop("entity_ids")
+    leaving = target.where(F.col("kind").isin(*LEAVING)).withColumn("__entity", F.explode(F.array_distinct("theirs"))).drop("theirs", "kind")
+    reach = F.greatest(window, F.lit(0)).cast("double")
+    low, high = F.least("start_s", "end_s") - reach, F.greatest("start_s", "end_s") + reach
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / BUCKET).cast("long"), F.floor(b / BUCKET).cast("long"))).alias("__bucket")
+    least, most = F.least("c", "d"), F.greatest("c", "d")
+    met = shared.where(~endless).select("*", low.alias("__low"), buckets(low, high)).join(leaving.select("*", buckets(least, most)), ["__entity", "__bucket"])
+    met = met.where(F.col("__bucket") == F.floor(F.greatest(F.col("__low"), least) / BUCKET))
     near = ["query_id", "event_id", "start_s", "end_s", "relation", "window", "target", "c", "d"]
-    found = shared.join(leaving, "__entity").select(*near).unionByName(related.where("reference is not null").join(target, F.col("reference") == F.col("target")).select(*near))
+    found = met.select(*near).unionByName(shared.where(endless).join(leaving, "__entity").select(*near)).unionByName(related.where("reference is not null").join(target, F.col("reference") == F.col("target")).select(*near))
     a, b, c, d = (F.col(x) for x in ("start_s", "end_s", "c", "d"))
-    window = F.coalesce("window", F.lit(0))
     gap = {"before": c - b, "followed_by": c - b, "after": a - d}
     fits = F.lit(False)
     for name in OPERATORS:
@@ -225,14 +239,42 @@ def search(events: DataFrame, queries: DataFrame, limit: int = 20, floor: float
     return first.join(totals, "query_id").select("query_id", "event_id", "score", "rank", "total", "signals", told.alias("explanations"), "temporal_evidence")
 
 
+def _behind(videos: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``queries`` with ``behind``, a number for what they ask of camera and location, and the recordings
+    behind each such number. Cameras, not recordings, meet what is asked; recordings follow by their camera."""
+    behind = F.xxhash64(F.col("camera").cast("string"), F.col("location").cast("string"), F.col("camera").isNull(), F.col("location").isNull()).alias("behind")
+    asked = queries.select("*", behind)
+    cameras = videos.select("camera_id", "place").distinct()
+    fits = (F.col("camera").isNull() | (F.col("camera_id") == F.col("camera"))) & (F.col("location").isNull() | F.contains(F.lower("place"), F.col("location")))
+    chosen = cameras.join(asked.select("behind", "camera", "location").distinct(), fits).select("behind", "camera_id", "place")
+    return asked, videos.join(chosen, (videos["camera_id"].eqNullSafe(chosen["camera_id"])) & (videos["place"].eqNullSafe(chosen["place"]))).drop(chosen["camera_id"]).drop(chosen["place"])
+
+
 def coverage(videos: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:
-    """What stands behind each query's result: recordings there are under its camera, how many are
-    indexed, whether any event matched. Finding nothing does not establish absence."""
-    v = videos.alias("v").join(F.broadcast(queries.select("query_id", "camera").alias("q")), F.col("q.camera").isNull() | (F.col("v.camera_id") == F.col("q.camera")))
-    seen = v.groupBy("query_id").agg(F.count("*").alias("recordings"), F.count_if(F.col("v.status") == "completed").alias("indexed"))
+    """What stands behind each query's result: ``query_id, recordings, indexed, footage, covered, matched,
+    conclusion``.
+
+    ``videos(video_id, camera_id, place, start timestamp without zone, duration, status)``,
+    ``queries(query_id, camera, location, after, before)``, clock bounds in minutes. ``recordings`` are those
+    of the query's camera and location, ``indexed`` the completed ones; ``covered`` tells whether those of
+    one camera and date, united, span the clock window, and is null where a bound is missing. A
+    window past midnight is covered by nothing. Finding nothing does not establish absence."""
+    asked, seen = _behind(videos, queries)
+    counts = seen.groupBy("behind").agg(F.count("*").alias("recordings"), F.count_if(F.col("status") == "completed").alias("indexed"))
+    minute = F.hour("start") * 60 + F.minute("start") + F.second("start") / 60.0
+    recorded = seen.where("status = 'completed'").select("behind", "camera_id", F.to_date("start").alias("day"), minute.cast("double").alias("start"), (minute + F.col("duration") / 60.0).alias("end"))
+    windows = asked.where("after is not null and before is not null").select("behind", "after", "before").distinct().withColumn("id", F.xxhash64("behind", "after", "before"))
+    spans = windows.join(covers(recorded, windows, ["camera_id", "day"], keys=["behind"]), "id").drop("id")
     found = results.select("query_id").distinct().withColumn("matched", F.lit(True))
-    out = queries.select("query_id").join(seen, "query_id", "left").join(found, "query_id", "left")
-    matched = F.coalesce("matched", F.lit(False))
+    out = asked.join(counts, "behind", "left").join(spans, ["behind", "after", "before"], "left").join(found, "query_id", "left")
+    matched, none = F.coalesce("matched", F.lit(False)), F.lit(0)
     said = F.when(matched, "indexed events matched; the evidence needs review").otherwise("no indexed event matched; absence is not established")
-    return out.select("query_id", F.coalesce("recordings", F.lit(0)).alias("recordings"), F.coalesce("indexed", F.lit(0)).alias("indexed"),
-                      (F.coalesce("recordings", F.lit(0)) > 0).alias("footage"), matched.alias("matched"), said.alias("conclusion"))
+    return out.select("query_id", F.coalesce("recordings", none).alias("recordings"), F.coalesce("indexed", none).alias("indexed"), (F.coalesce("recordings", none) > 0).alias("footage"), "covered", matched.alias("matched"), said.alias("conclusion"))
+
+
+def coverage_intervals(videos: DataFrame, queries: DataFrame) -> DataFrame:
+    """The recordings behind each query: ``query_id, video_id, camera_id, start, end, indexed``; inputs as in
+    ``coverage``. Queries that ask the same of camera and location share their rows until here."""
+    asked, seen = _behind(videos, queries)
+    end = F.col("start") + F.make_dt_interval(secs=F.col("duration"))
+    return asked.select("query_id", "behind").join(seen, "behind").select("query_id", "video_id", "camera_id", "start", end.alias("end"), (F.col("status") == "completed").alias("indexed"))

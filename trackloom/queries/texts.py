@@ -61,6 +61,19 @@ def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "event_id", "score", "rank", "total", *[F.col(f"signals.{c}").alias(f"s_{c}") for c in named], said.alias("explanations"), evidence.alias("evidence"))
 
 
+def search_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recordings of ten cameras behind queries made of parts."""
+    i, p = F.col("event_id"), F.col("p_partkey")
+    videos = table(spark, sf_dir, "events").select(
+        i.alias("video_id"), F.concat(F.lit("C"), F.col("user_id") % 10).alias("camera_id"), F.col("event_type").alias("place"), F.col("ts").alias("start"), F.round(F.col("value") * 100).alias("duration"), F.when(i % 7 > 0, "completed").otherwise("queued").alias("status"))
+    asked = table(spark, sf_dir, "part").select(
+        p.alias("query_id"), F.when(p % 3 == 0, F.concat(F.lit("C"), p % 12)).alias("camera"), F.when(p % 4 == 1, F.lit("c")).when(p % 4 == 2, F.lit("nowhere")).alias("location"),
+        F.when(p % 5 > 0, F.col("p_size") * 20).cast("int").alias("after"), F.when(p % 7 > 0, F.col("p_size") * 20 + p % 200 - 20).cast("int").alias("before"))
+    out = S.coverage(videos, asked, asked.where("query_id % 2 = 0"))
+    listed = S.coverage_intervals(videos, asked.where("camera is not null")).groupBy("query_id").agg(F.count("*").alias("listed"), F.count_if("indexed").alias("listed_indexed"), F.max("end").cast("string").alias("last_end"))
+    return out.join(listed, "query_id", "left").select("query_id", "recordings", "indexed", "footage", F.coalesce(F.col("covered").cast("string"), F.lit("unknown")).alias("covered"), "matched", "listed", "listed_indexed", F.substring("last_end", 1, 19).alias("last_end"))
+
+
 _TERMS = """t as (select id, w, kind from (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') as w, 'd' as kind from documents
         union all select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}'), 'q' from benchmark)),
     terms as (select kind, id, term, 1 + ln(count(*)) as tf from (select kind, id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)::bigint), lambda i: w[i] || ' ' || w[i + 1]))) as term from t) group by all),
@@ -111,7 +124,7 @@ _EV = f"""ev as (select doc_id as event_id, {_NAMED} as text, 'CAM-' || lpad((do
     tg as (select query_id, p.event_id, list_sort(list(t.event_id)) as evidence from pr p join ev t on t.event_id <> p.event_id and (case when reference is null then t.kind in ('exited', 'disappeared') and list_has_any(t.entity_ids, p.entity_ids) else t.event_id = reference end)
           and (case relation when 'before' then t.start_s - p.end_s between 0 and win when 'near' then greatest(0, t.start_s - p.end_s, p.start_s - t.end_s) <= win end) group by all)"""
 
-QUERIES = {"tfidf_top": tfidf_top, "tag_texts": tag_texts, "search_events": search_events}
+QUERIES = {"tfidf_top": tfidf_top, "tag_texts": tag_texts, "search_events": search_events, "search_coverage": search_coverage}
 
 
 def _sql_tags() -> str:
@@ -132,6 +145,19 @@ def _sql_tags() -> str:
 
 
 ORACLES = {
+    "search_coverage": """with v as (select event_id, 'C' || (user_id % 10) as cam, event_type as place, ts, round(value * 100) as duration, event_id % 7 > 0 as done, date_part('hour', ts) * 60 + date_part('minute', ts) + floor(date_part('second', ts)) / 60.0::double as s from events),
+        q as (select p_partkey as query_id, case when p_partkey % 3 = 0 then 'C' || (p_partkey % 12) end as cam, case when p_partkey % 4 = 1 then 'c' when p_partkey % 4 = 2 then 'nowhere' end as loc, case when p_partkey % 5 > 0 then p_size * 20 end as a, case when p_partkey % 7 > 0 then p_size * 20 + p_partkey % 200 - 20 end as b from part),
+        sc as (select row_number() over () as k, * from (select distinct cam, loc from q)),
+        iv as (select k, v.*, s as e0, s + duration / 60 as e from sc join v on (sc.cam is null or v.cam = sc.cam) and (loc is null or contains(lower(place), loc))),
+        d as (select * from iv where done),
+        m as (select *, max(e) over (partition by k, cam, ts::date order by s, e rows between unbounded preceding and 1 preceding) as reach from d),
+        u as (select *, sum(case when s <= reach then 0 else 1 end) over (partition by k, cam, ts::date order by s, e rows unbounded preceding) as g from m),
+        un as (select k, cam, min(s) as s, max(e) as e from u group by k, cam, ts::date, g),
+        c as (select k, count(*) as recordings, count(*) filter (done) as indexed, max(ts + to_seconds(duration)) as last_end from iv group by 1)
+        select query_id, coalesce(recordings, 0) as recordings, coalesce(indexed, 0) as indexed, coalesce(recordings, 0) > 0 as footage,
+          coalesce((case when a is null or b is null then null when b < a then false when a = b then coalesce(indexed, 0) > 0 else exists (select 1 from un where un.k = sc.k and un.s <= q.a and un.e >= q.b) end)::varchar, 'unknown') as covered, query_id % 2 = 0 as matched,
+          case when q.cam is not null then recordings end as listed, case when q.cam is not null and recordings > 0 then indexed end as listed_indexed, case when q.cam is not null then strftime(last_end, '%Y-%m-%d %H:%M:%S') end as last_end
+        from q join sc on q.cam is not distinct from sc.cam and q.loc is not distinct from sc.loc left join c using (k)""",
     "tfidf_top": f"with {_TERMS} select query_id, doc_id, score, rank from (select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from tfidf) where rank <= 5",
     "tag_texts": _sql_tags(),
     "search_events": f"""with {_EV}, sg as (select pr.*, evidence, case when coalesce(entity, colour) is not null then 1.0::double end as s_attributes, case when coalesce(after, before, min_duration, win) is not null then 1.0::double end as s_temporal,
