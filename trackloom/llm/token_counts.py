@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.bpe import read_ranks, splitter
 
-#: Pre-tokens whose counts a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 1_000_000
+#: Pre-tokens whose counts a task remembers; beyond that it forgets all and goes on. Longer ones are counted
+#: each time, and a task forgets them at its end, as workers live on into other stages.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def zipf_scores(content: bytes) -> dict[str, float]:
@@ -89,32 +90,39 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_pretokens, n_tokens)``, one row for each input row.
 
     Texts are split by ``pattern``; each match is segmented separately, by its UTF-8 bytes. Null
-    texts count as empty. Null and repeated doc_ids are passed through; other columns are not read.
+    texts count as empty. Null and repeated doc_ids are passed through; other columns are not read. A text
+    is held whole by its task, with its matches. Without rows the result is empty.
     """
     content = read_ranks(ranks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pieces, known = _prepared(content, pattern)
-        for batch in batches:
-            texts, at = batch.column("text"), 0
-            while at < len(texts):
-                found, size, first = [], 0, at
-                while at < len(texts) and size < 4 << 20:
-                    text = texts[at].as_py() or ""
-                    found.append(split(text))
-                    size += len(text)
-                    at += 1
-                new = {x for words in found for x in words if x not in known}
-                local = known
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = {x for words in found for x in words}
-                order = sorted((x.encode().decode("latin-1"), x) for x in new)
-                local.update(zip((x for _, x in order), pieces.count([x for x, _ in order]), strict=True))
-                counts = [sum(map(local.__getitem__, words)) for words in found]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(first, at - first),
-                    "n_pretokens": pa.array([len(x) for x in found], pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+        try:
+            for batch in batches:
+                texts, at = batch.column("text"), 0
+                while at < len(texts):
+                    found, size, first = [], 0, at
+                    while at < len(texts) and size < 4 << 20:
+                        text = texts[at].as_py() or ""
+                        found.append(split(text))
+                        size += len(text)
+                        at += 1
+                    new = {x for words in found for x in words if x not in known}
+                    local = known
+                    if len(known) + len(new) > REMEMBERED:
+                        known.clear()
+                        new = {x for words in found for x in words}
+                    order = sorted((x.encode().decode("latin-1"), x) for x in new)
+                    local.update(zip((x for _, x in order), pieces.count([x for x, _ in order]), strict=True))
+                    counts = [sum(map(local.__getitem__, words)) for words in found]
+                    for x in new:
+                        if len(x) > LONGEST:
+                            del known[x]
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": batch.column("doc_id").slice(first, at - first),
+                        "n_pretokens": pa.array([len(x) for x in found], pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+        finally:
+            known.clear()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(work, "doc_id long, n_pretokens long, n_tokens long")
