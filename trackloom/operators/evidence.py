@@ -131,6 +131,61 @@ def graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> tuple[Dat
     return both[0], both[1]
 
 
+def evidence_graph(entities: DataFrame, events: DataFrame, members: DataFrame, cameras: DataFrame, locations: DataFrame, relationships: DataFrame, first: int | None = 200, event_id: object = None) -> tuple[DataFrame, DataFrame]:
+    """The graph of recorded evidence: nodes ``id, label, kind, category, camera_id`` and edges ``source, target,
+    label, category, evidence_id, event_id``.
+
+    Nodes are all entities, cameras and locations, and the ``first`` events by start (``None``: all) or the one
+    named. Edges: cameras located at their location, entities observed at their camera, entities of the shown
+    events, and stored relationships with the event of their evidence (of several, the last by id) — all, or
+    those of the named event's evidence. ``entities(id, object_type, camera_id)``, ``events(id, title,
+    event_type, category, camera_id, evidence_id, start)``, ``members(event_id, entity_id)``, ``cameras(id,
+    name, location_id)``, ``locations(id, name)``, ``relationships(source_id, target_id, relation, category,
+    evidence_id)``; ids are strings."""
+    shown = events.where(F.col("id") == F.lit(event_id)) if event_id is not None else events
+    if event_id is None and first is not None:
+        shown = shown.orderBy("start", "id").limit(first)
+    seen, none = F.lit("OBSERVED"), F.lit(None).cast("string")
+    nodes = (
+        entities.select("id", F.col("id").alias("label"), F.col("object_type").alias("kind"), seen.alias("category"), "camera_id")
+        .union(cameras.select("id", "name", F.lit("camera"), seen, "id")).union(locations.select("id", "name", F.lit("location"), seen, F.lit("")))
+        .union(shown.select("id", "title", F.lit("event"), "category", "camera_id")))
+    told = relationships
+    if event_id is not None:
+        told = told.join(shown.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    of = events.groupBy("evidence_id").agg(F.max("id").alias("event_id"))
+    edges = (
+        cameras.select(F.col("id").alias("source"), F.col("location_id").alias("target"), F.lit("located_at").alias("label"), seen.alias("category"), none.alias("evidence_id"), none.alias("event_id"))
+        .union(entities.select("id", "camera_id", F.lit("observed_at"), seen, none, none))
+        .union(members.join(shown.withColumnRenamed("id", "event_id"), "event_id").select("entity_id", "event_id", "event_type", "category", "evidence_id", none))
+        .union(told.join(of, "evidence_id", "left").select("source_id", "target_id", "relation", "category", "evidence_id", "event_id")))
+    return nodes, edges
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is shown around each of ``ids(id)`` of an ``evidence_graph``: ``id, event, other``, its events and the
+    other ends of edges into them (null where an event has no other), and its direct edges, those with an
+    event, as ``id`` and the columns of ``edges``."""
+    events = nodes.where("kind = 'event'").select(F.col("id").alias("event"))
+    into = edges.select("source", F.col("target").alias("event")).join(events, "event", "left_semi").distinct()
+    own = into.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").withColumnRenamed("source", "id")
+    known = into.join(nodes.select(F.col("id").alias("source")).distinct(), "source", "left_semi").withColumnRenamed("source", "other")
+    around = own.join(known, "event").where("other <> id").select("id", "event", "other")
+    alone = own.join(around.select("id", "event").distinct(), ["id", "event"], "left_anti").select("id", "event", F.lit(None).cast("string").alias("other"))
+    both = F.explode(F.array_distinct(F.array("source", "target"))).alias("id")
+    direct = edges.where("event_id is not null").select(both, *edges.columns).join(ids, "id", "left_semi")
+    return around.union(alone), direct
+
+
+def relationships_of(edges: DataFrame, associated: DataFrame, ids: DataFrame) -> DataFrame:
+    """Stored relationships with an end in ``ids(id)`` and the associations found for them: ``id, other, relation,
+    category, score``. ``edges(source, target, label, category)``; ``associated`` as ``associations`` gives it."""
+    end = F.explode(F.array_distinct(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other"))))).alias("e")
+    stored = edges.select(end, "label", "category").select("e.id", "e.other", F.col("label").alias("relation"), "category", F.lit(None).cast("double").alias("score"))
+    found = associated.where("label <> 'rejected'").select(F.col("source").cast("string").alias("id"), F.col("candidate").cast("string").alias("other"), F.lit("association").alias("relation"), F.upper("label").alias("category"), "score")
+    return stored.unionByName(found).join(ids, "id", "left_semi")
+
+
 def neighbours(members: DataFrame, entity: str = "entity_id", event: str = "event_id") -> DataFrame:
     """Pairs of entities that share an event, with how many they share (each pair once)."""
     a, b = members.select(F.col(event), F.col(entity).alias("a")), members.select(F.col(event), F.col(entity).alias("b"))

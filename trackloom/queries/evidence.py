@@ -95,6 +95,31 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(n.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), "label"), "target", "left").select("source", "target", "relation", "target_kind", "label")
 
 
+def _case_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as entities, orders as events (each its own evidence), nations as cameras, regions as locations."""
+    t, text = lambda n: table(spark, sf_dir, n), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    entities = t("customer").select(text("c", "c_custkey").alias("id"), F.col("c_mktsegment").alias("object_type"), text("n", "c_nationkey").alias("camera_id"))
+    orders = t("orders")
+    events = orders.select(text("o", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("event_type"), F.lit("INFERRED").alias("category"), F.concat(F.lit("n"), F.col("o_custkey") % 25).alias("camera_id"), text("v", "o_orderkey").alias("evidence_id"), F.col("o_orderdate").alias("start"))
+    members = orders.select(text("o", "o_orderkey").alias("event_id"), F.explode(F.array(text("c", "o_custkey"), F.concat(F.lit("c"), F.col("o_orderkey") % 97))).alias("entity_id")).distinct()
+    relations = orders.where("o_orderkey % 5 = 0").select(text("c", "o_custkey").alias("source_id"), F.concat(F.lit("c"), F.col("o_orderkey") % 97).alias("target_id"), F.lit("met").alias("relation"), F.lit("CORRELATED").alias("category"), F.concat(F.lit("v"), F.col("o_orderkey") % 1000).alias("evidence_id"))
+    return E.evidence_graph(entities, events, members, t("nation").select(text("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), text("r", "n_regionkey").alias("location_id")), t("region").select(text("r", "r_regionkey").alias("id"), F.col("r_name").alias("name")), relations)
+
+
+def case_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges with the kind and label of both ends."""
+    nodes, edges = _case_graph(spark, sf_dir)
+    end = lambda side: nodes.select(F.col("id").alias(side), F.col("kind").alias(f"{side}_kind"), F.col("label").alias(f"{side}_label"))
+    return edges.join(end("source"), "source", "left").join(end("target"), "target", "left")
+
+
+def case_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown around every tenth customer, and their direct edges counted."""
+    nodes, edges = _case_graph(spark, sf_dir)
+    around, direct = E.neighbourhood(nodes, edges, table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")))
+    return around.unionByName(direct.groupBy("id").agg(F.count("*").alias("n")).select("id", F.lit("direct").alias("event"), F.col("n").cast("string").alias("other")))
+
+
 def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("entity_id")).distinct()
     return E.neighbours(members)
@@ -116,10 +141,21 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"serialised_orders": serialised_orders, "entity_timeline": entity_timeline, "chain_integrity": chain_integrity, "signatures": signatures, "vector_top": vector_top, "associations": associations,
-           "graph_edges": graph_edges, "two_hops": two_hops, "touching_edges": touching_edges, "overview": overview, "latest_events": latest_events}
+           "graph_edges": graph_edges, "case_graph": case_graph, "case_neighbourhood": case_neighbourhood, "two_hops": two_hops, "touching_edges": touching_edges, "overview": overview, "latest_events": latest_events}
 
 _UNIT = "v as (select vec_id, label::varchar as model, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as vector from embeddings)"
+_CASE = """ev as (select *, row_number() over (order by o_orderdate, 'o' || o_orderkey) <= 200 as shown from orders),
+    nodes as (select 'c' || c_custkey as id, 'c' || c_custkey as label, c_mktsegment as kind from customer union all select 'n' || n_nationkey, n_name, 'camera' from nation union all select 'r' || r_regionkey, r_name, 'location' from region union all select 'o' || o_orderkey, o_orderpriority, 'event' from ev where shown),
+    edges as (select 'n' || n_nationkey as source, 'r' || n_regionkey as target, 'located_at' as label, 'OBSERVED' as category, null as evidence_id, null as event_id from nation
+      union all select 'c' || c_custkey, 'n' || c_nationkey, 'observed_at', 'OBSERVED', null, null from customer
+      union all select distinct e, 'o' || o_orderkey, o_orderstatus, 'INFERRED', 'v' || o_orderkey, null from (select *, unnest(['c' || o_custkey, 'c' || (o_orderkey % 97)]) as e from ev where shown)
+      union all select 'c' || r.o_custkey, 'c' || (r.o_orderkey % 97), 'met', 'CORRELATED', 'v' || (r.o_orderkey % 1000), 'o' || e.o_orderkey from orders r left join orders e on e.o_orderkey = r.o_orderkey % 1000 where r.o_orderkey % 5 = 0)"""
 ORACLES = {
+    "case_graph": f"with {_CASE} select e.*, a.kind as source_kind, a.label as source_label, b.kind as target_kind, b.label as target_label from edges e left join nodes a on a.id = e.source left join nodes b on b.id = e.target",
+    "case_neighbourhood": f"""with {_CASE}, me as (select 'c' || c_custkey as id from customer where c_custkey % 10 = 0), i as (select distinct source, target from edges join nodes on id = target and kind = 'event'),
+        own as (select me.id, target as event from me join i on source = id), ar as (select own.id, event, source as other from own join i on target = event and source <> own.id join nodes n on n.id = source)
+        select distinct * from ar union all select id, event, null from own where not exists (select 1 from ar where ar.id = own.id and ar.event = own.event)
+        union all select me.id, 'direct', count(*)::varchar from me join edges on event_id is not null and (source = me.id or target = me.id) group by 1""",
     "serialised_orders": """with m as (select l_orderkey, l_suppkey, min(l_linenumber) as ln from lineitem group by all), p as (select l_orderkey, max(l_suppkey) as prim from lineitem group by 1)
         select o_orderkey as event_id, s_name, n_name, r_name, o_orderpriority, coalesce(string_agg(m.l_suppkey::varchar, ',' order by m.l_suppkey <> prim, m.l_suppkey), '') as entities
         from orders left join p on p.l_orderkey = o_orderkey left join m on m.l_orderkey = o_orderkey left join supplier on s_suppkey = p.l_orderkey % 100 left join nation on n_nationkey = o_custkey % 25 left join region on r_regionkey = n_regionkey group by 1, 2, 3, 4, 5""",
