@@ -21,6 +21,8 @@ from trackloom.plans.durable import durable
 
 #: Rows in a bucket of a source's keys, about.
 BUCKET_ROWS = 2000
+#: Classes of quality by whose sizes keys are spread over a source's buckets.
+QUALITIES = 64
 #: Characters that speak against running prose, for the quality weight.
 NOISE = "0123456789#*$%&|<>{}[]=_\\/@"
 
@@ -56,6 +58,28 @@ def targets(sizes: DataFrame, weights: list[float], max_repeats: int = 3) -> Dat
     return level.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def bucketed(docs: DataFrame, weights: list[float], max_repeats: int, row: str | None = None) -> DataFrame:
+    """Rows of ``docs`` with their size and key, what their source's plan is, and the ``bucket`` of the key."""
+    told = [row] if row else []
+    draw = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))), F.lit("mix")), 256), 1, 12), 16, 10)
+    uniform = (draw.cast("double") + 0.5) / float(16**12)
+    rows = docs.select(*told, "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"), (-F.log(uniform)).alias("drawn"))
+    rows = durable(rows.select(*told, "doc_id", "source", "size", "quality", (F.col("drawn") / F.col("quality")).alias("rank_key")))
+    classes = rows.groupBy("source", F.floor(F.col("quality") * QUALITIES).alias("class")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.avg("quality").alias("of"))
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("n"), F.array_sort(F.collect_list(F.struct("of", "rows"))).alias("classes"))
+    sized = targets(sizes.select("source", "source_size"), list(weights), max_repeats)
+    plan = sized.join(sizes.select(F.col("source").alias("s"), "n", "classes"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    plan = plan.withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    plan = durable(plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long")))
+    # A key is exponential with its row's quality as rate, so the share of a source's keys below k is this sum over
+    # its classes of quality. It grows with the key and spreads a source's rows evenly, whatever they are like.
+    named = rows.join(plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", "budget", "buckets", "n", "classes"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    below = F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + c.getField("rows") * (1 - F.exp(-c.getField("of") * F.col("rank_key")))) / F.col("n")
+    named = named.withColumn("bucket", F.least(F.floor(below * F.col("buckets")), F.col("buckets") - 1)).drop("classes", "n")
+    return named
+
+
 def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3, row: str | None = None) -> DataFrame:
     """How many words of each row of ``docs(doc_id, text, source, ...)`` the mix takes.
 
@@ -67,19 +91,7 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3,
     can be given to rows whose doc_id is null or repeated. Other columns are not read.
     """
     told = [row] if row else []
-    draw = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))), F.lit("mix")), 256), 1, 12), 16, 10)
-    uniform = (draw.cast("double") + 0.5) / float(16**12)
-    rows = docs.select(*told, "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (-F.log(uniform) / quality_weight(F.col("text"))).alias("rank_key"))
-    rows = durable(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.max("rank_key").alias("most"))
-    sized = targets(sizes.select("source", "source_size"), list(weights), max_repeats)
-    plan = sized.join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    plan = durable(plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long")))
-    # 1 - exp(-key) grows with the key and spreads it over [0, 1).
-    named = rows.join(plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", "budget", "buckets"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    named = named.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("rank_key"))) * F.col("buckets")), F.col("buckets") - 1))
+    named = bucketed(docs, weights, max_repeats, row)
     sums = named.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
