@@ -51,3 +51,15 @@ def test_fingerprint_of_chunks_is_that_of_the_whole(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_of_several_chunks(spark):
+    """Characters of several bytes across the borders of chunks; texts that differ in their last byte."""
+    base = "é中 x" * 60_000
+    texts = [(1, base + "a"), (2, base + "b"), (3, base.replace(" ", "\t\n") + "a"), (4, base + "b"), (5, "short"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in texts], "doc_id long, text string, chunk string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert got == {1: (1, 2), 3: (1, 2), 2: (2, 2), 4: (2, 2), 5: (5, 1), 6: (6, 1)}
+    one = exact_dedup.fingerprints(docs).where("doc_id = 1").first()
+    n, (high, low) = exact_dedup.combine(exact_dedup.chunk_hashes(np.frombuffer((base + "a").encode(), dtype=np.uint8)))
+    assert (one.n_bytes, one.fingerprint) == (n, high << 31 | low)

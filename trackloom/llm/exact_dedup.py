@@ -27,8 +27,11 @@ PRIMES = np.array([2147483647, 2147483629], dtype=np.int64)
 BASES = np.array([911382323, 972663749], dtype=np.int64)
 #: Bytes hashed as one row of the matrix product.
 HASH_BYTES = 1 << 16
-#: Characters of a chunk that is a row of its own when long texts are hashed, and when texts are compared.
-CHUNK_CHARS = 1 << 16
+#: Characters of a text from which on its chunks are hashed apart, and bytes of a chunk that is a row of its own
+#: when long texts are hashed and when texts are compared.
+CHUNK_CHARS, CHUNK_BYTES = 1 << 16, 1 << 16
+#: Bytes of chunks that are handed on at a time.
+CUT_BYTES = 4 << 20
 #: Texts compared with one representative in one task's group.
 PER_SALT = 500
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -85,7 +88,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _piece(pieces: pa.Table) -> pa.Table:
     """Length, hash and shift (``base**length``) of one chunk, modulo each prime."""
-    n, (high, low) = combine(chunk_hashes(np.frombuffer(pieces.column("piece")[0].as_py().encode(), dtype=np.uint8)))
+    n, (high, low) = combine(chunk_hashes(np.frombuffer(pieces.column("piece")[0].as_py(), dtype=np.uint8)))
     made = {"n": n, "high": high, "low": low} | {f"shift_{name}": pow(int(b), n, int(p)) for name, b, p in zip(("high", "low"), BASES, PRIMES, strict=True)}
     return pa.table({c: pieces.column(c) for c in ("doc_id", "raw", "text_sha256", "number", "chunk")} | {c: pa.array([v], pa.int64()) for c, v in made.items()})
 
@@ -100,11 +103,33 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the bytes of ``normal``, each with its number in the text and the text's other columns."""
+    for batch in batches:
+        others = [name for name in batch.schema.names if name != "normal"]
+        texts, of, number, pieces, size = batch.column("normal"), [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            taken = batch.select(others).take(pa.array(of, pa.int64()))  # noqa: B023
+            return pa.RecordBatch.from_arrays([*taken.columns, pa.array(number, pa.int32()), pa.array(pieces, pa.binary())], names=[*others, "chunk", "piece"])  # noqa: B023
+
+        for row in range(batch.num_rows):
+            data = memoryview(texts[row].as_buffer())
+            for k, at in enumerate(range(0, max(1, len(data)), CHUNK_BYTES)):
+                of.append(row), number.append(k), pieces.append(bytes(data[at : at + CHUNK_BYTES]))
+                size += len(pieces[-1])
+                if size >= CUT_BYTES:
+                    yield made()
+                    of, number, pieces, size = [], [], [], 0
+        if of:
+            yield made()
+
+
 def _chunks(df: DataFrame) -> DataFrame:
-    """One row for each chunk of ``normal``; an empty text has one empty chunk."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("normal") / CHUNK_CHARS)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("normal"), i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)))
-    return df.select(*[c for c in df.columns if c != "normal"], F.posexplode(cut).alias("chunk", "piece"))
+    """One row for each chunk of ``normal``; an empty text has one empty chunk. A text is cut in one pass, by
+    bytes."""
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "normal")
+    return df.mapInArrow(_cut, f"{others}, chunk int, piece binary")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
