@@ -24,6 +24,16 @@ from trackloom.plans.durable import shared_folder
 #: Similarity of near duplicates in percent, and the words of a shingle.
 PERCENT, SHINGLE = 80, 5
 WEIGHTS, MAX_REPEATS = [5, 2, 1], 3
+#: Bytes of a batch of texts that is handed to Python, at most; the JVM and Python each hold one for every task.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's batches for Python to ``BATCH_BYTES`` where they may be larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    allowed = spark.conf.get(name, "")
+    if not allowed.rstrip("b").isdigit() or int(allowed.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -42,18 +52,21 @@ def _numbered() -> Column:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the rows that the classifier chain rejects."""
+    bounded(spark)
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, chain, "__toxicity").where("not __toxicity.rejected").drop("__toxicity")
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with one row for each text, after spaces are normalised."""
+    bounded(spark)
     return exact_dedup.one_of_each(docs)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with one row for each group of near duplicates, the first by ``row_key``. Texts
     without words are linked with nothing and stay."""
+    bounded(spark)
     named = docs.withColumn("__row", row_key(docs))
     gone = minhash.near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"), SHINGLE, PERCENT).where("not kept").select(F.col("doc_id").alias("__row"))
     left = named.join(gone.hint("shuffle_hash"), "__row", "left_anti").withColumn("__n", _numbered())
@@ -63,6 +76,7 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs``, each row as often as the mix starts to take it."""
+    bounded(spark)
     named = docs.withColumn("__row", row_key(docs))
     # Equal rows follow one another in the mix: the first of them may be taken once more than the rest.
     taken = mixing.mix(named, WEIGHTS, MAX_REPEATS, row="__row").groupBy("__row").agg(
@@ -74,6 +88,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded``: token ids and the text that they decode to."""
+    bounded(spark)
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("decoded"))
 
