@@ -31,8 +31,8 @@ BATCH_BYTES = 8 << 20
 def bounded(spark: SparkSession) -> None:
     """Lowers the session's batches for Python to ``BATCH_BYTES`` where they may be larger."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    allowed = spark.conf.get(name, "")
-    if not allowed.rstrip("b").isdigit() or int(allowed.rstrip("b")) > BATCH_BYTES:
+    allowed = spark.conf.get(name).rstrip("b")  # "-1" or less: no limit
+    if not 0 < int(allowed) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
