@@ -51,14 +51,16 @@ def _numbered() -> Column:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the rows that the classifier chain rejects."""
+    """``docs`` without the rows that the classifier chain rejects. Null and empty texts, and rows of a table
+    without toxic labels, stay; equal texts are judged alike; a text is judged by all of it, however long."""
     bounded(spark)
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, chain, "__toxicity").where("not __toxicity.rejected").drop("__toxicity")
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one row for each text, after spaces are normalised."""
+    """``docs`` with one row for each text, after spaces are normalised: that of the least doc_id, null last.
+    Null counts as empty. Long texts are compared chunk by chunk."""
     bounded(spark)
     return exact_dedup.one_of_each(docs)
 
@@ -75,7 +77,8 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs``, each row as often as the mix starts to take it."""
+    """``docs``, each row as often as the mix starts to take it. Texts without words are not taken; equal rows
+    follow one another."""
     bounded(spark)
     named = docs.withColumn("__row", row_key(docs))
     # Equal rows follow one another in the mix: the first of them may be taken once more than the rest.
@@ -87,7 +90,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded``: token ids and the text that they decode to."""
+    """``doc_id, n_tokens, ids, decoded``: token ids and the text that they decode to, one row for each of
+    ``docs``. Null and empty texts have no ids and decode to nothing; a text is held whole by its task."""
     bounded(spark)
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("decoded"))
