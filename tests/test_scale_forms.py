@@ -57,3 +57,23 @@ def test_relations_by_buckets_equal_all_pairs(spark, operator, window):
     df = spark.createDataFrame(events, "event_id long, start_s double, end_s double, kind string, entity_ids array<string>")
     pairs = df.select(F.lit(1).alias("query_id"), "event_id", "start_s", "end_s", "entity_ids", F.lit(operator).alias("relation"), F.lit(window).alias("window"), F.lit(None).cast("long").alias("reference"))
     assert {x.event_id: x.temporal_evidence for x in S._with_targets(pairs, df).collect()} == {i: sorted(j) for i, j in want.items()}
+
+
+def test_tiles_meet_once(spark, monkeypatch):
+    from trackloom.operators import evidence as E
+
+    monkeypatch.setattr(E, "ASKED", 3)
+    monkeypatch.setattr(E, "HELD", 7)
+    asked = spark.createDataFrame([("ab"[k % 2], k) for k in range(10)], "key string, q long")
+    held = spark.createDataFrame([("ab"[k % 5 == 0], k) for k in range(40)], "key string, v long")
+    want = sorted((a, b) for a in range(10) for b in range(40) if "ab"[a % 2] == "ab"[b % 5 == 0])
+    assert sorted((r.q, r.v) for r in E.tiled(asked, held, ["key"]).collect()) == want
+
+
+def test_paired_study_refuses_repeats(spark):
+    rows = [("t", "p", "manual", 10.0), ("t", "p", "assisted", 5.0), ("t", "q", "manual", 3.0), ("u", "q", "assisted", 9.0), ("u", "p", "manual", 4.0), ("u", "p", "assisted", 3.0)]
+    df = spark.createDataFrame(rows, "task string, participant string, mode string, seconds double")
+    r = M.paired_study(df, ["task", "participant"], "mode", ["seconds"]).first()
+    assert (r.pairs, r.manual, r.assisted, r.unpaired) == (2, 7.0, 4.0, 2) and abs(r.reduction - 0.375) < 1e-12
+    with pytest.raises(Exception, match="recorded more than once: t, p, manual"):
+        M.paired_study(df.union(df.limit(1)), ["task", "participant"], "mode", ["seconds"]).collect()

@@ -82,8 +82,24 @@ def integrity(events: DataFrame, evidence: DataFrame, observations: DataFrame, t
     return failed_rules(chain.join(refs, "event_id", "left"), chain_rules(F.col("vi_fps"))).select("event_id", "errors")
 
 
+#: Rows of a stated query set in a tile, and of the rows that they meet.
+ASKED, HELD = 1_000, 20_000
+
+
+def tiled(asked: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs of ``asked`` with ``held`` of equal ``keys``, tile by tile: both are dealt into tiles by their
+    rows' hashes, and each copy of a tile meets one tile of the other side, so neither a large query set nor a
+    frequent key fills a task. Other columns have different names on both sides."""
+    a, h = 1 + asked.count() // ASKED, 1 + held.count() // HELD
+    deal = lambda df, n: F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("__asked", deal(asked, a)).withColumn("__held", every(h))
+    right = held.withColumn("__held", deal(held, h)).withColumn("__asked", every(a))
+    return right.join(left.hint("shuffle_hash"), [*keys, "__asked", "__held"]).drop("__asked", "__held")
+
+
 def associations(sources: DataFrame, entities: DataFrame, links: DataFrame, keep: float = 0.4, medium: float = 0.7, margin: float = 0.08) -> DataFrame:
-    """Candidates in other cameras for each of a stated set of ``sources`` (broadcast).
+    """Candidates in other cameras for each of a stated set of ``sources``, which meet entities in tiles.
 
     Both tables: ``id, camera, kind, colour, start, end, vector`` (unit length). Kind must be equal.
     ``links(camera, other, min_s, max_s)``: how long the way between cameras takes. ``score = 0.5 *
@@ -92,10 +108,11 @@ def associations(sources: DataFrame, entities: DataFrame, links: DataFrame, keep
     first two that aren't rejected differ by less than ``margin``, all so close to the first are
     ambiguous.
     """
-    s, e = {c: F.col(f"s.{c}") for c in sources.columns}, {c: F.col(f"e.{c}") for c in entities.columns}
-    pairs = entities.alias("e").join(F.broadcast(sources.alias("s")), (s["kind"] == e["kind"]) & (s["camera"] != e["camera"]))
+    named = lambda df, side: df.select("kind", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "camera", "colour", "start", "end", "vector")])
+    s, e = ({c: F.col(f"{side}_{c}") for c in ("id", "camera", "colour", "start", "end", "vector")} for side in "se")
+    pairs = tiled(named(sources, "s"), named(entities, "e"), ["kind"]).where(s["camera"] != e["camera"])
     gap = F.greatest(e["start"] - s["end"], s["start"] - e["end"])
-    pairs = pairs.join(F.broadcast(links.alias("l")), (F.col("l.camera") == s["camera"]) & (F.col("l.other") == e["camera"]), "left")
+    pairs = pairs.join(links.alias("l"), (F.col("l.camera") == s["camera"]) & (F.col("l.other") == e["camera"]), "left")
     fits = F.coalesce((gap >= F.col("l.min_s")) & (gap <= F.col("l.max_s")), F.lit(False))
     like = F.greatest(F.lit(0.0), dot(s["vector"], e["vector"]))
     same = F.coalesce((s["colour"] == e["colour"]) & (s["colour"] != "unknown"), F.lit(False))
@@ -112,11 +129,29 @@ def associations(sources: DataFrame, entities: DataFrame, links: DataFrame, keep
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, least: float = 0.45, limit: int = 30) -> DataFrame:
-    """The nearest vectors of each of a stated set of queries (broadcast), by cosine of unit vectors of
-    the same model. ``queries(query_id, model, vector)``, ``vectors(vec_id, model, vector)``."""
-    q = F.broadcast(queries.select("query_id", "model", F.col("vector").alias("asked")))
-    scored = vectors.join(q, "model").withColumn("cosine", dot(F.col("vector"), F.col("asked"))).where(F.col("cosine") >= least)
-    return top(scored.select("query_id", "vec_id", "cosine"), "query_id", limit, F.desc("cosine"), F.col("vec_id"))
+    """The nearest vectors of each of a stated set of queries, by cosine of unit vectors of the same model; both
+    meet in tiles. ``queries(query_id, model, vector)``, ``vectors(vec_id, model, vector)``."""
+    return top(_alike(queries, vectors, least), "query_id", limit, F.desc("cosine"), F.col("vec_id"))
+
+
+def _alike(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    pairs = tiled(queries.select("query_id", "model", F.col("vector").alias("asked")), vectors.select("vec_id", "model", "vector"), ["model"])
+    return pairs.withColumn("cosine", dot(F.col("vector"), F.col("asked"))).where(F.col("cosine") >= least).select("query_id", "vec_id", "cosine")
+
+
+def appearance_search(queries: DataFrame, vectors: DataFrame, evidence: DataFrame, events: DataFrame, least: float = 0.45, limit: int = 30) -> DataFrame:
+    """Events that look like each of a stated set of queries: ``query_id, event_id, score, rank, total``.
+
+    A vector of at least ``least`` cosine stands for the first event by start (then id) of its observation;
+    vectors without one are left out. ``score`` is rounded to 4 places and ranks, then vec_id; ``total`` counts
+    before the ``limit``. ``vectors(vec_id, model, vector, observation_id)``, ``evidence(evidence_id,
+    observation_id)``, ``events(event_id, evidence_id, start)``."""
+    first = events.join(evidence, "evidence_id").groupBy("observation_id").agg(F.min(F.struct("start", "event_id")).alias("e")).select("observation_id", "e.event_id")
+    shown = vectors.join(first, "observation_id")
+    scored = _alike(queries, shown, least).join(shown.select("vec_id", "event_id"), "vec_id").withColumn("score", F.round("cosine", 4))
+    totals = scored.groupBy("query_id").agg(F.count("*").alias("total"))
+    best = top(scored, "query_id", limit, F.desc("score"), F.col("vec_id"))
+    return best.join(totals, "query_id").select("query_id", "event_id", "score", "rank", "total")
 
 
 def graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -264,6 +264,17 @@ def paired_reduction(rows: DataFrame, keys: list[str], mode: str, measures: list
     return result
 
 
+def paired_study(rows: DataFrame, keys: list[str], mode: str, measures: list[str], manual: str = "manual", assisted: str = "assisted") -> DataFrame:
+    """``paired_reduction`` of recordings that come once for each key and mode, with ``unpaired``, the recordings
+    outside complete pairs. A recording that comes twice is an error that names its key."""
+    n = rows.groupBy(*keys, mode).agg(F.count("*").alias("n"), *[F.first(m).alias(m) for m in measures])
+    told = F.concat(F.lit("recorded more than once: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in (*keys, mode)]))
+    once = n.withColumn("n", F.when(F.col("n") == 1, 1).otherwise(F.raise_error(told).cast("int")))
+    pairs = once.groupBy(*keys).agg(F.count_if(F.col(mode).isin(manual, assisted)).alias("p"), F.sum("n").alias("n"))
+    unpaired = pairs.agg(F.coalesce(F.sum(F.col("n") - F.when(F.col("p") == 2, 2).otherwise(0)), F.lit(0)).alias("unpaired"))
+    return paired_reduction(once, keys, mode, measures, manual, assisted).crossJoin(F.broadcast(unpaired))  # one row
+
+
 def threshold_sweep(candidates: DataFrame, thresholds: list[float], modes: list[str], kind: str = "kind") -> DataFrame:
     """For every mode (a score column) and threshold: selected, matched, precision, recall of all
     matches, mean temporal IoU. ``candidates(kind, matched boolean, tiou, <modes>)``."""

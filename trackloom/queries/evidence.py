@@ -72,6 +72,17 @@ def vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.vector_search(asked, vectors, 0.0, 10).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def appearance_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the observations whose vectors are like every hundredth vector: orders as events and evidence,
+    their customers' numbers as observations."""
+    vectors = _vectors(spark, sf_dir).withColumn("observation_id", F.col("vec_id") % 400)
+    asked = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id").drop("observation_id")
+    orders = table(spark, sf_dir, "orders")
+    evidence = orders.select(F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("observation_id"))
+    found = orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderkey").alias("evidence_id"), F.col("o_orderdate").alias("start"))
+    return E.appearance_search(asked, vectors, evidence, found, 0.1, 30)
+
+
 def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("vec_id")
     things = _vectors(spark, sf_dir).select(
@@ -140,7 +151,7 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(events, "event_type", 6, F.desc("t"), F.col("event_id")).select("event_type", "event_id", "t", "rank")
 
 
-QUERIES = {"serialised_orders": serialised_orders, "entity_timeline": entity_timeline, "chain_integrity": chain_integrity, "signatures": signatures, "vector_top": vector_top, "associations": associations,
+QUERIES = {"serialised_orders": serialised_orders, "entity_timeline": entity_timeline, "chain_integrity": chain_integrity, "signatures": signatures, "vector_top": vector_top, "appearance_top": appearance_top, "associations": associations,
            "graph_edges": graph_edges, "case_graph": case_graph, "case_neighbourhood": case_neighbourhood, "two_hops": two_hops, "touching_edges": touching_edges, "overview": overview, "latest_events": latest_events}
 
 _UNIT = "v as (select vec_id, label::varchar as model, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as vector from embeddings)"
@@ -174,6 +185,10 @@ ORACLES = {
           from c left join ob on ob.v = l_partkey and ob.e = l_partkey % 150)
         select event_id, len(e) as n_errors, array_to_string(e, ',') as errors from f""",
     "signatures": """select l_orderkey, l_linenumber, sha256('{"frame_end": ' || l_orderkey || ', "frame_start": ' || l_linenumber || ', "method": "' || l_returnflag || '", "source_sha256": "' || sha256(l_linestatus) || '", "video": "' || l_partkey || '"}') as signature from lineitem""",
+    "appearance_top": f"""with {_UNIT}, f as (select o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as event_id from orders group by 1),
+        s as (select q.vec_id as query_id, v.vec_id, event_id, list_dot_product(q.vector, v.vector) as c from v q join v using (model) join f on o_custkey = v.vec_id % 400 where q.vec_id % 100 = 0),
+        r as (select *, round(c, 4) as score, count(*) over (partition by query_id) as total, row_number() over (partition by query_id order by round(c, 4) desc, vec_id) as rank from s where c >= 0.1)
+        select query_id, event_id, score, rank, total from r where rank <= 30""",
     "vector_top": f"""with {_UNIT}, s as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.vector, v.vector) as cosine from v q join v using (model) where q.vec_id % 100 = 0)
         select query_id, vec_id, round(cosine, 6) as cosine, rank from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s where cosine >= 0) where rank <= 10""",
     "associations": f"""with {_UNIT}, t as (select vec_id as id, vec_id % 5 as camera, model, list_value('red', 'blue', 'unknown')[(vec_id % 3 + 1)::int] as colour, (vec_id * 13 % 1000)::double as a, (vec_id * 13 % 1000 + 20)::double as b, vector from v),
