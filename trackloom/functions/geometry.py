@@ -97,21 +97,30 @@ def expected_samples(frame_count: Column, fps: Column, target: Column) -> Column
     return F.ceil(frame_count / step).cast("int")
 
 
-def person_region(b: Box, strategy: str, factor: float = 1.0) -> tuple[Column, Column, Column, Column]:
-    """Part of a person's box to look into: ``full``, ``upper`` (65 % of the height), ``expanded``
-    (about its centre by ``factor``) or ``interaction`` (1.3 widths, 30 to 85 % of the height)."""
+def person_region(b: Box, strategy: str, factor: float = 1.25) -> tuple[Column, Column, Column, Column]:
+    """Part of a person's box to look into, in whole pixels: ``full_person``, ``upper_body`` (65 % of the height),
+    ``expanded`` (about its centre by ``factor``) or ``interaction_region`` (1.3 widths, 30 to 85 % of the
+    height). Widths and heights are at least 1; numbers are cut towards 0."""
     x1, y1, x2, y2 = b
-    w, h = x2 - x1, y2 - y1
-    if strategy == "full":
-        return b
-    if strategy == "upper":
-        return x1, y1, x2, y1 + 0.65 * h
-    cx, cy = centre(b)
-    if strategy == "expanded":
-        return cx - w * factor / 2, cy - h * factor / 2, cx + w * factor / 2, cy + h * factor / 2
-    if strategy == "interaction":
-        return cx - 0.65 * w, y1 + 0.3 * h, cx + 0.65 * w, y1 + 0.85 * h
-    raise ValueError(f"unknown strategy {strategy}")
+    w, h = F.greatest(F.lit(1), x2 - x1), F.greatest(F.lit(1), y2 - y1)
+    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+    if strategy == "full_person":
+        region = b
+    elif strategy == "upper_body":
+        region = x1, y1, x2, y1 + 0.65 * h
+    elif strategy == "expanded":
+        region = cx - w * factor / 2, cy - h * factor / 2, cx + w * factor / 2, cy + h * factor / 2
+    elif strategy == "interaction_region":
+        region = cx - w * 1.3 / 2, y1 + 0.3 * h, cx + w * 1.3 / 2, y1 + 0.85 * h
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    return tuple(c.cast("int") for c in region)
+
+
+def region_in_frame(b: Box, frame_width: Column, frame_height: Column) -> tuple[Column, Column, Column, Column]:
+    """A person's region cut at the frame: its lower corner not below 0, its upper one not beyond the frame."""
+    low = lambda v: F.greatest(F.lit(0), v.cast("int"))
+    return low(b[0]), low(b[1]), F.least(frame_width.cast("int"), b[2].cast("int")), F.least(frame_height.cast("int"), b[3].cast("int"))
 
 
 def inside_frame(b: Box, frame_width: Column, frame_height: Column) -> tuple[Column, Column, Column, Column]:
