@@ -121,7 +121,7 @@ def one_to_one(pairs: DataFrame, left: str = "prediction", right: str = "label",
     return alone.unionByName(placed.where("__n > 1").groupBy("component").applyInPandas(solve, schema))
 
 
-def match_boxes(left: DataFrame, right: DataFrame, keys: list[str], least_iou: float, compatible: Callable[[Column, Column], Column] | None = None, kind: str = "area_zero") -> DataFrame:
+def match_boxes(left: DataFrame, right: DataFrame, keys: list[str], least_iou: float, compatible: Callable[[Column, Column], Column] | None = None, kind: str = "union_floor") -> DataFrame:
     """One-to-one matches of the boxes of each frame: ``keys, left, right, iou``, by the greatest sum of
     ``1 + iou`` over pairs of at least ``least_iou`` whose classes agree.
 
