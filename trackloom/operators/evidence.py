@@ -77,8 +77,10 @@ def integrity(events: DataFrame, evidence: DataFrame, observations: DataFrame, t
         .join(tracks.drop("tr_entity"), F.col("ob_track") == F.col("tr_id"), "left").join(videos, F.col("ev_video") == F.col("vi_id"), "left"))
     own = tracks.select(F.col("tr_id").alias("__track"), F.col("tr_entity").alias("__entity"))
     seen = observations.select(F.col("ob_entity").alias("entity_id"), F.col("ob_video").alias("__video"), F.col("ob_track").alias("__track")).join(own, "__track", "left")
+    disagree = ~F.col("__entity").eqNullSafe(F.col("entity_id"))
+    seen = seen.groupBy("entity_id", "__video").agg(F.count("*").alias("__n"), F.count_if(disagree).alias("__bad"))  # observations don't meet events one by one
     theirs = events.join(evidence, F.col("evidence_id") == F.col("ev_id")).select("event_id", F.col("ev_video").alias("__video")).join(members, "event_id").join(seen, ["entity_id", "__video"])
-    refs = theirs.groupBy("event_id").agg(F.count("*").alias("refs"), F.count_if(~F.col("__entity").eqNullSafe(F.col("entity_id"))).alias("disagree"))
+    refs = theirs.groupBy("event_id").agg(F.sum("__n").alias("refs"), F.sum("__bad").alias("disagree"))
     return failed_rules(chain.join(refs, "event_id", "left"), chain_rules(F.col("vi_fps"))).select("event_id", "errors")
 
 
@@ -223,8 +225,9 @@ def relationships_of(edges: DataFrame, associated: DataFrame, ids: DataFrame) ->
 
 def neighbours(members: DataFrame, entity: str = "entity_id", event: str = "event_id") -> DataFrame:
     """Pairs of entities that share an event, with how many they share (each pair once)."""
-    a, b = members.select(F.col(event), F.col(entity).alias("a")), members.select(F.col(event), F.col(entity).alias("b"))
-    return a.join(b, event).where("a < b").groupBy("a", "b").agg(F.count_distinct(event).alias("shared"))
+    once = members.select(event, entity).distinct()
+    a, b = once.select(F.col(event), F.col(entity).alias("a")), once.select(F.col(event), F.col(entity).alias("b"))
+    return a.join(b, event).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def case_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("entity_id")).distinct()
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("entity_id"))
     return E.neighbours(members)
 
 
