@@ -62,7 +62,7 @@ def clip_errors(clips: DataFrame, videos: DataFrame, version: str | None = None)
     frame_indices, start_seconds, duration_seconds)``, ``videos`` as the manifest has them."""
     source = videos.select("video_id", *[F.col(a).alias(f"__{a}") for a in ("camera_id", "local_path", "sha256", "width", "height", "fps", "frame_count")])
     frames = clips.select("clip_id", "video_id", F.explode(F.array_distinct("frame_indices")).alias("frame"))
-    twice = frames.groupBy("video_id", "frame").agg(F.count_distinct("clip_id").alias("n"), F.collect_set("clip_id").alias("of")).where("n > 1")
+    twice = frames.groupBy("video_id", "frame").agg(F.collect_set("clip_id").alias("of")).where(F.size("of") > 1)
     shared = twice.select(F.explode("of").alias("clip_id")).distinct().withColumn("__shared", F.lit(True))
     rows = clips.join(source, "video_id", "left").join(shared, "clip_id", "left").withColumn("__n", F.count("*").over(W.partitionBy("clip_id")))
     c, n = F.col, F.size("frame_indices")
