@@ -229,3 +229,12 @@ def test_stream_zone_alerts(spark, tmp_path):
     query = alerts.writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.kind for r in spark.table("alerts").collect()) == ["entered_zone", "exited_zone"]
+
+
+def test_one_to_one_hands_python_many_components_at_a_time(spark):
+    """Three hundred components of three pairs each, by no group of pandas rows for each of them."""
+    pairs = spark.createDataFrame([x for i in range(0, 600, 2) for x in ((i, i, 0.5), (i, i + 1, 0.9), (i + 1, i, 0.1))], "prediction long, label long, weight double")
+    found = M.one_to_one(pairs)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    assert {(r.prediction, r.label) for r in found.collect()} == {x for i in range(0, 600, 2) for x in ((i, i + 1), (i + 1, i))}
+    assert M.one_to_one(pairs.where("weight > 0.2"), most=False).count() == 300
