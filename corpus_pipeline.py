@@ -5,7 +5,8 @@ their target weights (documents taken more than once are repeated, those not tak
 is left is encoded by a byte-level BPE and decoded again.
 
 Documents are rows, not ids: a null doc_id takes part in every stage, and rows that repeat a doc_id
-are judged each by its own text. Joins back to the documents are on ``row_key``.
+are judged each by its own text. Joins back to the documents are on ``row_key``. A stage returns its
+rows in few partitions, as each is written as a file.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from trackloom.plans.durable import shared_folder
+from trackloom.plans.durable import in_few_files, shared_folder
 
 #: Similarity of near duplicates in percent, and the words of a shingle.
 PERCENT, SHINGLE = 80, 5
@@ -55,14 +56,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     without toxic labels, stay; equal texts are judged alike; a text is judged by all of it, however long."""
     bounded(spark)
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, chain, "__toxicity").where("not __toxicity.rejected").drop("__toxicity")
+    return in_few_files(toxicity.score(docs, chain, "__toxicity").where("not __toxicity.rejected").drop("__toxicity"))
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with one row for each text, after spaces are normalised: that of the least doc_id, null last.
     Null counts as empty. Long texts are compared chunk by chunk."""
     bounded(spark)
-    return exact_dedup.one_of_each(docs)
+    return in_few_files(exact_dedup.one_of_each(docs))
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash.near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"), SHINGLE, PERCENT).where("not kept").select(F.col("doc_id").alias("__row"))
     left = named.join(gone.hint("shuffle_hash"), "__row", "left_anti").withColumn("__n", _numbered())
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.where((F.col("__n") == 1) | ~worded).select(*docs.columns)
+    return in_few_files(left.where((F.col("__n") == 1) | ~worded).select(*docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +87,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.min("copies").alias("__least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("__more")).where("__least + __more > 0")
     joined = named.join(taken.hint("shuffle_hash"), "__row").withColumn("__n", _numbered())
     joined = joined.withColumn("__copies", (F.col("__least") + (F.col("__n") <= F.col("__more")).cast("long")).cast("int")).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return in_few_files(joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,7 +95,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``docs``. Null and empty texts have no ids and decode to nothing; a text is held whole by its task."""
     bounded(spark)
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("decoded"))
+    return in_few_files(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("decoded")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

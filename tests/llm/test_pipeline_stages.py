@@ -8,6 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from trackloom.llm import bpe, toxicity
+from trackloom.plans.durable import FILES_A_CORE
 
 SF, SCHEMA = "/root/testdata/sf0.001", "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,3 +46,20 @@ def test_no_documents(spark, tmp_path, labelled):
     (labels if labelled else labels.limit(0)).write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_return_few_partitions(spark, name):
+    """Each partition is written as a file, however many the input and the shuffles have; no row goes with it."""
+    most = FILES_A_CORE * spark.sparkContext.defaultParallelism
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    stage, set_before = dict(corpus_pipeline.STAGES)[name], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    want = Counter(map(str, stage(spark, docs, SF).collect()))
+    try:
+        for k, v in zip(set_before, (str(most + 4), "false"), strict=True):
+            spark.conf.set(k, v)
+        got = stage(spark, docs.repartition(most + 4), SF)
+        assert Counter(map(str, got.collect())) == want and got.rdd.getNumPartitions() <= most
+    finally:
+        for k, v in set_before.items():
+            spark.conf.set(k, v)
