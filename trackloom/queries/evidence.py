@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.geometry import dot
 from trackloom.operators import evidence as E
 from trackloom.operators.search import top
+from trackloom.plans.durable import stored
 from trackloom.sources.tables import table
 
 
@@ -33,7 +34,7 @@ def entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
-    line = line.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity", "l_discount")])
+    line = stored(line.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity", "l_discount")]))  # read as events, evidence and members
     ident, n, t0 = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_linenumber"), F.col("l_quantity") / 25
     clock = lambda t, late: F.timestamp_micros(F.col("l_partkey") * 1_000_000 + F.round(t * 1e6).cast("long") + F.when(late, 1).otherwise(0))
     t1 = t0 + F.col("l_discount")
